@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -71,6 +73,12 @@ def to_text(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("type").alias("logger"), alert_json(rows).alias("value"))
 
 
+def _log_rows(rows: Iterable[Row]) -> None:
+    """Print on the executors, so that no alert has to pass through the driver."""
+    for row in rows:
+        print(row.logger, row.value, flush=True)
+
+
 def write_alerts(rows: DataFrame, method: str, server: str | None = None) -> None:
     """Send the alerts whose category uses ``method``; also usable inside foreachBatch.
 
@@ -78,7 +86,7 @@ def write_alerts(rows: DataFrame, method: str, server: str | None = None) -> Non
     """
     chosen = rows.filter(F.col("alert_method") == method)
     if method == "print":
-        to_text(chosen).show(truncate=False)
+        to_text(chosen).foreachPartition(_log_rows)
     elif method == "kafka":
         if not server:
             raise ValueError("the kafka method needs a server")
