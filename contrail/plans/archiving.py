@@ -71,4 +71,25 @@ def archive_flights(
         F.lower("icao").alias("icao"), flight_id().alias("flight_id"), "zone", "level",
         "callsign", "plane_category", "first_packet", "last_update", "packets", "packet_type",
     )
-    return Archive(chunks, about)
+    return Archive(chunks.unionByName(_empty_series(chunks, about)), about)
+
+
+def _empty_series(chunks: DataFrame, about: DataFrame) -> DataFrame:
+    """An empty piece for every datum of a saved flight that has no sample."""
+    names = F.array(*[
+        F.struct(F.lit(category).alias("category"), F.lit(datum).alias("type"))
+        for category, datums in (
+            ("received_data", schema.RECEIVED), ("calculated_data", schema.CALCULATED)
+        )
+        for datum in datums
+    ])
+    one = ["icao", "flight_id", "category", "type"]
+    return (
+        about.select("icao", "flight_id", F.inline(names))
+        .join(chunks.select(*one).distinct(), one, "left_anti")
+        .select(
+            *one,
+            F.lit(None).cast("bigint").alias("chunk"),
+            F.array().cast("array<struct<time:double,value:double>>").alias("data"),
+        )
+    )

@@ -23,16 +23,16 @@ def messages_from_frames(
     remember_seconds: float = schema.REMEMBER_SECONDS,
     slice_seconds: float = schema.SLICE_SECONDS,
 ) -> DataFrame:
-    """Merged, decoded messages with their flight, written once as a table.
+    """Merged, decoded messages with their flight, written as a table.
 
-    Everything later branches from this table, so the costly front part runs a single time.
-    The hex text is kept to order messages of equal time.
+    Flights and everything later read their input in several branches, so the costly steps
+    before each are written once. The hex text is kept to order messages of equal time.
     """
     merged = dedup_within(
         frames, "hex", "ts", merge_seconds, ["receiver"], slice_seconds
     )
     decoded = materialize(decode_messages(with_fields(merged), *home, keep=["hex"]), "messages")
-    return flights(decoded, "icao", "ts", remember_seconds, slice_seconds)
+    return materialize(flights(decoded, "icao", "ts", remember_seconds, slice_seconds), "flights")
 
 
 def state_alerts(
