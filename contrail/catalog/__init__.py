@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("track",)
+MODULES = ("track", "rules", "zones")
 Query = Callable[[SparkSession, str], DataFrame]
 
 

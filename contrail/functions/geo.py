@@ -111,7 +111,10 @@ def with_destination(
     )
     a3 = 1 - (0.5 - n / 2) * e - (0.25 + n / 8) * e * e
     c31 = (0.25 - n / 4) * e + 0.125 * e * e
-    turns = F.sin(2 * c("sig2")) - F.sin(2 * c("sig1"))
+    c32 = (1 / 16 - 3 * n / 32) * e * e
+    turns = c31 * (F.sin(2 * c("sig2")) - F.sin(2 * c("sig1"))) + c32 * (
+        F.sin(4 * c("sig2")) - F.sin(4 * c("sig1"))
+    )
     d = step(
         d,
         b2=F.atan2(
@@ -119,7 +122,7 @@ def with_destination(
         ),
         dl=F.atan2(c("s0") * F.sin(c("sig2")), F.cos(c("sig2")))
         - c("om1")
-        - F.lit(f) * c("s0") * a3 * (c("sig2") - c("sig1") + c31 * turns),
+        - F.lit(f) * c("s0") * a3 * (c("sig2") - c("sig1") + turns),
     )
     # The two longitudes on the auxiliary sphere each lie in (-pi, pi]; bring the
     # difference back to one turn before adding it.

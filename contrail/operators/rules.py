@@ -264,12 +264,14 @@ def zone_literal(zones: tuple[Zone, ...]) -> Column:
     rows = []
     for z in zones:
         ends = zip(z.ring, z.ring[1:] + z.ring[:1], strict=True)
+        # A ring that is a single point keeps one edge, to measure distances from.
+        edges = [(a, b) for a, b in ends if a != b] or [(z.ring[0], z.ring[0])]
         lats, lons = zip(*z.ring, strict=True)
         rows.append({
             "zone": z.name,
             "south": min(lats), "north": max(lats), "west": min(lons), "east": max(lons),
             "edges": [
-                {"lat1": a[0], "lon1": a[1], "lat2": b[0], "lon2": b[1]} for a, b in ends if a != b
+                {"lat1": a[0], "lon1": a[1], "lat2": b[0], "lon2": b[1]} for a, b in edges
             ],
         })
     kind = (

@@ -6,7 +6,7 @@ import functools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrail import schema
@@ -87,17 +87,17 @@ def zone_eta(
     )
     cols = [z["zone"].alias("zone"), F.col("inside"), eta.alias("eta")]
     if with_distance:
-        cols.append(_gap_km(z["edges"], here_lat, here_lon).alias("distance_km"))
+        # A step of its own, so that the edges are searched once.
+        d = d.withColumn(
+            "_near",
+            F.when(~F.col("inside"), geo.nearest_on_ring(z["edges"], here_lat, here_lon)),
+        )
+        near = F.col("_near")
+        gap = geo.distance_km(here_lat, here_lon, near["lat"], near["lon"])
+        cols.append(F.when(F.col("inside"), F.lit(0.0)).otherwise(gap).alias("distance_km"))
     return d.select(*positions.columns, *cols)
 
 
-def _gap_km(edges: Column, lat: Column, lon: Column) -> Column:
-    near = geo.nearest_on_ring(edges, lat, lon)
-    return F.when(F.col("inside"), F.lit(0.0)).otherwise(
-        geo.distance_km(lat, lon, near["lat"], near["lon"])
-    )
-
-
 def rule_states(
     states: DataFrame, rules: Rules, max_time_s: float = schema.MAX_TIME_SECONDS
 ) -> DataFrame:

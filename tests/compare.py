@@ -44,9 +44,15 @@ def compare(spark, con, sf_dir, fn, sql):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}; only got {list(set(got) - set(want))[:2]}; only want {list(set(want) - set(got))[:2]}"
+    if got != want:
+        extra, missing = set(got) - set(want), set(want) - set(got)
+        return (
+            f"{len(extra)} of {len(got)} rows differ; {sorted(names)}\n"
+            f"  got  {sorted(extra, key=repr)[:2]}\n  want {sorted(missing, key=repr)[:2]}"
+        )
     for a, b in zip(got, want):
-        if a != b or [type(x) for x in a] != [type(x) for x in b]:
-            return f"row {sorted(names)}\n  {a}\n  {b}"
+        if [type(x) for x in a] != [type(x) for x in b]:
+            return f"types {sorted(names)}\n  {a}\n  {b}"
     return None if got else "no rows"
 
 
