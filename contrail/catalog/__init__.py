@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("track", "rules", "zones")
+MODULES = ("track", "rules", "zones", "decode")
 Query = Callable[[SparkSession, str], DataFrame]
 
 

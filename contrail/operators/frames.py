@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from contrail import schema
 from contrail.functions import modes
+from contrail.functions.fence import computed
 from contrail.operators.slices import (
     MICROS,
     SLICE,
@@ -26,16 +27,14 @@ BLOCK = 256
 
 def with_fields(frames: DataFrame) -> DataFrame:
     """Add df, crc and the icao address to frames; ill-formed hex gives NULLs."""
-    hex_ = F.upper(F.trim("hex"))
     long_frame = F.length("hex") == 28
-    d = frames.withColumn("hex", hex_).withColumn(
-        "_ok", modes.well_formed(F.col("hex"))
-    )
-    d = d.withColumns({
+    d = frames.withColumn("hex", F.upper(F.trim("hex")))
+    d = d.withColumn("_ok", modes.well_formed(F.col("hex")))
+    d = computed(d, {
         "_hi": F.when(F.col("_ok"), modes.hex_long(F.col("hex"), 1, 14)),
         "_lo": F.when(F.col("_ok") & long_frame, modes.hex_long(F.col("hex"), 15, 14)),
     })
-    d = d.withColumns({
+    d = computed(d, {
         "df": F.least(modes.bits(F.col("_hi"), 0, 5), F.lit(24)).cast("int"),
         "crc": F.when(long_frame, modes.crc(F.col("_hi"), F.col("_lo"))).otherwise(
             modes.crc(F.col("_hi"), None)
@@ -97,13 +96,8 @@ def decode_messages(
     """
     d = frames if "df" in frames.columns else with_fields(frames)
     me = F.col("_me")
-    d = d.withColumn(
-        "_me",
-        F.when(
-            F.col("df").isin(17, 18) & (F.length("hex") == 28),
-            modes.hex_long(F.col("hex"), 9, 14),
-        ),
-    )
+    squitter = F.col("df").isin(17, 18) & (F.length("hex") == 28)
+    d = computed(d, {"_me": F.when(squitter, modes.hex_long(F.col("hex"), 9, 14))})
     d = d.withColumn("_tc", modes.bits(me, 0, 5).cast("int"))
     d = d.withColumn("type_cat", type_category(F.col("df"), F.col("_tc")))
     d = valid_icao(d).filter(F.col("type_cat").isNotNull())
@@ -111,17 +105,16 @@ def decode_messages(
     cat = F.col("type_cat")
     ident, surface, baro, gnss, velocity = (cat == i for i in range(1, 6))
     airborne = baro | gnss
-    d = d.withColumn(
-        "latitude",
-        F.when(airborne, modes.cpr_latitude(me, home_lat, 360.0)).when(
+    d = computed(d, {
+        "latitude": F.when(airborne, modes.cpr_latitude(me, home_lat, 360.0)).when(
             surface, modes.cpr_latitude(me, home_lat, 90.0)
-        ),
-    )
+        )
+    })
     air_speed, air_dir, climb = modes.airborne_velocity(me)
     ground_speed, ground_dir = modes.surface_velocity(me)
     lat = F.col("latitude")
     knots = F.when(velocity, air_speed).when(surface, ground_speed)
-    d = d.withColumns({
+    d = computed(d, {
         "callsign": F.when(ident, modes.callsign(me)),
         "cat_tc": F.when(ident, F.col("_tc")),
         "cat_ca": F.when(ident, modes.bits(me, 5, 3).cast("int")),
