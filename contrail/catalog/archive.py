@@ -18,7 +18,7 @@ from contrail.plans import browse
 from contrail.plans.archiving import archive_flights
 from contrail.schema import MAX_TIME_SECONDS
 from contrail.sources.archive import Archive, read_archive, write_archive
-from contrail.sources.scratch import new_path
+from contrail.sources.scratch import materialize, new_path
 
 DAY = 24 * HOUR
 QUERIES: dict = {}
@@ -115,7 +115,8 @@ def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     """Messages, received series and calculated series of all flights."""
     m, w = flight_messages(spark, sf_dir), width(spark, sf_dir)
     keys = ["icao", "flight_start"]
-    states = track.motion(m, 10, SIX_HOURS, keys, "ts", ["event_id"], w)
+    m = materialize(m, "messages")
+    states = materialize(track.motion(m, 10, SIX_HOURS, keys, "ts", ["event_id"], w), "states")
     received = track.received_series(m, keys, "ts", ["event_id"], slice_seconds=w)
     return m, received, track.calculated_series(states, keys, "ts", ["event_id"], w)
 
@@ -127,7 +128,7 @@ def _bounds(m: DataFrame) -> DataFrame:
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, received, calculated = _series(spark, sf_dir)
     keys = ["icao", "flight_start"]
-    wide = ql.wide_series(received, calculated, keys, "ts", ["event_id"])
+    wide = materialize(ql.wide_series(received, calculated, keys, "ts", ["event_id"]), "series")
     return ql.second_states(_bounds(m), wide, keys, "ts", ["event_id"], HOUR, width(spark, sf_dir))
 
 
@@ -208,9 +209,9 @@ _KEPT = """kept AS (
 
 
 def _archive(spark: SparkSession, sf_dir: str) -> Archive:
-    m = flight_messages(spark, sf_dir)
+    m = flight_messages(spark, sf_dir).withColumn("icao", F.col("icao").cast("string"))
     return archive_flights(
-        m.withColumn("icao", F.col("icao").cast("string")), load_rules(SAVING), 10, SIX_HOURS,
+        materialize(m, "messages"), load_rules(SAVING), 10, SIX_HOURS,
         tie=["event_id"], slice_seconds=width(spark, sf_dir), step_seconds=HOUR,
     )
 

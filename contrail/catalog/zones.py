@@ -171,9 +171,9 @@ def distance_and_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = positions(spark, sf_dir)
     home = [F.lit(v) for v in schema.HOME]
     here = [F.col("latitude"), F.col("longitude")]
-    return p.select(
+    return geo.with_distance(p, *here, *home, "km").select(
         "event_id",
-        F.round(geo.distance_km(*here, *home), 4).alias("home_km"),
+        F.round("km", 4).alias("home_km"),
         F.round(geo.bearing(*here, *home), 4).alias("home_bearing"),
     )
 

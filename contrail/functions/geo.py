@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contrail.functions.fence import computed
+
 # WGS-84 (fixed values).
 SEMI_MAJOR_KM = 6378.137
 FLATTENING = 1 / 298.257223563
@@ -25,26 +27,37 @@ def reduced_latitude(lat: Column) -> Column:
     return F.atan(F.lit(1 - FLATTENING) * F.tan(F.radians(lat)))
 
 
-def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Ellipsoidal distance in kilometres (Lambert; relative error about 1e-6)."""
-    b1, b2 = reduced_latitude(lat1), reduced_latitude(lat2)
-    half = _square(F.sin((b2 - b1) / 2)) + F.cos(b1) * F.cos(b2) * _square(
-        F.sin(F.radians(lon2 - lon1) / 2)
-    )
-    sigma = 2 * F.asin(F.sqrt(F.least(half, F.lit(1.0))))
-    mid, diff = (b1 + b2) / 2, (b2 - b1) / 2
-    x = (
-        (sigma - F.sin(sigma))
-        * _square(F.sin(mid) * F.cos(diff))
-        / _square(F.cos(sigma / 2))
-    )
-    y = (
-        (sigma + F.sin(sigma))
-        * _square(F.cos(mid) * F.sin(diff))
-        / _square(F.sin(sigma / 2))
-    )
-    long_way = F.lit(SEMI_MAJOR_KM) * (sigma - F.lit(FLATTENING / 2) * (x + y))
-    return F.when(half == 0, F.lit(0.0)).otherwise(long_way)
+def with_distance(
+    df: DataFrame, lat1: Column, lon1: Column, lat2: Column, lon2: Column, out: str
+) -> DataFrame:
+    """Add the ellipsoidal distance in kilometres (Lambert; relative error about 1e-6).
+
+    The steps are fenced off from each other: inside one expression, and more so inside CASE
+    branches, shared parts would be computed over and over.
+    """
+    keep = df.columns
+    b1, b2 = F.col("_b1"), F.col("_b2")
+    d = computed(df, {
+        "_b1": reduced_latitude(lat1),
+        "_b2": reduced_latitude(lat2),
+        "_turn": F.sin(F.radians(lon2 - lon1) / 2),
+    })
+    d = computed(d, {
+        "_sp": F.sin((b1 + b2) / 2),
+        "_sq": F.sin((b2 - b1) / 2),
+        "_cc": F.cos(b1) * F.cos(b2) * _square(F.col("_turn")),
+    })
+    half = _square(F.col("_sq")) + F.col("_cc")
+    d = computed(d, {"_half": F.least(half, F.lit(1.0))})
+    d = computed(d, {"_sigma": 2 * F.asin(F.sqrt("_half"))})
+    sigma, half = F.col("_sigma"), F.col("_half")
+    p2, q2 = _square(F.col("_sp")), _square(F.col("_sq"))
+    x = (sigma - F.sin(sigma)) * p2 * (1 - q2) / F.nullif(1 - half, F.lit(0.0))
+    y = (sigma + F.sin(sigma)) * (1 - p2) * q2 / F.nullif(half, F.lit(0.0))
+    km = F.lit(SEMI_MAJOR_KM) * (sigma - F.lit(FLATTENING / 2) * (x + y))
+    # No value for x or y means the same point or its antipode.
+    ends = F.when(half.isNotNull(), F.lit(SEMI_MAJOR_KM) * sigma)
+    return computed(d, {out: F.coalesce(km, ends)}).select(*keep, out)
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -133,23 +146,49 @@ def with_destination(
     return d.select(*keep, out_lat, out_lon)
 
 
+# Rings are arrays of edges struct(lat1, lon1, lat2, lon2, ey, ex, inv): the two ends, their
+# difference, and one over the squared length (0 for an edge without length). Functions over
+# arrays are not compiled, so the lambdas below are kept short and callers test boxes first.
+EDGE = "struct<lat1:double,lon1:double,lat2:double,lon2:double,ey:double,ex:double,inv:double>"
+
+
+def edge(lat1: float, lon1: float, lat2: float, lon2: float) -> dict[str, float]:
+    ey, ex = lat2 - lat1, lon2 - lon1
+    len2 = ey * ey + ex * ex
+    return {
+        "lat1": lat1, "lon1": lon1, "lat2": lat2, "lon2": lon2, "ey": ey, "ex": ex,
+        "inv": 1 / len2 if len2 > 0 else 0.0,
+    }
+
+
+def edges_of(ring: Column) -> Column:
+    """Edges of a ring array column struct(lat, lon); points repeated in a row give none."""
+    closed = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+
+    def join(a: Column, b: Column) -> Column:
+        ey, ex = b["lat"] - a["lat"], b["lon"] - a["lon"]
+        return F.struct(
+            a["lat"].alias("lat1"), a["lon"].alias("lon1"),
+            b["lat"].alias("lat2"), b["lon"].alias("lon2"),
+            ey.alias("ey"), ex.alias("ex"),
+            F.coalesce(1 / F.nullif(ey * ey + ex * ex, F.lit(0.0)), F.lit(0.0)).alias("inv"),
+        )
+
+    return F.filter(F.zip_with(ring, closed, join), lambda e: e["inv"] > 0)
+
+
 def inside_ring(edges: Column, lat: Column, lon: Column) -> Column:
     """Strictly inside the ring: odd number of crossings and not on an edge."""
 
+    def side(e: Column) -> Column:
+        return (lat - e["lat1"]) * e["ex"] - (lon - e["lon1"]) * e["ey"]
+
     def crosses(e: Column) -> Column:
-        straddles = (e["lat1"] > lat) != (e["lat2"] > lat)
-        rise = e["lat2"] - e["lat1"]
-        at = e["lon1"] + (lat - e["lat1"]) * (e["lon2"] - e["lon1"]) / F.when(
-            rise != 0, rise
-        )
-        return straddles & F.coalesce(lon < at, F.lit(False))
+        return ((e["lat1"] > lat) != (e["lat2"] > lat)) & ((side(e) > 0) == (e["ey"] > 0))
 
     def touches(e: Column) -> Column:
-        cross = (lat - e["lat1"]) * (e["lon2"] - e["lon1"]) - (lon - e["lon1"]) * (
-            e["lat2"] - e["lat1"]
-        )
         return (
-            (cross == 0)
+            (side(e) == 0)
             & lat.between(F.least(e["lat1"], e["lat2"]), F.greatest(e["lat1"], e["lat2"]))
             & lon.between(F.least(e["lon1"], e["lon2"]), F.greatest(e["lon1"], e["lon2"]))
         )
@@ -158,35 +197,52 @@ def inside_ring(edges: Column, lat: Column, lon: Column) -> Column:
     return odd & ~F.exists(edges, touches)
 
 
-def first_crossing(
-    edges: Column, lat: Column, lon: Column, to_lat: Column, to_lon: Column
+def segment_meets_box(
+    lat: Column, lon: Column, dy: Column, dx: Column,
+    south: Column, north: Column, west: Column, east: Column,
 ) -> Column:
+    """Whether the segment from the point along (dy, dx) can reach the box; errs towards yes."""
+
+    def span(at: Column, step: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        a, b = (low - at) / F.nullif(step, F.lit(0.0)), (high - at) / F.nullif(step, F.lit(0.0))
+        never = F.when(at.between(low, high), F.lit(0.0)).otherwise(F.lit(2.0))
+        return F.coalesce(F.least(a, b), never), F.coalesce(F.greatest(a, b), F.lit(1.0))
+
+    y0, y1 = span(lat, dy, south, north)
+    x0, x1 = span(lon, dx, west, east)
+    enters = F.greatest(y0, x0, F.lit(0.0))
+    leaves = F.least(y1, x1, F.lit(1.0))
+    return enters <= leaves + 1e-9
+
+
+def first_crossing(edges: Column, lat: Column, lon: Column, dy: Column, dx: Column) -> Column:
     """Smallest fraction of the straight lat/lon segment at which it meets the ring."""
 
     def fraction(e: Column) -> Column:
-        dy, dx = to_lat - lat, to_lon - lon
-        ey, ex = e["lat2"] - e["lat1"], e["lon2"] - e["lon1"]
-        det = dy * ex - dx * ey
+        det = dy * e["ex"] - dx * e["ey"]
         gap_y, gap_x = e["lat1"] - lat, e["lon1"] - lon
-        safe = F.when(det != 0, det)
-        t = (gap_y * ex - gap_x * ey) / safe
-        u = (gap_y * dx - gap_x * dy) / safe
-        return F.when(t.between(0.0, 1.0) & u.between(0.0, 1.0), t)
+        t = (gap_y * e["ex"] - gap_x * e["ey"]) / det
+        u = (gap_y * dx - gap_x * dy) / det
+        return F.when((det != 0) & u.between(0.0, 1.0) & t.between(0.0, 1.0), t)
 
     return F.array_min(F.transform(edges, fraction))
 
 
 def nearest_on_ring(edges: Column, lat: Column, lon: Column) -> Column:
-    """Ring point closest to the position in the lat/lon plane, as struct(gap, lat, lon)."""
-
-    def closest(e: Column) -> Column:
-        ey, ex = e["lat2"] - e["lat1"], e["lon2"] - e["lon1"]
-        len2 = ey * ey + ex * ex
-        along = ((lat - e["lat1"]) * ey + (lon - e["lon1"]) * ex) / F.when(len2 > 0, len2)
-        s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
-        y, x = e["lat1"] + s * ey, e["lon1"] + s * ex
-        return F.struct(
-            (_square(lat - y) + _square(lon - x)).alias("gap"), y.alias("lat"), x.alias("lon")
-        )
+    """The edge that comes closest to the position in the lat/lon plane."""
+
+    def gap(e: Column) -> Column:
+        gy, gx = lat - e["lat1"], lon - e["lon1"]
+        dot = gy * e["ey"] + gx * e["ex"]
+        s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot * e["inv"]))
+        return _square(gy - s * e["ey"]) + _square(gx - s * e["ex"])
+
+    gaps = F.transform(edges, gap)
+    return F.element_at(edges, F.array_position(gaps, F.array_min(gaps)).cast("int"))
+
 
-    return F.array_min(F.transform(edges, closest))
+def nearest_on_edge(e: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Point of an edge closest to the position in the lat/lon plane."""
+    dot = (lat - e["lat1"]) * e["ey"] + (lon - e["lon1"]) * e["ex"]
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot * e["inv"]))
+    return e["lat1"] + s * e["ey"], e["lon1"] + s * e["ex"]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contrail import schema
+from contrail.functions import geo
 
 _TOKEN = re.compile(r"\s*([A-Za-z_][A-Za-z0-9_]*|[()])")
 _OPERATORS = ("and", "or", "not")
@@ -270,13 +271,11 @@ def zone_literal(zones: tuple[Zone, ...]) -> Column:
         rows.append({
             "zone": z.name,
             "south": min(lats), "north": max(lats), "west": min(lons), "east": max(lons),
-            "edges": [
-                {"lat1": a[0], "lon1": a[1], "lat2": b[0], "lon2": b[1]} for a, b in edges
-            ],
+            "edges": [geo.edge(*a, *b) for a, b in edges],
         })
     kind = (
         "array<struct<zone:string,south:double,north:double,west:double,east:double,"
-        "edges:array<struct<lat1:double,lon1:double,lat2:double,lon2:double>>>>"
+        f"edges:array<{geo.EDGE}>>>"
     )
     return F.from_json(F.lit(json.dumps(rows)), kind)
 

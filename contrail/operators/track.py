@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from contrail import schema
 from contrail.functions import geo
+from contrail.functions.fence import computed
 from contrail.operators.slices import (
     MICROS,
     SLICE,
@@ -382,7 +383,7 @@ def motion(
         held >= back_n - F.col("_seen"),
         F.try_element_at("_tail", (F.col("_seen") - back_n).cast("int")),
     )
-    d = d.withColumns({
+    d = computed(d, {
         "_cur": F.coalesce("_cur", F.try_element_at("_tail", F.lit(-1))),
         "_back": F.when(F.col("_seen") >= back_n, F.col("_back")).otherwise(
             F.coalesce(from_tail, "_oldest", "_opening")
@@ -395,9 +396,8 @@ def motion(
     here = F.col("_cur")
     back = F.col("_back")
     seconds = (here["us"] - back["us"]) / F.lit(float(MICROS))
-    measured = geo.speed_kmh(
-        geo.distance_km(back["lat"], back["lon"], here["lat"], here["lon"]), seconds
-    )
+    d = geo.with_distance(d, back["lat"], back["lon"], here["lat"], here["lon"], "_km")
+    measured = geo.speed_kmh(F.col("_km"), seconds)
     course = geo.bearing(back["lat"], back["lon"], here["lat"], here["lon"])
 
     def received(name: str) -> tuple[Column, Column]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from contrail import schema
 from contrail.functions import geo
+from contrail.functions.fence import computed
 from contrail.operators.rules import Rules, Zone, zone_literal
 
 # Most zone edges put into a plan as one constant; more zones are taken in several parts.
@@ -50,6 +51,7 @@ def zone_eta(
         positions, lat, lon, heading, F.lit(float(max_time_s)) * F.col(speed) / 3600,
         "_to_lat", "_to_lon",
     )
+    ray = ray.withColumns({"_dy": F.col("_to_lat") - F.col(lat), "_dx": F.col("_to_lon") - F.col(lon)})
     parts = [
         ray.withColumn("_z", F.explode(zone_literal(part)))
         for part in zone_parts(zones)
@@ -57,44 +59,35 @@ def zone_eta(
     d = functools.reduce(DataFrame.unionByName, parts)
     z = F.col("_z")
     here_lat, here_lon = F.col(lat), F.col(lon)
-    to_lat, to_lon = F.col("_to_lat"), F.col("_to_lon")
     in_box = here_lat.between(z["south"], z["north"]) & here_lon.between(z["west"], z["east"])
-    reaches = (
-        (F.greatest(here_lat, to_lat) >= z["south"])
-        & (F.least(here_lat, to_lat) <= z["north"])
-        & (F.greatest(here_lon, to_lon) >= z["west"])
-        & (F.least(here_lon, to_lon) <= z["east"])
-    )
+    dy, dx = F.col("_dy"), F.col("_dx")
+    box = (z["south"], z["north"], z["west"], z["east"])
+    reaches = geo.segment_meets_box(here_lat, here_lon, dy, dx, *box)
     moving = F.coalesce((F.col(speed) > 0) & F.col(heading).isNotNull(), F.lit(False))
-    d = d.withColumn(
-        "inside",
-        F.when(in_box, geo.inside_ring(z["edges"], here_lat, here_lon)).otherwise(F.lit(False)),
-    )
-    d = d.withColumn(
-        "_t",
-        F.when(
-            ~F.col("inside") & moving & reaches,
-            geo.first_crossing(z["edges"], here_lat, here_lon, to_lat, to_lon),
+    d = computed(d, {
+        "inside": F.when(in_box, geo.inside_ring(z["edges"], here_lat, here_lon)).otherwise(
+            F.lit(False)
         ),
+        "_reaches": moving & reaches,
+    })
+    crossing = geo.first_crossing(z["edges"], here_lat, here_lon, dy, dx)
+    d = computed(d, {"_t": F.when(~F.col("inside") & F.col("_reaches"), crossing)})
+    d = geo.with_distance(
+        d, here_lat, here_lon, here_lat + F.col("_t") * dy, here_lon + F.col("_t") * dx, "_ahead"
     )
-    hit_lat = here_lat + F.col("_t") * (to_lat - here_lat)
-    hit_lon = here_lon + F.col("_t") * (to_lon - here_lon)
-    travel = geo.distance_km(here_lat, here_lon, hit_lat, hit_lon) / F.col(speed) * 3600
     eta = (
         F.when(F.col("inside"), F.lit(0.0))
-        .when(F.col("_t").isNotNull(), travel)
+        .when(F.col("_t").isNotNull(), F.col("_ahead") / F.col(speed) * 3600)
         .otherwise(F.lit(math.inf))
     )
     cols = [z["zone"].alias("zone"), F.col("inside"), eta.alias("eta")]
     if with_distance:
-        # A step of its own, so that the edges are searched once.
-        d = d.withColumn(
-            "_near",
-            F.when(~F.col("inside"), geo.nearest_on_ring(z["edges"], here_lat, here_lon)),
+        near = geo.nearest_on_ring(z["edges"], here_lat, here_lon)
+        d = computed(d, {"_near": F.when(~F.col("inside"), near)})
+        d = geo.with_distance(
+            d, here_lat, here_lon, *geo.nearest_on_edge(F.col("_near"), here_lat, here_lon), "_gap"
         )
-        near = F.col("_near")
-        gap = geo.distance_km(here_lat, here_lon, near["lat"], near["lon"])
-        cols.append(F.when(F.col("inside"), F.lit(0.0)).otherwise(gap).alias("distance_km"))
+        cols.append(F.when(F.col("inside"), F.lit(0.0)).otherwise(F.col("_gap")).alias("distance_km"))
     return d.select(*positions.columns, *cols)
 
 
@@ -127,24 +120,12 @@ def containing_zones(
     """
     size = F.lit(float(cell_degrees))
     lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
-    closed = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
-    edge = F.zip_with(
-        "ring", closed,
-        lambda a, b: F.struct(
-            a["lat"].alias("lat1"), a["lon"].alias("lon1"),
-            b["lat"].alias("lat2"), b["lon"].alias("lon2"),
-        ),
-    )
-
     def cells(values: Column) -> Column:
         return F.sequence(F.floor(F.array_min(values) / size), F.floor(F.array_max(values) / size))
 
     pieces = (
         zones.filter(F.size("ring") >= 3)
-        .withColumn(
-            "_edges",
-            F.filter(edge, lambda e: (e["lat1"] != e["lat2"]) | (e["lon1"] != e["lon2"])),
-        )
+        .withColumn("_edges", geo.edges_of(F.col("ring")))
         .withColumn("_cy", F.explode(cells(lats)))
         .withColumn("_cx", F.explode(cells(lons)))
         .withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))

@@ -40,12 +40,16 @@ def archive_flights(
 ) -> Archive:
     """What to archive of the flights in ``messages`` (with ``flight_start``).
 
-    The series and the qualified flights are used several times and written once each.
+    ``messages`` is read in many branches and should be a table (see ``messages_from_frames``
+    or ``materialize``). States, series and qualified flights are written once each.
     """
     keys = list(FLIGHT)
     datums = [d for d in schema.RECEIVED if d in messages.columns]
     received = received_series(messages, keys, "ts", tie, datums, slice_seconds)
-    states = motion(messages, back_n, fresh_seconds, keys, "ts", tie, slice_seconds)
+    motions = motion(messages, back_n, fresh_seconds, keys, "ts", tie, slice_seconds)
+    states = materialize(
+        motions.select(*keys, "ts", *tie, "speed", "speed_ts", "heading"), "states"
+    )
     calculated = calculated_series(states, keys, "ts", tie, slice_seconds)
     series = materialize(received.unionByName(calculated), "series")
     info = materialize(flight_info(messages, keys, "ts", tie), "flights")
