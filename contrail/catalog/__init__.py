@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("track", "rules", "zones", "decode", "archive")
+MODULES = ("track", "rules", "zones", "decode", "archive", "streams")
 Query = Callable[[SparkSession, str], DataFrame]
 
 

@@ -393,6 +393,14 @@ def motion(
     if at == "positions":
         d = d.filter(F.col("_new").isNotNull())
 
+    return finish_motion(d, carried, fresh, [*keys, ts, *tie])
+
+
+def finish_motion(d: DataFrame, carried: Sequence[str], fresh: int, keep: Sequence[str]) -> DataFrame:
+    """Speed and heading of rows that hold the current fix ``_cur`` and the earlier ``_back``.
+
+    ``_<datum>`` holds the last value of each of ``carried`` as struct(us, value).
+    """
     here = F.col("_cur")
     back = F.col("_back")
     seconds = (here["us"] - back["us"]) / F.lit(float(MICROS))
@@ -427,7 +435,7 @@ def motion(
             F.when(head_ok, value(head)).otherwise(course) if "direction" in carried else course
         ).alias("heading"),
     ]
-    return d.select(*keys, ts, *tie, *out)
+    return d.select(*keep, *out)
 
 
 def plane_stats(messages: DataFrame, keys: Keys = "icao", ts: str = "ts") -> DataFrame:
