@@ -1,4 +1,4 @@
-"""Queries that judge documents and pages: decontamination."""
+"""Queries that judge documents and pages: decontamination, language."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 
 from contrail.llm.decontaminate import decontaminate
+from contrail.llm.language_id import language_id
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,10 +16,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, benchmark).drop("items", "spans")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-QUERIES = {"op7_decontaminate": op7_decontaminate}
+QUERIES = {"op7_decontaminate": op7_decontaminate, "op10_language_id": op10_language_id}
 SQL = {
     "op7_decontaminate": f"""
 WITH item AS (
