@@ -124,8 +124,8 @@ def traverse(left: np.ndarray, right: np.ndarray | None, budget: int, depth: int
 
 def _node_pairs(nodes: DataFrame, depth: int, budget: int, step: int = 4) -> DataFrame:
     """Pairs (a <= b) of nodes of ``depth`` whose prefixes differ in at most ``budget`` bits: a, b, d."""
-    zero = F.lit(0).cast("long")
-    pairs = nodes.select(zero.alias("a"), zero.alias("b"), zero.alias("d")).limit(1)
+    root = F.shiftright("node", depth) if depth else F.col("node")
+    pairs = nodes.select(root.alias("a"), root.alias("b")).distinct().withColumn("d", F.lit(0).cast("long"))
     for at in range(0, depth, step):
         bits = min(step, depth - at)
         node = F.shiftright("node", depth - at - bits)
