@@ -1,4 +1,4 @@
-"""Queries that find repeats: repeated lines, SimHash near-duplicates."""
+"""Queries that find repeats: long strings, lines, SimHash near-duplicates."""
 
 from __future__ import annotations
 
@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from contrail.llm.line_dedup import dedup_lines
 from contrail.llm.simhash import near_duplicates
+from contrail.llm.suffix_dedup import dedup_substrings
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, budget=4)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=400).drop("kept", "spans")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=50)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op6_line_dedup": op6_line_dedup, "op8_simhash": op8_simhash}
+QUERIES = {"op4_suffix_dedup": op4_suffix_dedup, "op6_line_dedup": op6_line_dedup, "op8_simhash": op8_simhash}
 # Every shortest run of 50 words, forwards and backwards, by its text; no suffix order needed for few rows.
 SQL = {
     "op6_line_dedup": """
