@@ -7,10 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 6 << 20
 
 
+def carried(docs: DataFrame, columns: tuple[str, ...]) -> list[Column]:
+    """Columns that come along unread, as one struct that no name can clash with; nothing if there are none."""
+    return [F.struct(*(docs[c] for c in columns)).alias("carried")] if columns else []
+
+
 def large_text(column: pa.Array) -> pa.Array:
     """A text column with 64-bit offsets; null becomes the empty text."""
     return pc.fill_null(column.cast(pa.large_string()), "")

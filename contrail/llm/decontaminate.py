@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contrail.llm.batches import chunks, large_text
+from contrail.llm.batches import carried, chunks, large_text
 from contrail.llm.fm_index import FMIndex
 from contrail.sources.scratch import materialize
 
@@ -118,6 +118,7 @@ def decontaminate(
     text: str = "text",
     item: str = "item_id",
     block_bytes: int = 8 << 20,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Words of ``docs`` that lie in an occurrence of a test phrase.
 
@@ -126,15 +127,19 @@ def decontaminate(
     strings), spans (merged, of word numbers from 0, end excluded), items_sha256 (of the ids joined
     by commas) and contaminated (n_hit > 0 and share * n_hit >= n_words). Each chunk of a task is a
     shard with an index of its own; no shuffle. A null or empty text has no words; repeated rows
-    and null keys stay; other columns aren't read; empty tables give no rows, or no hits. Test
+    and null keys stay; other columns aren't read, but those of ``carry`` come along as the struct
+    carried; empty tables give no rows, or no hits. Test
     items without id or text have no phrases. Items are broadcast in blocks of ``block_bytes``;
     with several blocks the documents pass once for each, through tables in the shared folder.
     """
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), *carried(docs, carry))
+    along = rows.columns[2:]
     kind = rows.schema["key"].dataType
     pairs = T.ArrayType(T.ArrayType(T.IntegerType()))
     schema = T.StructType().add("key", kind).add("text", "string").add("n_words", "long")
     schema = schema.add("spans", pairs).add("items", T.ArrayType(T.StringType()))
+    for c in along:
+        schema = schema.add(c, rows.schema[c].dataType)
     context = rows.sparkSession.sparkContext
 
     def search(blocks: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -152,8 +157,9 @@ def decontaminate(
                     pa.array(n, pa.int64()),
                     pa.array(spans, pa.list_(pa.list_(pa.int32()))),
                     pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                ],
-                ["key", "text", "n_words", "spans", "items"],
+                ]
+                + [part.column(c) for c in along],
+                ["key", "text", "n_words", "spans", "items", *along],
             )
 
     for number, block in enumerate(_blocks(benchmark, item, text, block_bytes)):
@@ -166,6 +172,6 @@ def decontaminate(
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     out = rows.select(
         F.col("key").alias(key), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans",
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), *along,
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

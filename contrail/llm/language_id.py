@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contrail.llm.batches import chunks, flat_bytes, large_text
+from contrail.llm.batches import carried, chunks, flat_bytes, large_text
 from contrail.sources.scratch import materialize
 
 UNKNOWN = "und"
@@ -156,6 +156,7 @@ def language_id(
     key: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Predict the language of every whole text, learned from labelled rows that are not held out.
 
@@ -164,15 +165,16 @@ def language_id(
     excess over the lowest possible). Texts that are null or have no letter are ``und`` with score
     0, and so is everything if no row has a label. Rows with a null key are never learned from and
     count as not held out; equal best scores go to the first language by name; repeated rows stay;
-    other columns aren't read; an empty table gives an empty result. Scoring needs no shuffle.
+    other columns aren't read, but those of ``carry`` come along as the struct carried; an empty
+    table gives an empty result. Scoring needs no shuffle.
     """
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang"))
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang"), *carried(docs, carry))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     learn = rows.filter(~held_out(F.col("key")) & F.col("key").isNotNull() & F.col("lang").isNotNull() & letters)
-    model = fit(learn, sample_rows, landmarks)
-    out = rows.select("key", held_out(F.col("key")).alias("held_out"), letters.alias("letters"), "text")
+    model, along = fit(learn.select("key", "text", "lang"), sample_rows, landmarks), rows.columns[3:]
+    out = rows.select("key", held_out(F.col("key")).alias("held_out"), letters.alias("letters"), "text", *along)
     if model is None:
-        return out.select(F.col("key").alias(key), "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return out.select(F.col("key").alias(key), "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *along)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +188,13 @@ def language_id(
             letters = part.column("letters").to_numpy(zero_copy_only=False)
             names = [m.languages[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), letters.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), part.column("held_out"), pa.array(names), pa.array(np.where(letters, score, 0).astype(np.float64))],
-                ["key", "held_out", "lang_pred", "score"],
+                [part.column("key"), part.column("held_out"), pa.array(names), pa.array(np.where(letters, score, 0).astype(np.float64))]
+                + [part.column(c) for c in along],
+                ["key", "held_out", "lang_pred", "score", *along],
             )
 
     schema = T.StructType().add("key", out.schema["key"].dataType).add("held_out", "boolean")
     schema = schema.add("lang_pred", "string").add("score", "double")
+    for c in along:
+        schema = schema.add(c, out.schema[c].dataType)
     return out.mapInArrow(run, schema).withColumnRenamed("key", key)

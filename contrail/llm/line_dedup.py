@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contrail.llm.batches import chunks, large_text
+from contrail.llm.batches import carried, chunks, large_text
 from contrail.sources.scratch import materialize
 
 
@@ -136,7 +136,9 @@ def repeated_runs(rows: DataFrame, least: int) -> DataFrame:
     return found.join(first, name).filter(at != F.col("first")).select("key", "digest", "n", "length")
 
 
-def dedup_lines(docs: DataFrame, least: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, least: int = 50, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Delete runs of lines of ``least`` words or more that occur before, in this text or another.
 
     A run is a stretch of consecutive lines, blank ones (no word) left out; it counts as repeated
@@ -144,13 +146,16 @@ def dedup_lines(docs: DataFrame, least: int = 50, key: str = "doc_id", text: str
     line of a later copy goes, the first copy stays. Result: ``key``, text (the lines left), n_lines
     and n_removed (lines with a word). Blank lines stay, but a text that loses every line becomes
     empty. A null text is given back as null with no lines. Rows that agree in key and text count as one and get the same
-    result; a null key is before all others; other columns aren't read; an empty table gives an
-    empty result.
+    result; a null key is before all others; other columns aren't read, but those of ``carry`` come
+    along as the struct carried; an empty table gives an empty result.
     """
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    along = carried(docs, carry)
     gone = repeated_runs(rows, least).groupBy(F.struct("key", "digest").alias("d"))
     gone = gone.agg(F.sort_array(F.collect_set(F.struct("n", "length"))).alias("runs"))
     digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), *along)
+    along = rows.columns[2:]
     whole = rows.withColumn("d", F.struct("key", digest.alias("digest"))).join(gone, "d", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +171,14 @@ def dedup_lines(docs: DataFrame, least: int = 50, key: str = "doc_id", text: str
                     text = "" if len(drop) == len(filled) else "\n".join(x for i, x in enumerate(lines) if i not in drop)
                 texts.append(text)
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())],
-                ["key", "text", "n_lines", "n_removed"],
+                [part.column("key"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())]
+                + [part.column(c) for c in along],
+                ["key", "text", "n_lines", "n_removed", *along],
             )
 
     schema = T.StructType().add("key", rows.schema["key"].dataType).add("text", "string")
-    out = whole.select("key", "text", "runs").mapInArrow(cut, schema.add("n_lines", "long").add("n_removed", "long"))
-    return out.select(F.col("key").alias(key), F.col("text").alias(text), "n_lines", "n_removed")
+    schema = schema.add("n_lines", "long").add("n_removed", "long")
+    for c in along:
+        schema = schema.add(c, rows.schema[c].dataType)
+    out = whole.select("key", "text", "runs", *along).mapInArrow(cut, schema)
+    return out.select(F.col("key").alias(key), F.col("text").alias(text), "n_lines", "n_removed", *along)

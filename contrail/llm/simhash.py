@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,80 @@ def fingerprint(text: str, width: int) -> int:
     return int.from_bytes(np.packbits(set_).tobytes(), "big")
 
 
+def _majority(hashes: list[int], weights: np.ndarray) -> int:
+    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * (weights @ bits) > weights.sum()).tobytes(), "big")
+
+
+def sketch(text: str, width: int) -> tuple[int, int, int]:
+    """A fingerprint of the words, weighted by 1 + log2 of how often they occur, and two of the different shingles."""
+    words = text.encode().translate(_LOWER).split()
+    if not words:
+        return 0, 0, 0
+    often = Counter(words)
+    weights = 1 + np.log2(np.fromiter(often.values(), float, len(often)))
+    first = _majority([xxhash.xxh64_intdigest(w, SEED) for w in often], weights)
+    parts = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+    even = np.ones(len(parts))
+    return first, *(_majority([xxhash.xxh64_intdigest(p, seed) for p in parts], even) for seed in (SEED, SEED + 1))
+
+
+def shingle_hashes(text: str, width: int) -> list[int]:
+    """Hashes of the different shingles, as signed numbers; the whole sequence if it is shorter."""
+    words = text.encode().translate(_LOWER).split()
+    parts = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+    return np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], np.uint64).view(np.int64).tolist()
+
+
+def similar_documents(
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, budget: int = 5, limit: int = 28,
+    key: str = "doc_id", text: str = "text", leaf: int = 16_384,
+) -> DataFrame:
+    """Rows that share at least ``similarity`` of their different shingles of ``width`` words, chained: key, component_id.
+
+    One row per row of ``docs`` with a key; component_id is the smallest key reachable. Shingle
+    fingerprints of such rows differ in more bits than a trie join can afford, so the join runs on
+    fingerprints of weighted words, which stay within ``budget`` bits, and each task keeps the
+    pairs whose shingle fingerprints (128 bits) differ in at most ``limit``. The links kept, the
+    nearest ones of each group, are then checked by their exact shares. Rows of equal
+    fingerprints are one. Rows without words are copies of each other. Null keys are left out;
+    repeated rows stay; other columns aren't read; an empty table gives an empty result.
+    """
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).filter("key is not null")
+    kind = rows.schema["key"].dataType
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            found = [sketch(t, width) for t in large_text(part.column("text")).to_pylist()]
+            columns = np.array(found, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c) for c in columns.T)], ["key", "fp", "s1", "s2"])
+
+    schema = T.StructType().add("key", kind).add("fp", "long").add("s1", "long").add("s2", "long")
+    known = rows.mapInArrow(sketched, schema).withColumn("id", F.xxhash64("fp", "s1", "s2"))
+    known = materialize(known, "sketches")
+    kinds = known.groupBy("id").agg(F.min("key").alias("first"), *(F.first(c).alias(c) for c in ("fp", "s1", "s2")))
+    kinds = materialize(kinds, "different_sketches")
+    links = materialize(hamming_links(kinds, budget, leaf, ("s1", "s2"), limit), "near_links")
+    wanted = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().join(kinds.select("id", "first"), "id")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            found = [shingle_hashes(t, width) for t in large_text(part.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    texts = rows.join(wanted, rows["key"] == wanted["first"]).select("id", "text").dropDuplicates(["id"])
+    sets = materialize(texts.mapInArrow(shingled, "id long, shingles array<long>"), "shingles")
+    common = F.size(F.array_intersect("x", "y"))
+    share = common / (F.size("x") + F.size("y") - common)
+    a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    roots = components(links.join(a, "a").join(b, "b").filter(share >= similarity).select("a", "b"))
+    owned = kinds.select("id", "first").join(roots.withColumnRenamed("a", "id"), "id", "left")
+    owned = materialize(owned.withColumn("root", F.coalesce("root", "id")), "sketch_roots")
+    least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = materialize(owned.join(least, "root").select("id", "component_id"), "sketch_classes")
+    return known.join(classes, "id").select(F.col("key").alias(key), "component_id")
+
+
 def fingerprints(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and fp (the fingerprint as a signed number) of every row; a null text has no words."""
 
@@ -64,7 +139,7 @@ def near_duplicates(
     """
     rows = materialize(fingerprints(docs, width, key, text).withColumnRenamed(key, "key"), "fingerprints")
     values = materialize(rows.groupBy("fp").agg(F.min("key").alias("first")), "different_fingerprints")
-    roots = components(hamming_links(values.select("fp"), budget, leaf))
+    roots = components(hamming_links(values.select("fp", F.col("fp").alias("id")), budget, leaf))
     owned = values.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     owned = materialize(owned, "fingerprint_roots")
     least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
