@@ -6,7 +6,8 @@ a text form one stretch around it. Equal stretches are counted first; of each di
 anchor occurs elsewhere a single copy goes on. Sampled splitters range-partition these copies by
 their suffix from the anchor; a task sorts its bucket by multikey quicksort, forwards from the
 anchor and backwards before it, and finds equal strings from common prefix lengths. What may
-continue in a neighbouring bucket is compared across the boundary by digests.
+continue in a neighbouring bucket is compared across the boundary: digests of the strings that
+its common prefixes leave open.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from contrail.llm.batches import chunks, flat_bytes, large_text
 from contrail.sources.scratch import materialize
 
 GRAM = 64
-SEGMENT = 4 << 20  # bytes whose anchors are found at once
+SEGMENT = 2 << 20  # bytes whose anchors are found at once
 BUCKET = 20_000  # stretches compared at once, if no anchor has more
 _POSITION = np.uint64((1 << 24) - 1)
 _RANDOM = np.random.default_rng(7)
@@ -169,20 +170,24 @@ def _classes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def equal_strings(
-    forward: list[bytes], backward: list[bytes], lead: np.ndarray, span: np.ndarray, copies: np.ndarray, width: int
+    forward: list[bytes], backward: list[bytes], lead: np.ndarray, span: np.ndarray, copies: np.ndarray, width: int,
+    least: np.ndarray | None = None, most: np.ndarray | None = None,
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Strings of ``width`` bytes around anchors, by the anchor's place d in them.
 
     ``forward`` is each stretch from its anchor on, ``backward`` the bytes before it, reversed;
-    copies says how often a stretch occurs. Yields d, the stretches with such a string, a class
-    for each (equal if the strings are), and whether the string occurs more than once here.
+    copies says how often a stretch occurs. ``least`` and ``most`` may narrow d. Yields d, the
+    stretches with such a string, a class for each (equal if the strings are), and whether the
+    string occurs more than once here.
     """
     size = -(-width // 8) * 8
     (ahead, common_ahead), (back, common_back) = (_classes(_words(x, size)) for x in (forward, backward))
     n = len(forward)
     class_ahead, class_back = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(int((lead - span).min()), int(lead.max()) + 1):
-        there = np.flatnonzero((lead - span <= d) & (d <= lead))
+    low = lead - span if least is None else np.maximum(lead - span, least)
+    high = lead if most is None else np.minimum(lead, most)
+    for d in range(int(low.min()), int(high.max()) + 1):
+        there = np.flatnonzero((low <= d) & (d <= high))
         if not len(there):
             continue
         class_ahead[ahead] = np.cumsum(common_ahead < width - d)
@@ -193,32 +198,38 @@ def equal_strings(
         yield d, there, which, total[which] > 1
 
 
+def _columns(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, schema)], [n for n, _ in schema])
+
+
+def _numbers(rows: list[dict], *names: str) -> list[np.ndarray]:
+    return [np.array([r[n] for r in rows], np.int64) for n in names]
+
+
+def _runs(hit: np.ndarray, rows: list[dict]) -> list[tuple]:
+    """a, s and the first and last start of each run of hits; stretches with copies are known to be repeated."""
+    hit = hit & np.array([r["copies"] < 2 for r in rows])[:, None]
+    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (row, x), (_, y) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return [(rows[i]["a"], rows[i]["s"], p, q - 1) for i, p, q in zip(row.tolist(), x.tolist(), y.tolist())]
+
+
 def _compare(buckets: DataFrame, width: int, gram: int) -> DataFrame:
-    """Starts x..y (from a stretch's own) of repeated strings, or single open ones with a digest h."""
-    names = ["a", "s", "x", "y", "h", "m"]
+    """Starts x..y (from a stretch's own) of strings that are repeated inside a bucket.
+
+    Stretches of the first and the last anchor of a bucket also give a row with null x: their
+    anchor may go on in the next bucket.
+    """
 
-    def found(rows: list[dict], opens: set[bytes]) -> Iterator[pa.RecordBatch]:
-        lead, span, copies = (np.array([r[c] for r in rows], np.int64) for c in ("lead", "span", "copies"))
-        opened = np.array([r["ahead"][:gram] in opens for r in rows])
+    def found(rows: list[dict], opens: set[bytes]) -> pa.RecordBatch:
+        lead, span, copies = _numbers(rows, "lead", "span", "copies")
         hit = np.zeros((len(rows), width), bool)
-        open_rows: list[tuple] = []
-        for d, there, which, twice in equal_strings([r["ahead"] for r in rows], [r["back"] for r in rows], lead, span, copies, width):
+        for d, there, _, twice in equal_strings([r["ahead"] for r in rows], [r["back"] for r in rows], lead, span, copies, width):
             hit[there[twice], lead[there[twice]] - d] = True
-            seen: set[int] = set()
-            for k in np.flatnonzero(opened[there]).tolist():
-                if int(which[k]) not in seen:
-                    seen.add(int(which[k]))
-                    r = rows[there[k]]
-                    text = r["back"][:d][::-1] + r["ahead"][: width - d]
-                    x = int(lead[there[k]]) - d
-                    open_rows.append((r["a"], r["s"], x, x, xxhash.xxh3_128_digest(text), 2 if twice[k] else 1))
-        hit &= copies[:, None] < 2  # stretches with copies are known to be repeated
-        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        (row, x), (_, y) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-        done = [(rows[i]["a"], rows[i]["s"], p, q - 1, None, 0) for i, p, q in zip(row.tolist(), x.tolist(), y.tolist())]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-        columns = list(zip(*(done + open_rows))) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        done = _runs(hit, rows)
+        done += [(r["a"], r["s"], None, None) for r in rows if r["ahead"][:gram] in opens]
+        return _columns(done, [("a", pa.int64()), ("s", pa.int64()), ("x", pa.int32()), ("y", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, first, start = [], None, 0  # start: where the last anchor's stretches begin
@@ -228,15 +239,68 @@ def _compare(buckets: DataFrame, width: int, gram: int) -> DataFrame:
                 first = anchor if first is None else first
                 if rows and anchor != rows[-1]["ahead"][:gram]:
                     if len(rows) >= BUCKET:
-                        yield from found(rows, {first})
+                        yield found(rows, {first})
                         rows = []
                     start = len(rows)
                 rows.append(r)
         if rows:
-            yield from found(rows, {first, rows[start]["ahead"][:gram]})
+            yield found(rows, {first, rows[start]["ahead"][:gram]})
+
+    return buckets.mapInArrow(run, "a long, s long, x int, y int")
+
+
+def _limits(rows: list[dict], column: str, gram: int, width: int) -> np.ndarray:
+    """The longest prefix of ``column`` that each row shares with any other of its anchor, rows being sorted by it.
+
+    At the ends of a bucket the neighbour is elsewhere, so nothing is ruled out there.
+    """
+    words = _words([r[column] for r in rows], -(-width // 8) * 8)
+    common = np.minimum(common_prefix(words, np.arange(len(rows))), width)
+    new = np.array([True] + [p["ahead"][:gram] != r["ahead"][:gram] for p, r in zip(rows, rows[1:])])
+    before = np.where(new, 0, common)
+    before[0] = width
+    return np.maximum(before, np.r_[before[1:], width])
+
+
+def _back_limits(members: DataFrame, width: int, gram: int) -> DataFrame:
+    """a, s, most: how far back each stretch agrees with any other of its anchor, in buckets sorted that way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        if rows:
+            most = _limits(rows, "back", gram, width)
+            kinds = [("a", pa.int64()), ("s", pa.int64()), ("most", pa.int32())]
+            yield _columns([(r["a"], r["s"], m) for r, m in zip(rows, most.tolist())], kinds)
+
+    return members.mapInArrow(run, "a long, s long, most int")
+
+
+def _across(members: DataFrame, width: int, gram: int) -> DataFrame:
+    """a, s, x, y and digest h of the strings that may be repeated in another bucket, m (2 if they are in this one).
+
+    Only strings within the common prefixes of their stretch, forwards and backwards, are named;
+    one that is repeated in the bucket is named once, and its stretches have rows without h.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        if not rows:
+            return
+        lead, span, copies, most = _numbers(rows, "lead", "span", "copies", "most")
+        least = width - _limits(rows, "ahead", gram, width)
+        hit = np.zeros((len(rows), width), bool)
+        out, strings = [], ([r["ahead"] for r in rows], [r["back"] for r in rows])
+        for d, there, which, twice in equal_strings(*strings, lead, span, copies, width, least, most):
+            hit[there[twice], lead[there[twice]] - d] = True
+            for k in np.unique(which, return_index=True)[1].tolist():
+                r, x = rows[there[k]], int(lead[there[k]]) - d
+                h = xxhash.xxh3_128_digest(r["back"][:d][::-1] + r["ahead"][: width - d])
+                out.append((None, None, None, None, h, 2) if twice[k] else (r["a"], r["s"], x, x, h, 1))
+        out += [(*r, None, 0) for r in _runs(hit, rows)]
+        kinds = [("a", pa.int64()), ("s", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("h", pa.binary()), ("m", pa.int64())]
+        yield _columns(out, kinds)
 
-    schema = T.StructType().add("a", "long").add("s", "long").add("x", "integer").add("y", "integer").add("h", "binary").add("m", "long")
-    return buckets.mapInArrow(run, schema)
+    return members.mapInArrow(run, "a long, s long, x int, y int, h binary, m long")
 
 
 def _copies(rows: DataFrame, undecided: DataFrame, width: int) -> DataFrame:
@@ -272,11 +336,17 @@ def repeated_starts(rows: DataFrame, width: int, gram: int = GRAM) -> DataFrame:
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (16 << 20))
     buckets = ones.repartitionByRange(parts, "ahead", "back").sortWithinPartitions("ahead", "back")
     compared = materialize(_compare(buckets, width, gram), "compared")
-    open_ = compared.filter("h is not null")
-    twice = open_.groupBy("h").agg(F.sum("m").alias("n")).filter("n > 1").select("h")
-    across = open_.filter("m = 1").join(twice, "h").select("a", "s", "x", "y")
+    members = ones.join(compared.filter("x is null").select("a", "s"), ["a", "s"], "left_semi")
+    members = materialize(members, "members").withColumn("anchor", F.substring("ahead", 1, gram))
+    sorted_back = members.repartitionByRange(parts, "anchor", "back").sortWithinPartitions("anchor", "back")
+    members = members.join(materialize(_back_limits(sorted_back, width, gram), "back_limits"), ["a", "s"])
+    sorted_ = members.repartitionByRange(parts, "ahead", "back").sortWithinPartitions("ahead", "back")
+    named = materialize(_across(sorted_, width, gram), "across")
+    twice = named.filter("h is not null").groupBy("h").agg(F.sum("m").alias("n")).filter("n > 1").select("h")
+    across = named.filter("m = 1").join(twice, "h").select("a", "s", "x", "y")
+    across = across.unionByName(named.filter("h is null").select("a", "s", "x", "y"))
     whole = kinds.filter("copies > 1").select("a", "s", F.lit(0).alias("x"), F.col("span").cast("int").alias("y"))
-    starts = compared.filter("h is null").select("a", "s", "x", "y").unionByName(across).unionByName(whole)
+    starts = compared.filter("x is not null").unionByName(across).unionByName(whole)
     starts = starts.groupBy("a", "s").agg(F.collect_set(F.struct("x", "y")).alias("runs"))
     spread = anchors.join(starts, ["a", "s"]).select("key", "digest", "start", F.explode("runs").alias("run"))
     return spread.select("key", "digest", (F.col("start") + F.col("run.x")).alias("start"), (F.col("start") + F.col("run.y") + 1).alias("stop"))
