@@ -7,7 +7,20 @@ import copy
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.catalog.base import EV, HOUR, MSG, SIX_HOURS, events, messages, table, us, width, with_
+from contrail.catalog.base import (
+    DAY,
+    EV,
+    FLIGHT_MSG,
+    HOUR,
+    MSG,
+    SIX_HOURS,
+    events,
+    messages,
+    table,
+    us,
+    width,
+    with_,
+)
 from contrail.catalog.rules import _LEVELS_SQL, _RULE_SQL
 from contrail.catalog.track import FLIGHTS, MOTION
 from contrail.catalog.zones import CONFIG, RINGS, eta_sql
@@ -20,7 +33,6 @@ from contrail.schema import MAX_TIME_SECONDS
 from contrail.sources.archive import Archive, read_archive, write_archive
 from contrail.sources.scratch import materialize, new_path
 
-DAY = 24 * HOUR
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -46,15 +58,6 @@ def query(sql: str | None = None):
     return register
 
 
-# Messages per flight (a day of silence ends one), their series and hourly states.
-FLIGHT_MSG = [
-    MSG.replace("m AS (", "m0 AS (", 1),
-    f"""fm AS (SELECT *, max(CASE WHEN opens THEN us END) OVER (PARTITION BY icao
-      ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS start_us FROM (
-        SELECT *, coalesce(us - lag(us) OVER (PARTITION BY icao ORDER BY us, event_id)
-          > {DAY * 1_000_000}, true) AS opens FROM m0))""",
-    "m AS (SELECT * REPLACE (icao || ':' || start_us AS icao) FROM fm)",
-]
 SERIES = """ser AS MATERIALIZED (
   WITH r AS (SELECT * FROM (
       SELECT icao, us, event_id, unnest(['latitude', 'longitude', 'altitude', 'vertical_speed',
@@ -278,22 +281,18 @@ def event_archive(spark: SparkSession, sf_dir: str) -> Archive:
     rows = e.withColumns({"category": F.lit("received_data"), "type": F.col("event_type")})
     keys = ["icao", "flight_id", "category", "type"]
     series = track.series_chunks(rows, keys, "ts", "value", ["event_id"], w)
-    kinds = ("click", "error", "purchase", "signup", "view")
-    histogram = F.map_filter(
-        F.create_map(*[
-            x for k in kinds for x in (F.lit(k), F.count_if(F.col("event_type") == k))
-        ]),
-        lambda _, n: n > 0,
-    )
+    kinds = e.groupBy("icao", "flight_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    entries = F.sort_array(F.collect_list(F.struct("event_type", "n")))
+    kinds = kinds.groupBy("icao", "flight_id").agg(F.map_from_entries(entries).alias("packet_type"))
     last = lambda c: F.max_by(c, F.struct("ts", "event_id"))
     info = e.groupBy("icao", "flight_id").agg(
         F.lit("all").alias("zone"), F.lit("seen").alias("level"),
         last(F.concat(F.lit("C"), (F.col("event_id") % 100).cast("string"))).alias("callsign"),
         last(F.array(F.lit(4), (F.col("event_id") % 8).cast("int"))).alias("plane_category"),
         (F.min(us("ts")) / 1e6).alias("first_packet"), (F.max(us("ts")) / 1e6).alias("last_update"),
-        F.count(F.lit(1)).alias("packets"), histogram.alias("packet_type"),
+        F.count(F.lit(1)).alias("packets"),
     )
-    return Archive(series, info)
+    return Archive(series, info.join(kinds, ["icao", "flight_id"]))
 
 
 DAY_FLIGHTS = FLIGHTS.replace(str(SIX_HOURS * 1_000_000), str(DAY * 1_000_000))
@@ -407,8 +406,9 @@ def dump_one_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dump_one_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first flight of one aircraft."""
     a = event_archive(spark, sf_dir)
-    first = browse.list_flights(a, "8").agg(F.min("flight_id")).first()[0]
-    return _dumped(browse.dump(a, "8", first))
+    first = browse.list_flights(a, "8").agg(F.min("flight_id").alias("flight_id"))
+    one = Archive(*(df.join(first, "flight_id", "left_semi") for df in (a.series, a.info)))
+    return _dumped(browse.dump(one, "8"))
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS icao, c_name AS owner, n_name AS country FROM customer

@@ -153,12 +153,15 @@ def decode_partial_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(with_(N, CPR, select="""
-    SELECT event_id, icao, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
-      round(1.852::DOUBLE * CASE WHEN mov = 1 THEN 0 WHEN mov < 9 THEN (mov - 1) * 0.125::DOUBLE
+SURFACE_SPEED = """1.852::DOUBLE * CASE WHEN mov = 1 THEN 0 WHEN mov < 9 THEN (mov - 1) * 0.125::DOUBLE
         WHEN mov < 13 THEN 1 + (mov - 9) * 0.25::DOUBLE WHEN mov < 39 THEN 2 + (mov - 13) * 0.5::DOUBLE
         WHEN mov < 94 THEN mov - 24 WHEN mov < 109 THEN 70 + (mov - 94) * 2
-        WHEN mov < 124 THEN 100 + (mov - 109) * 5 ELSE 175 END, 3) AS horizontal_speed,
+        WHEN mov < 124 THEN 100 + (mov - 109) * 5 ELSE 175 END"""
+
+
+@query(with_(N, CPR, select=f"""
+    SELECT event_id, icao, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
+      round({SURFACE_SPEED}, 3) AS horizontal_speed,
       event_id * 11 % 128 * 2.8125::DOUBLE AS direction
     FROM c WHERE kind = 5 AND mov BETWEEN 1 AND 124 AND event_id % 13 > 0"""))
 def decode_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,24 +180,26 @@ def decode_sign_of_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(spark, sf_dir).filter("type_cat = 0").select("event_id", "icao")
 
 
-@query(with_(N, select="""
-    SELECT CASE kind WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 6 THEN 0
-      ELSE CASE turn WHEN 3 THEN 1 ELSE 0 END END AS type_cat, count(*) AS n
-    FROM n WHERE kind IN (0, 1, 6) OR (kind = 2 AND event_id * 17 % 4096 <> 0) OR (kind = 7 AND turn <> 2)
-    GROUP BY ALL"""))
+# The category of every frame that is decoded; a missing field drops the frame.
+TYPES = """t AS (
+  SELECT event_id, CASE kind WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 4 WHEN 5 THEN 2 WHEN 6 THEN 0
+      ELSE CASE turn WHEN 3 THEN 1 ELSE 0 END END AS type_cat
+  FROM n WHERE kind IN (0, 1, 6) OR (kind = 2 AND event_id * 17 % 4096 <> 0) OR (kind = 7 AND turn <> 2)
+    OR (kind = 5 AND mov BETWEEN 1 AND 124 AND event_id % 13 > 0)
+  UNION ALL SELECT event_id, 5 FROM v WHERE va <> 0 AND vb <> 0 AND vr <> 0 AND direction IS NOT NULL)"""
+
+
+@query(with_(N, VEL, TYPES, select="SELECT type_cat, count(*) AS n FROM t GROUP BY ALL"))
 def type_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages per category for the categories without a missing-field rule."""
-    d = _decoded(spark, sf_dir).filter(F.col("type_cat").isin(0, 1, 3, 4))
-    return d.groupBy("type_cat").agg(F.count(F.lit(1)).alias("n"))
+    """Messages per category."""
+    return _decoded(spark, sf_dir).groupBy("type_cat").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_(N, select="""
-    SELECT icao, us, type_cat, count(*) AS n FROM (
-      SELECT icao, us, CASE kind WHEN 0 THEN 1 ELSE 3 END AS type_cat FROM n WHERE kind IN (0, 1))
-    GROUP BY ALL"""))
+@query(with_(N, VEL, TYPES, select="""
+    SELECT icao, us, type_cat, count(*) AS n FROM t JOIN n USING (event_id) GROUP BY ALL"""))
 def merged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two receivers hear every frame two seconds apart; repeats are merged, then decoded."""
-    f = frames(spark, sf_dir).filter((F.col("event_id") % 8).isin(0, 1)).drop("event_id")
+    f = frames(spark, sf_dir).drop("event_id")
     late = f.withColumns({
         "receiver": F.lit("second"), "ts": F.col("ts") + F.expr("INTERVAL 2 SECONDS")
     })
@@ -203,11 +208,11 @@ def merged_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_(N, select="""
-    SELECT kind, count(*) AS n, count(*) FILTER (WHERE kind < 6) AS intact FROM n
-    WHERE kind < 7 GROUP BY ALL"""))
+    SELECT kind, count(*) AS n, count(*) FILTER (WHERE kind < 6 OR kind = 7 AND turn = 2) AS intact FROM n
+    GROUP BY ALL"""))
 def parity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRC remainder of intact frames is 0; one flipped bit is always noticed."""
-    f = frames(spark, sf_dir).filter("event_id % 8 < 7")
+    f = frames(spark, sf_dir)
     at = (F.col("event_id") % 26).cast("int") + 1
     digit = F.conv(F.substring("hex", at, F.lit(1)), 16, 10).cast("int").bitwiseXOR(1)
     flipped = F.overlay("hex", F.hex(digit), at)

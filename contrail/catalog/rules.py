@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.catalog.base import EV, MSG, messages, positions, table, us, width, with_
+from contrail.catalog.base import DAY, EV, FLIGHT_MSG, MSG, SIX_HOURS, messages, positions, table, us, width, with_
 from contrail.catalog.track import MOTION, states
 from contrail.catalog.zones import CONFIG, ETA, STATE_ETA
 from contrail.operators import alerts as al
-from contrail.operators import enrich
+from contrail.operators import enrich, track
 from contrail.operators.rules import (
     component_columns,
     level_hits,
@@ -18,7 +18,9 @@ from contrail.operators.rules import (
     rule_tables,
 )
 from contrail.operators.zones import rule_states
+from contrail.plans import live
 from contrail.plans.live import state_alerts
+from contrail.sources.scratch import materialize
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -116,12 +118,24 @@ _ALERTS = """a AS (
   FROM z e JOIN l ON l.zone = e.zone WHERE """ + _RULE_SQL + ")"
 
 
-@query(with_(MSG, MOTION, *STATE_ETA, _LEVELS_SQL, _ALERTS, select="""
-    SELECT icao, callsign, type, zone, CASE WHEN isinf(eta) THEN -1.0 ELSE round(eta, 2) END AS eta,
-      us, altitude, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM a"""))
+# Flights are followed one by one: a day of silence ends one, and nothing is carried on.
+ALERT_ROWS = """
+    SELECT {icao} AS icao, callsign, type, zone,
+      CASE WHEN isinf(eta) THEN -1.0 ELSE round(eta, 2) END AS eta,
+      us, altitude, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM a"""
+
+
+@query(with_(*FLIGHT_MSG, MOTION, *STATE_ETA, _LEVELS_SQL, _ALERTS,
+             select=ALERT_ROWS.format(icao="CAST(split_part(icao, ':', 1) AS BIGINT)")))
 def live_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: messages to motion, geofences, rules and alerts."""
-    a = _alerts(spark, sf_dir)
+    """Flagship: messages to flights, motion, geofences, rules and alerts."""
+    w = width(spark, sf_dir)
+    m = materialize(track.flights(messages(spark, sf_dir), "icao", "ts", DAY, w), "messages")
+    a = live.live_alerts(m, load_rules(CONFIG), 10, SIX_HOURS, tie=["event_id"], slice_seconds=w)
+    return alert_rows(a)
+
+
+def alert_rows(a: DataFrame) -> DataFrame:
     eta = F.when(F.abs("eta") < float("inf"), F.round("eta", 2)).otherwise(-1.0)
     return a.select(
         "icao", "callsign", "type", "zone", eta.alias("eta"), us("ts").alias("us"),

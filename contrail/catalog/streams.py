@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.catalog.base import EV, MSG, SIX_HOURS, messages, us, with_
+from contrail.catalog.base import DAY, EV, FLIGHT_MSG, MSG, SIX_HOURS, messages, us, with_
+from contrail.catalog.decode import CPR, SURFACE_SPEED, VEL, N
+from contrail.catalog.encode import frames
+from contrail.catalog.rules import _ALERTS, _LEVELS_SQL, ALERT_ROWS, alert_rows
 from contrail.catalog.rules import SQL as RULES_SQL
-from contrail.catalog.track import _LINE, _STATS, _TOP, FLIGHTS
+from contrail.catalog.track import _LINE, _STATS, _TOP, FLIGHTS, MOTION
 from contrail.catalog.track import SQL as TRACK_SQL
-from contrail.catalog.zones import CONFIG
+from contrail.catalog.zones import CONFIG, STATE_ETA
 from contrail.operators.rules import load_rules
-from contrail.sources.scratch import new_path
+from contrail.sources.scratch import materialize, new_path
 from contrail.streaming import jobs
 
 QUERIES: dict = {}
@@ -52,12 +55,40 @@ def _run(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@query(TRACK_SQL["dedup_within"].replace("event_id, user_id FROM kept", "event_id, user_id AS icao FROM kept"))
+FILES, LATE = 8, 3600
+
+
+def _feed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows as a stream of files, one a micro-batch: in time order but for shuffling within ``LATE`` seconds."""
+    path = new_path(spark, "feed")
+    rows = materialize(rows.withColumn("at_us", us("ts")), "rows")
+    low, high = rows.agg(F.min("at_us"), F.max("at_us")).first()
+    step = (high - low + LATE * 1_000_000) // FILES + 1
+    late = F.col("event_id") * 7919 % LATE * 1_000_000
+    rows = rows.withColumn("file", F.floor((F.col("at_us") + late - low) / step))
+    for k in range(FILES):
+        part = rows.filter(F.col("file") == k).drop("file", "at_us")
+        part.coalesce(1).write.mode("append").parquet(path)
+    schema = rows.drop("file", "at_us").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def passed(sql: str, extra_us: int = 0) -> str:
+    """Rows of ``sql`` (with us) that the last watermark has passed: ``LATE`` seconds behind the newest row."""
+    return f"""SELECT * FROM ({sql}) WHERE (us + 999) // 1000
+      <= ((SELECT max(epoch_us(ts)) FROM events) + {extra_us}) // 1000 - {LATE * 1000}"""
+
+
+_DEDUP = TRACK_SQL["dedup_within"].replace("event_id, user_id FROM kept", "event_id, user_id AS icao FROM kept")
+
+
+@query(passed(f"SELECT event_id, icao, epoch_us(ts) AS us FROM ({_DEDUP}) JOIN events USING (event_id)"))
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates merged over eight micro-batches of shuffled rows."""
     jobs.use_rocksdb(spark)
-    m = _messages(spark, sf_dir).select("event_id", "icao", "ts")
-    kept = jobs.stream_dedup(m, "icao", "ts", SIX_HOURS, ["event_id"])
-    return _run(spark, kept).select("event_id", "icao")
+    m = _feed(spark, messages(spark, sf_dir).select("event_id", "icao", "ts"))
+    kept = jobs.stream_dedup(m, "icao", "ts", SIX_HOURS, ["event_id"], f"{LATE} seconds")
+    return _run(spark, kept).select("event_id", "icao", us("ts").alias("us"))
 
 
 @query(with_(EV, FLIGHTS, select=f"""
@@ -84,18 +115,42 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("icao", "line")
 
 
-@query(RULES_SQL["live_alerts"])
+@query(passed(RULES_SQL["live_alerts"]))
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query on a stream gives the alerts of the batch."""
+    """The flagship query over eight micro-batches of shuffled rows: the alerts of the batch, flight by flight."""
     jobs.use_rocksdb(spark)
     a = jobs.stream_alerts(
-        _messages(spark, sf_dir), load_rules(CONFIG), fresh_seconds=SIX_HOURS,
-        remember_seconds=400 * 86_400, tie=["event_id"],
+        _feed(spark, messages(spark, sf_dir)), load_rules(CONFIG), fresh_seconds=SIX_HOURS, remember_seconds=DAY,
+        tie=["event_id"], lateness=f"{LATE} seconds",
     )
-    eta = F.when(F.abs("eta") < float("inf"), F.round("eta", 2)).otherwise(-1.0)
-    return _run(spark, a).select(
-        "icao", "callsign", "type", "zone", eta.alias("eta"), us("ts").alias("us"),
-        F.col("payload.altitude").alias("altitude"),
-        F.round("payload.latitude", 6).alias("latitude"),
-        F.round("payload.longitude", 6).alias("longitude"),
+    return alert_rows(_run(spark, a))
+
+
+# What the frames of the event table say, decoded.
+FRAME_MSG = f"""m0 AS (WITH {N}, {CPR}, {VEL}
+  SELECT event_id, icao, us, 'AB' || format('{{:04d}}', event_id % 10000) AS callsign, NULL::DOUBLE AS latitude,
+    NULL::DOUBLE AS longitude, NULL::DOUBLE AS altitude, NULL::DOUBLE AS horizontal_speed, NULL::DOUBLE AS direction
+  FROM n WHERE kind = 0 OR (kind = 7 AND turn = 3)
+  UNION ALL SELECT event_id, icao, us, NULL, latitude, longitude,
+    CASE kind WHEN 1 THEN (event_id * 13 % 2048 * 25 - 1000) * 0.3048::DOUBLE
+      ELSE event_id * 17 % 4096 * 3.28084::DOUBLE * 0.3048::DOUBLE END, NULL, NULL
+  FROM c WHERE kind = 1 OR (kind = 2 AND event_id * 17 % 4096 <> 0)
+  UNION ALL SELECT event_id, icao, us, NULL, latitude, longitude, NULL, {SURFACE_SPEED}, event_id * 11 % 128 * 2.8125::DOUBLE
+  FROM c WHERE kind = 5 AND mov BETWEEN 1 AND 124 AND event_id % 13 > 0
+  UNION ALL SELECT event_id, v.icao, epoch_us(ts), NULL, NULL, NULL, NULL, knots * 1.852::DOUBLE, direction
+  FROM v JOIN events USING (event_id) WHERE va <> 0 AND vb <> 0 AND vr <> 0 AND direction IS NOT NULL
+  UNION ALL SELECT event_id, icao, us, NULL, NULL, NULL, NULL, NULL, NULL FROM n WHERE kind = 6 OR (kind = 7 AND turn IN (0, 1)))"""
+
+
+@query(passed(with_(FRAME_MSG, *FLIGHT_MSG[1:], MOTION, *STATE_ETA, _LEVELS_SQL, _ALERTS,
+                    select=ALERT_ROWS.format(icao="split_part(icao, ':', 1)")), 2_000_000))
+def stream_frame_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw frames of two receivers to alerts in one query: merged, decoded, followed, tested."""
+    jobs.use_rocksdb(spark)
+    f = frames(spark, sf_dir)
+    second = f.withColumns({"receiver": F.lit("second"), "ts": F.col("ts") + F.expr("INTERVAL 2 SECONDS")})
+    a = jobs.stream_frame_alerts(
+        _feed(spark, f.unionByName(second)), load_rules(CONFIG), f"{LATE} seconds", fresh_seconds=SIX_HOURS,
+        remember_seconds=DAY, tie=["event_id"], keep=["event_id"],
     )
+    return alert_rows(_run(spark, a))

@@ -109,11 +109,13 @@ def destination_sql(source: str, max_time_s: float) -> list[str]:
         atan2(sin(sg) * sin(az), cos(u1) * cos(sg) - sin(u1) * sin(sg) * cos(az)) AS lam,
         {f!r}::DOUBLE / 16 * (1 - sa * sa) * (4 + {f!r}::DOUBLE * (4 - 3 * (1 - sa * sa))) AS cc
         FROM i{last})""")
-    ctes.append(f"""r AS MATERIALIZED (SELECT * EXCLUDE (km, u1, az, s1, sa, uu, aa, bb, sg, phi, lam, cc),
-        degrees(phi) AS to_lat,
+    # Longitudes of end points lie between -180 and 180, as geodesic libraries give them.
+    ctes.append(f"""r AS MATERIALIZED (SELECT * EXCLUDE (km, u1, az, s1, sa, uu, aa, bb, sg, phi, lam, cc, far_lon),
+        CASE WHEN abs(far_lon) > 180 THEN (far_lon + 540) % 360 - 180 ELSE far_lon END AS to_lon
+        FROM (SELECT *, degrees(phi) AS to_lat,
         longitude + degrees(lam - (1 - cc) * {f!r}::DOUBLE * sa * (sg + cc * sin(sg) *
-          (cos(2 * s1 + sg) + cc * cos(sg) * (-1 + 2 * pow(cos(2 * s1 + sg), 2))))) AS to_lon
-        FROM d5)""")
+          (cos(2 * s1 + sg) + cc * cos(sg) * (-1 + 2 * pow(cos(2 * s1 + sg), 2))))) AS far_lon
+        FROM d5))""")
     return ctes
 
 

@@ -4,13 +4,15 @@
 ``icao_block`` (the first two digits of the address: at most 256 folders, where one folder per
 aircraft would be hundreds of thousands). Inside, rows are range-clustered by aircraft, so
 file statistics find one aircraft and a very busy one is spread over several files.
-``<path>/dropped`` lists deleted aircraft; it hides what was saved before the deletion.
+A flight saved more than once counts as it was saved last. ``<path>/dropped`` lists deleted
+aircraft; it hides what was saved before the deletion.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,17 +36,16 @@ class Archive:
 
 
 def _write(df: DataFrame, path: str, save_id: str, order: list[str]) -> None:
-    """Write one save. Writing the same ``save_id`` again replaces it."""
+    """Write one save. Writing the same ``save_id`` again replaces all of it."""
     (
         df.withColumn("saved_at", F.current_timestamp())
-        .withColumn("save_id", F.lit(save_id))
         .withColumn("icao_block", F.substring("icao", 1, 2))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("save_id", "icao_block")
-        .parquet(path)
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("icao_block")
+        .parquet(f"{path}/save_id={save_id}")
     )
 
 
@@ -54,16 +55,16 @@ def write_archive(archive: Archive, path: str, save_id: str) -> None:
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    if not location.getFileSystem(conf).exists(location):
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str, icao: str | None = None) -> Archive:
-    """All saved flights, or those of one aircraft with partition pruning."""
+    """All saved flights, or those of one aircraft with partition pruning; the latest save of a flight counts."""
     dropped = _table(spark, f"{path}/dropped", DROPPED)
     gone = dropped.groupBy("icao").agg(F.max("dropped_at").alias("dropped_at"))
 
@@ -74,9 +75,13 @@ def read_archive(spark: SparkSession, path: str, icao: str | None = None) -> Arc
                 (F.col("icao_block") == icao[:2]) & (F.col("icao") == icao)
             )
         hidden = (rows.icao == gone.icao) & (rows.saved_at <= gone.dropped_at)
-        return rows.join(gone, hidden, "left_anti").drop("saved_at", "save_id", "icao_block")
+        return rows.join(gone, hidden, "left_anti")
 
-    return Archive(visible("series", SERIES), visible("info", INFO))
+    info = visible("info", INFO)
+    flight = ["icao", "flight_id"]
+    latest = info.groupBy(*flight).agg(F.max_by("save_id", F.struct("saved_at", "save_id")).alias("save_id"))
+    series, info = (df.join(latest, [*flight, "save_id"], "left_semi") for df in (visible("series", SERIES), info))
+    return Archive(*(df.drop("saved_at", "save_id", "icao_block") for df in (series, info)))
 
 
 def drop_plane(spark: SparkSession, path: str, icao: str, confirm: bool = False) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,11 @@ def _own_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """Folder named by ``spark.checkpoint.dir``. Where that is unset a local session gets a new
+    one; a cluster is refused, because its machines don't see each other's folders."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"set {SETTING} to a folder that all machines share")
     return (folder or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from contrail import schema
+from contrail.operators.frames import decode_messages, with_fields
 from contrail.operators.rules import Rules
 from contrail.operators.slices import MICROS, SLICE, as_list, slice_id
 from contrail.operators.track import (
@@ -25,6 +27,7 @@ from contrail.streaming.processors import KeepAfter, TrackState
 
 # Names that start with an underscore are lost on the way into a processor.
 AT = "at_us"
+DAY = "staged_day"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,19 +36,32 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def watermarked(df: DataFrame, ts: str, lateness: str | None) -> DataFrame:
+    """Set how late rows may be; without ``lateness`` the stream has its watermark from its source already."""
+    return df if lateness is None else df.withWatermark(ts, lateness)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows dropped so far because they came after the watermark, as far as progress reports go back."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def stream_dedup(
     df: DataFrame, keys: str | Sequence[str], ts: str, seconds: float = schema.MERGE_SECONDS,
     tie: Sequence[str] = (), lateness: str | None = None,
 ) -> DataFrame:
-    """Streaming ``dedup_within``: the same rows, whatever the micro-batches are."""
+    """Streaming ``dedup_within``: the same rows in any micro-batches and any order within the lateness.
+
+    Rows come out once the watermark has passed them, so the last ones wait for newer rows.
+    """
     hop = round(seconds * MICROS)
-    late = lateness or f"{seconds} seconds"
-    rows = df.withWatermark(ts, late).withColumn(AT, F.unix_micros(ts))
+    rows = watermarked(df, ts, lateness).withColumn(AT, F.unix_micros(ts))
     kept = rows.groupBy(*as_list(keys)).transformWithStateInPandas(
         statefulProcessor=KeepAfter(hop, [AT, *tie]),
         outputStructType=rows.schema,
         outputMode="Append",
         timeMode="EventTime",
+        eventTimeColumnName=ts,
     )
     return kept.drop(AT)
 
@@ -63,10 +79,10 @@ def stream_dedup_coarse(
 
 def stream_flights(
     messages: DataFrame, key: str = "icao", ts: str = "ts",
-    gap_seconds: float = schema.REMEMBER_SECONDS, lateness: str = "0 seconds",
+    gap_seconds: float = schema.REMEMBER_SECONDS, lateness: str | None = "0 seconds",
 ) -> DataFrame:
     """Flights that have closed: emitted once the watermark has passed their silence."""
-    return flight_bounds(messages.withWatermark(ts, lateness), key, ts, gap_seconds)
+    return flight_bounds(watermarked(messages, ts, lateness), key, ts, gap_seconds)
 
 
 def stream_states(
@@ -74,7 +90,7 @@ def stream_states(
     remember_seconds: float = schema.REMEMBER_SECONDS, key: str = "icao", ts: str = "ts",
     tie: Sequence[str] = (), lateness: str | None = None,
 ) -> DataFrame:
-    """Streaming ``motion``. State finds the fixes; distances stay Spark columns."""
+    """Streaming ``motion``, in event time order. State finds the fixes; distances stay Spark columns."""
     fresh = round((back_n if fresh_seconds is None else fresh_seconds) * MICROS)
     carried = [
         c
@@ -82,7 +98,7 @@ def stream_states(
         if c in messages.columns
     ]
     rows = (
-        messages.withWatermark(ts, lateness or f"{remember_seconds} seconds")
+        watermarked(messages, ts, lateness)
         .withColumn(AT, F.unix_micros(ts))
         .select(key, ts, AT, *tie, "latitude", "longitude", *carried)
     )
@@ -112,6 +128,7 @@ def stream_states(
         outputStructType=out,
         outputMode="Append",
         timeMode="EventTime",
+        eventTimeColumnName=ts,
     )
     held = {
         f"_{name}": F.struct(*[F.col(f"{name}_{p}").alias(p) for p in ("us", "lat", "lon")])
@@ -130,6 +147,20 @@ def stream_alerts(messages: DataFrame, rules: Rules, **options) -> DataFrame:
     return state_alerts(stream_states(messages, **options), rules)
 
 
+def stream_frame_alerts(
+    frames: DataFrame, rules: Rules, lateness: str | None, home: tuple[float, float] = schema.HOME,
+    merge_seconds: float = schema.MERGE_SECONDS, tie: Sequence[str] = ("hex",), keep: Sequence[str] = (), **options,
+) -> DataFrame:
+    """Raw frames to alerts in one query: duplicates merged, decoded, followed, tested against the rules.
+
+    The watermark is set once, on the frames. ``keep`` names further columns of the frames that
+    ``tie`` needs.
+    """
+    merged = stream_dedup(frames, "hex", "ts", merge_seconds, ["receiver"], lateness)
+    messages = decode_messages(with_fields(merged), *home, keep=["hex", *keep])
+    return stream_alerts(messages, rules, tie=tie, **options)
+
+
 def start(
     df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append",
     once: bool = False, hz: float = schema.TICKS_PER_SECOND, checkpoint: str | None = None,
@@ -157,7 +188,7 @@ def table_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 def stream_status(
     messages: DataFrame, show: Callable[[DataFrame, int], None], k: int = schema.TOP_PLANES,
-    advanced: bool = True, tie: Sequence[str] = (), once: bool = False,
+    advanced: bool = True, tie: Sequence[str] = (), once: bool = False, checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Running status: the k busiest aircraft after every micro-batch.
 
@@ -181,40 +212,50 @@ def stream_status(
         )
         show(status_lines(stats, k, advanced), number)
 
-    return start(counts, tick, "complete", once)
+    return start(counts, tick, "complete", once, checkpoint=checkpoint)
 
 
 def stream_archive(
-    messages: DataFrame, rules: Rules, staging: str, path: str,
+    messages: DataFrame, rules: Rules, staging: str, path: str, checkpoint: str,
     gap_seconds: float = schema.REMEMBER_SECONDS, lateness: str = "0 seconds",
     slice_seconds: float = schema.SLICE_SECONDS, once: bool = False, **options,
 ) -> list[StreamingQuery]:
     """Archive flights as they close.
 
-    One query keeps the messages in a staging table; a second follows that table, finds
+    One query keeps the messages in a staging table by day; a second follows that table, finds
     closed flights and archives those that qualify from their staged messages. With ``once``
-    the first has finished before the second starts.
+    the first has finished before the second starts. Started again with the same ``checkpoint``
+    both go on where they stopped: a micro-batch that runs again replaces its own save, because
+    the name of a save is made of the checkpoint and the number of the micro-batch. Old days of
+    the staging table may be deleted once no flight can reach back to them.
     """
     spark = messages.sparkSession
+    day = F.to_date("ts").alias(DAY)
     keep = (
-        messages.writeStream.format("parquet")
+        messages.select("*", day).writeStream.format("parquet").partitionBy(DAY)
         .option("path", staging)
-        .option("checkpointLocation", new_path(spark, "staging"))
+        .option("checkpointLocation", f"{checkpoint}/staging")
         .trigger(**({"availableNow": True} if once else {"processingTime": "10 seconds"}))
         .start()
     )
     if once:
         keep.awaitTermination()
-    staged = spark.readStream.schema(messages.schema).parquet(staging)
+    layout = T.StructType([*messages.schema.fields, T.StructField(DAY, T.DateType())])
+    staged = spark.readStream.schema(layout).parquet(staging).drop(DAY)
     closed = stream_flights(staged, "icao", "ts", gap_seconds, lateness)
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def save(batch: DataFrame, number: int) -> None:
-        flown = messages_of(spark.read.schema(messages.schema).parquet(staging), batch, slice_seconds)
-        flown = materialize(flown, "closed")
+        batch = materialize(batch, "closed_flights")
+        first, last = batch.agg(F.to_date(F.min("flight_start")), F.to_date(F.max("flight_end"))).first()
+        if first is None:
+            return
+        rows = spark.read.schema(layout).parquet(staging).filter(F.col(DAY).between(first, last)).drop(DAY)
+        flown = materialize(messages_of(rows, batch, slice_seconds), "closed")
         archive = archive_flights(flown, rules, slice_seconds=slice_seconds, **options)
-        write_archive(archive, path, f"batch-{number}")
+        write_archive(archive, path, f"{name}-{number}")
 
-    return [keep, start(closed, save, "append", once)]
+    return [keep, start(closed, save, "append", once, checkpoint=f"{checkpoint}/flights")]
 
 
 def messages_of(

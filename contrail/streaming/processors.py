@@ -1,9 +1,10 @@
 """Keyed state for what Spark has no built-in streaming operator for.
 
-Each processor is small: it orders the rows of one aircraft within a micro-batch and hands on
-the few values later columns need. How many rows that can be is set by the rate limit of the
-source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). State is bounded per key and is
-dropped by an event-time timer once the aircraft has been silent long enough.
+Rows of an aircraft are held until the watermark has passed them and are then handled in event
+time order, so the result does not depend on how they arrive, as long as they are not later than
+the watermark allows. What is held is bounded by that lateness and by the rate limit of the
+source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``); the rest of the state is a few values
+per key, dropped by a timer once the aircraft has been silent long enough.
 """
 
 from __future__ import annotations
@@ -13,43 +14,83 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MICROS = 1_000_000
 _STATE = T.StructType([T.StructField("state", T.StringType())])
+_HELD = T.StructType([T.StructField("rows", T.BinaryType())])
+
+
+def _packed(rows: pd.DataFrame) -> tuple[bytes]:
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(rows: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(rows).read_all().to_pandas()
 
 
 class _Keyed(StatefulProcessor):
-    """One JSON value per key, forgotten ``keep_us`` after the last row."""
+    """Rows held by event time, and one JSON value per key, forgotten ``keep_us`` after the last row."""
 
     keep_us: int
+    order: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("state", _STATE)
+        self.held = handle.getListState("held", _HELD)
 
-    def load(self) -> dict[str, Any] | None:
-        return json.loads(self.value.get()[0]) if self.value.exists() else None
+    def fold(self, state: dict[str, Any] | None, rows: pd.DataFrame) -> tuple[dict[str, Any], pd.DataFrame]:
+        """New state (with ``last``, the time it counts from) and output for rows in order."""
+        raise NotImplementedError
 
-    def store(self, state: dict[str, Any], last_us: int) -> None:
-        self.value.update((json.dumps(state),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((last_us + self.keep_us) // 1000 + 1)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self.held.appendList([_packed(part) for part in rows])
+        return self._advance(timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.value.clear()
-        return iter(())
+        return self._advance(timerValues)
+
+    def _advance(self, timerValues) -> Iterator[pd.DataFrame]:
+        """Handle what the watermark has passed, and set the timer for what comes next."""
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        parts = [_unpacked(row[0]) for row in self.held.get()] if self.held.exists() else []
+        rows = pd.concat(parts, ignore_index=True) if parts else None
+        out, due = [], []
+        state = json.loads(self.value.get()[0]) if self.value.exists() else None
+        if rows is not None:
+            now = rows["at_us"] <= passed
+            if now.any():
+                state, found = self.fold(state, rows[now].sort_values(self.order, kind="stable"))
+                out = [found] if len(found) else []
+            later = rows[~now]
+            if len(later):
+                self.held.put([_packed(later)])
+                due.append(int(later["at_us"].min()))
+            else:
+                self.held.clear()
+        if state is not None and state["last"] + self.keep_us < passed:
+            state = None
+            self.value.clear()
+        elif state is not None:
+            self.value.update((json.dumps(state),))
+            due.append(state["last"] + self.keep_us + 1000)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if due:
+            self.handle.registerTimer(-(-min(due) // 1000))
+        yield from out
 
     def close(self) -> None:
         pass
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
-
-
 class KeepAfter(_Keyed):
     """Rows more than ``hop_us`` after the last row that was kept."""
 
@@ -58,18 +99,13 @@ class KeepAfter(_Keyed):
         self.hop_us = hop_us
         self.order = order
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, self.order)
-        state = self.load() or {"last": None}
-        last, keep = state["last"], []
-        for us in batch["at_us"].tolist():
+    def fold(self, state, rows):
+        last, keep = state["last"] if state else None, []
+        for us in rows["at_us"].tolist():
             new = last is None or us > last + self.hop_us
             keep.append(new)
             last = us if new else last
-        self.store({"last": last}, last)
-        kept = batch[keep]
-        if len(kept):
-            yield kept
+        return {"last": last}, rows[keep]
 
 
 class TrackState(_Keyed):
@@ -82,11 +118,9 @@ class TrackState(_Keyed):
         self.order = order
         self.out = out
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows, self.order)
-        state = self.load()
+    def fold(self, state, rows):
         found: list[dict[str, Any]] = []
-        for row in batch.to_dict("records"):
+        for row in rows.to_dict("records"):
             us = row["at_us"]
             if state is None or us - state["last"] > self.keep_us:
                 state = {"start": us, "fixes": [], "first": None, "seen": {}}
@@ -111,10 +145,8 @@ class TrackState(_Keyed):
                     at, value = state["seen"].get(c, (None, None))
                     made |= {f"{c}_us": at, f"{c}_value": value}
                 found.append(made)
-        self.store(state, state["last"])
-        if found:
-            frame = pd.DataFrame(found, columns=self.out)
-            for c in self.out:
-                if c.endswith("at_us"):
-                    frame[c] = frame[c].astype("Int64")
-            yield frame
+        frame = pd.DataFrame(found, columns=self.out)
+        for c in self.out:
+            if c.endswith("at_us"):
+                frame[c] = frame[c].astype("Int64")
+        return state, frame

@@ -8,9 +8,10 @@ from contrail.operators.frames import dedup_within
 from contrail.operators.rules import load_rules
 from contrail.plans import browse
 from contrail.plans.archiving import archive_flights
-from contrail.sources.archive import drop_plane, read_archive, reset_archive, write_archive
+from contrail.sources.archive import Archive, drop_plane, read_archive, reset_archive, write_archive
 from contrail.sources.frames import read_frames, read_receivers
 from contrail.sources.registry import read_registry
+from contrail.sources.scratch import shared_dir
 from contrail.streaming import jobs
 
 SAVE = {"telemetry": {"default": "all", "altitude": "none"}, "calculated": {"default": "decimate(2)"}}
@@ -94,49 +95,109 @@ def test_slice_width_does_not_change_the_archive(spark):
     assert content(build(spark, 7.0)) == content(build(spark, 3600.0))
 
 
-def _split(spark, path, parts=4):
-    """Messages as several files in time order, read one file per micro-batch."""
-    df = messages(spark)
-    data = sorted(rows(), key=lambda r: r[1])
+LATE = 10  # seconds
+
+
+def _files(spark, path, data, parts):
+    """Messages as several files, one per micro-batch: in time order but for shuffling within ``LATE`` seconds."""
+    data = sorted(data, key=lambda r: r[1] + (ord(r[0][-1]) * 7 + ord(r[2][-1]) * 3) % LATE)
     size = len(data) // parts + 1
     for i in range(parts):
         part = frame(spark, data[i * size : (i + 1) * size], COLS)
         part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _out(spark, df, path):
-    jobs.start(df, jobs.table_sink(path), once=True).awaitTermination()
+def _out(spark, df, path, checkpoint=None):
+    jobs.start(df, jobs.table_sink(path), once=True, checkpoint=checkpoint).awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _passed(df, data):
+    """What the watermark has passed: ``LATE`` seconds behind the newest row."""
+    return df.filter(df.ts.cast("double") <= max(r[1] for r in data) - LATE)
+
+
+def _same(got, want, *cols):
+    return sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
 def test_streams_give_the_batch_result(spark, tmp_path):
     jobs.use_rocksdb(spark)
-    stream = _split(spark, str(tmp_path / "in"))
-    late = "1 hour"
-    kept = jobs.stream_dedup(stream, "icao", "ts", 5, ["hex"], late)
-    got = _out(spark, kept, str(tmp_path / "dedup")).select("icao", "ts", "hex")
-    want = dedup_within(messages(spark), "icao", "ts", 5, ["hex"]).select("icao", "ts", "hex")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-    states = jobs.stream_states(stream, tie=["hex"], lateness=late)
+    stream = _files(spark, str(tmp_path / "in"), rows(), 4)
+    kept = jobs.stream_dedup(stream, "icao", "ts", 5, ["hex"], f"{LATE} seconds")
+    got = _out(spark, kept, str(tmp_path / "dedup"))
+    want = dedup_within(messages(spark), "icao", "ts", 5, ["hex"])
+    assert got.count() and _same(got, _passed(want, rows()), "icao", "ts", "hex")
+
+    states = jobs.stream_states(stream, tie=["hex"], lateness=f"{LATE} seconds")
     got = _out(spark, states, str(tmp_path / "states"))
     flown = track.flights(messages(spark), "icao", "ts", 30)
     want = track.motion(flown, keys=["icao", "flight_start"], tie=["hex"])
     cols = ["icao", "flight_start", "ts", "hex", "latitude", "speed", "heading", "callsign"]
-    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    assert got.count() and _same(got, _passed(want, rows()), *cols)
 
 
-def test_stream_archive_saves_closed_flights(spark, tmp_path):
-    stream = _split(spark, str(tmp_path / "in"))
+def test_restarted_stream_goes_on_and_late_rows_are_counted(spark, tmp_path):
+    jobs.use_rocksdb(spark)
+    source, path, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    data = sorted(rows(), key=lambda r: r[1])
+    for part in (data[:50], data[50:]):
+        stream = _files(spark, source, part, 2)
+        kept = jobs.stream_dedup(stream, "icao", "ts", 5, ["hex"], f"{LATE} seconds")
+        got = _out(spark, kept, path, check)
+    want = dedup_within(messages(spark), "icao", "ts", 5, ["hex"])
+    assert got.count() and _same(got, _passed(want, data), "icao", "ts", "hex")
+
+    frame(spark, [("AB0001", 1.0, *data[0][2:])], COLS).coalesce(1).write.mode("append").parquet(source)
+    frame(spark, [("AB0001", 9000.0, *data[0][2:])], COLS).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    kept = jobs.stream_dedup(stream, "icao", "ts", 5, ["hex"], f"{LATE} seconds")
+    query = jobs.start(kept, jobs.table_sink(path), once=True, checkpoint=check)
+    query.awaitTermination()
+    assert jobs.late_rows(query) == 1
+
+
+def _archive(spark, source, data, tmp_path):
+    stream = _files(spark, source, data, 2)
     path = str(tmp_path / "archive")
     queries = jobs.stream_archive(
-        stream, load_rules(CONFIG), str(tmp_path / "staging"), path, 30, once=True
+        stream, load_rules(CONFIG), str(tmp_path / "staging"), path, str(tmp_path / "check"), 30, f"{LATE} seconds", once=True
     )
     for q in queries:
         q.awaitTermination()
+    return sorted((r.icao, r.packets) for r in read_archive(spark, path).info.collect())
+
+
+def test_stream_archive_saves_closed_flights_and_goes_on(spark, tmp_path):
+    source = str(tmp_path / "in")
     # The last flight stays open: nothing has moved the watermark past its silence.
-    assert [(r.icao, r.packets) for r in read_archive(spark, path).info.collect()] == [("ab0001", 41)]
+    assert _archive(spark, source, rows(), tmp_path) == [("ab0001", 41)]
+    later = [("EF0004", 3000.0 + i, *rows()[0][2:]) for i in range(3)]
+    assert _archive(spark, source, later, tmp_path) == [("ab0001", 41), ("cd0003", 41)]
+
+
+def test_a_save_is_replaced_whole_and_the_latest_counts(spark, tmp_path):
+    path, made = str(tmp_path / "archive"), build(spark)
+    write_archive(made, path, "one")
+    fewer = Archive(*(df.filter("icao = 'ab0001'") for df in (made.series, made.info)))
+    write_archive(fewer, path, "one")
+    assert [r.icao for r in read_archive(spark, path).info.collect()] == ["ab0001"]
+    write_archive(made, path, "two")
+    both = read_archive(spark, path)
+    assert sorted(r.icao for r in both.info.collect()) == ["ab0001", "cd0003"]
+    assert browse.dump(both).count() == browse.dump(made).count()
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Cluster:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "a", "getConf": staticmethod(dict)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
+    Cluster.conf = {"spark.checkpoint.dir": "hdfs://shared/"}
+    assert shared_dir(Cluster) == "hdfs://shared"
 
 
 def test_line_source_and_receivers(spark, tmp_path):
