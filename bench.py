@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -33,19 +34,23 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="contrail-bench-"))
         .config("spark.sql.sessionWindow.merge.sessions.in.local.partition", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    queries, seconds = catalog.queries(), {}
+    queries, seconds, warm = catalog.queries(), {}, {}
     for name in sys.argv[1:] or HEADLINE:
-        start = time.time()
-        queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.time() - start, 3)
+        for figures in (seconds, warm):
+            if figures is warm and seconds[name] > 10:
+                continue  # long ones are mostly work, not compiling
+            start = time.time()
+            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            figures[name] = round(time.time() - start, 3)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3),
-        "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")),
+        "unit": "sec", "queries": seconds, "warm": warm, "sf": os.path.basename(sf_dir.rstrip("/")),
     }))
     spark.stop()
 

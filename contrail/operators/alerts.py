@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,6 +17,7 @@ def alerts(hits: DataFrame, icao: str = "icao", ts: str = "ts") -> DataFrame:
         "eta",
         F.col(ts).alias("ts"),
         "alert_method",
+        "arguments",
     )
 
 
@@ -73,25 +72,32 @@ def to_text(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("type").alias("logger"), alert_json(rows).alias("value"))
 
 
-def _log_rows(rows: Iterable[Row]) -> None:
-    """Print on the executors, so that no alert has to pass through the driver."""
-    for row in rows:
-        print(row.logger, row.value, flush=True)
-
-
-def write_alerts(rows: DataFrame, method: str, server: str | None = None) -> None:
+def write_alerts(rows: DataFrame, method: str, server: str | None = None, path: str | None = None) -> None:
     """Send the alerts whose category uses ``method``; also usable inside foreachBatch.
 
-    ``kafka`` needs Spark's Kafka package on the classpath.
+    ``print`` appends them to text files in ``path``, or shows them on the driver's console by
+    blocks. ``kafka`` sends each to the server its category names, or to ``server``, and needs
+    Spark's Kafka package on the classpath.
     """
     chosen = rows.filter(F.col("alert_method") == method)
     if method == "print":
-        to_text(chosen).foreachPartition(_log_rows)
+        lines = to_text(chosen).select(F.concat_ws(" ", "logger", "value").alias("value"))
+        if path:
+            lines.write.mode("append").text(path)
+        else:
+            for row in lines.toLocalIterator():
+                print(row.value, flush=True)
     elif method == "kafka":
-        if not server:
-            raise ValueError("the kafka method needs a server")
-        to_kafka_rows(chosen).write.format("kafka").option(
-            "kafka.bootstrap.servers", server
-        ).save()
+        for name, part in by_server(chosen, server).items():
+            to_kafka_rows(part).write.format("kafka").option("kafka.bootstrap.servers", name).save()
     else:
         raise ValueError(f"unknown alert method {method!r}")
+
+
+def by_server(rows: DataFrame, server: str | None = None) -> dict[str, DataFrame]:
+    """Alerts by the server their category names; ``server`` takes those of categories that name none."""
+    named = F.coalesce(F.try_element_at("arguments", F.lit("server")), F.lit(server))
+    servers = [r.server for r in rows.select(named.alias("server")).distinct().collect()]
+    if None in servers:
+        raise ValueError("the kafka method needs a server")
+    return {s: rows.filter(named == s) for s in sorted(servers)}

@@ -91,6 +91,19 @@ def tokens(requirements: str) -> list[str]:
     return found
 
 
+def _check_grammar(requirements: str) -> None:
+    """A requirement is names joined by and/or, each behind any number of nots, or in parentheses."""
+    words, wants, depth = tokens(requirements), True, 0  # wants: a name must still come
+    for word in words:
+        opens, closes, joins = word in ("(", "not"), word == ")", word in ("and", "or")
+        if wants == (closes or joins) or (closes and not depth):
+            raise RuleError(f"{word!r} is out of place in requirement {requirements!r}")
+        depth += (word == "(") - closes
+        wants = opens or joins
+    if wants or depth:
+        raise RuleError(f"requirement {requirements!r} is not complete")
+
+
 def component_names(requirements: str) -> list[str]:
     names = [t for t in tokens(requirements) if t not in _OPERATORS and t not in "()"]
     return list(dict.fromkeys(names))
@@ -174,6 +187,7 @@ def load_rules(config: Mapping) -> Rules:
             missing = {"category", "requirements", "seconds"} - set(level)
             if missing:
                 raise RuleError(f"{owner}: missing {sorted(missing)}")
+            _check_grammar(level["requirements"])
             unknown = set(component_names(level["requirements"])) - set(components)
             if unknown:
                 raise RuleError(f"{owner}: unknown component {sorted(unknown)}")
@@ -281,17 +295,26 @@ def zone_literal(zones: tuple[Zone, ...]) -> Column:
 
 
 def level_hits(states: DataFrame, rules: Rules) -> DataFrame:
-    """Rows of ``zone_eta`` times the levels of their zone whose requirement holds."""
-    labels = T.ArrayType(T.StructType([
+    """Rows of ``zone_eta`` times the levels of their own zone whose requirement holds."""
+    label = T.StructType([
         T.StructField("level", T.StringType()),
         T.StructField("alert_method", T.StringType()),
-    ]))
-    tests = [
-        F.when(
-            (F.col("zone") == v.zone) & requirement(v.requirements, rules.components),
-            F.struct(F.lit(v.name).alias("level"), F.lit(v.alert_method).alias("alert_method")),
-        )
-        for v in rules.levels
-    ]
-    hits = F.array_compact(F.array(*tests)) if tests else F.array().cast(labels)
+        T.StructField("arguments", T.MapType(T.StringType(), T.StringType())),
+    ])
+    hits = F.lit(None).cast(T.ArrayType(label))
+    for zone in dict.fromkeys(v.zone for v in rules.levels):
+        tests = [
+            F.when(
+                requirement(v.requirements, rules.components),
+                F.from_json(
+                    F.lit(json.dumps({
+                        "level": v.name, "alert_method": v.alert_method,
+                        "arguments": {k: str(x) for k, x in v.arguments.items()},
+                    })), label,
+                ),
+            )
+            for v in rules.levels
+            if v.zone == zone
+        ]
+        hits = F.when(F.col("zone") == zone, F.array_compact(F.array(*tests))).otherwise(hits)
     return states.select("*", F.inline(hits))
