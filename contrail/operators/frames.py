@@ -185,9 +185,10 @@ def dedup_within(
     large group of copies never travels. What a slice keeps depends on the last time kept
     before it. That is known without looking back when the silence before the slice is long
     enough; where it is not, each slice is summarised by what it hands on for every possible
-    start, and the summaries are chained, in blocks, to find the real one.
+    start, and the summaries are chained, in blocks, to find the real one. Slices are never
+    shorter than the interval: a shorter one would hand on something else for each of its rows.
     """
-    keys = as_list(keys)
+    keys, slice_seconds = as_list(keys), max(slice_seconds, seconds)
     hop = round(seconds * MICROS)
     rest = [c for c in df.columns if c not in keys]
     rows = sliced(df, ts, slice_seconds)
