@@ -19,7 +19,8 @@ from contrail.sources.scratch import materialize
 
 BITS = 64
 DIRECT = 48  # node pairs with at most so many value pairs are compared value by value
-FRONT = 1 << 17  # node pairs handled at once
+FRONT = 1 << 16  # node pairs handled at once
+DIRECT_ROWS = 1 << 19  # value pairs compared at once
 
 
 class _Trie:
@@ -79,6 +80,16 @@ def _nearest_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np
     return order[np.concatenate(kept)] if kept else order[:0]
 
 
+def _products(first: np.ndarray, second: np.ndarray, wide: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all value pairs of node pairs, a bounded number at once: n pairs, ``wide`` of them to a row."""
+    ends = np.cumsum(n)
+    for low in range(0, int(ends[-1]) if len(n) else 0, DIRECT_ROWS):
+        at = np.arange(low, min(low + DIRECT_ROWS, int(ends[-1])))
+        which = np.searchsorted(ends, at, side="right")
+        k = at - (ends - n)[which]
+        yield first[which] + k // wide[which], second[which] + k % wide[which]
+
+
 def traverse(
     left: np.ndarray, right: np.ndarray | None, budget: int, depth: int = 0, differing: int = 0,
     sketches: tuple[np.ndarray, np.ndarray] | None = None, limit: int = 0,
@@ -117,12 +128,9 @@ def traverse(
             ia, ib, d = ia[open_], ib[open_], d[open_]
         na, nb = a.sizes(t)[ia], b.sizes(t)[ib]
         direct = (na * nb <= DIRECT) | (t == BITS)
-        if direct.any():
-            pa_, pb_, n = a.starts(t)[ia[direct]], b.starts(t)[ib[direct]], (na * nb)[direct]
-            which = np.repeat(np.arange(len(n)), n)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            wide = nb[direct][which]
-            x, y = pa_[which] + k // wide, pb_[which] + k % wide
+        first, second, n = a.starts(t)[ia[direct]], b.starts(t)[ib[direct]], (na * nb)[direct]
+        wide = nb[direct]
+        for x, y in _products(first, second, wide, n):
             near = np.bitwise_count(a.values[x] ^ b.values[y]) <= budget
             if self_join:
                 near &= x < y
@@ -131,7 +139,7 @@ def traverse(
                 far = np.bitwise_count(sketches[0][x] ^ sketches[1][y]).sum(1, dtype=np.int64)
                 close = far <= limit
                 pairs.append((x[close], y[close] + shift, far[close]))
-                if sum(len(k[0]) for k in pairs) > 1 << 20:
+                if sum(len(k[0]) for k in pairs) > DIRECT_ROWS:
                     u, v, far = map(np.concatenate, zip(*pairs))
                     kept = _nearest_forest(size, u, v, far)
                     pairs = [(u[kept], v[kept], far[kept])]
