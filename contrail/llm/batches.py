@@ -10,12 +10,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 
 
-def carried(docs: DataFrame, columns: tuple[str, ...]) -> list[Column]:
-    """Columns that come along unread, as one struct that no name can clash with; nothing if there are none."""
-    return [F.struct(*(docs[c] for c in columns)).alias("carried")] if columns else []
+def carried(docs: DataFrame, columns: tuple[str, ...], text: str) -> list[Column]:
+    """Columns that come along unread, as one struct that no name can clash with; the text travels once, outside."""
+    others = [docs[c] for c in columns if c != text]
+    return [F.struct(*others).alias("carried")] if others else []
+
+
+def whole(columns: tuple[str, ...], text: str) -> list[Column]:
+    """The struct of all ``columns`` again, from text and carried; nothing if there are none."""
+    parts = [F.col("text").alias(c) if c == text else F.col("carried")[c].alias(c) for c in columns]
+    return [F.struct(*parts).alias("carried")] if parts else []
 
 
 def large_text(column: pa.Array) -> pa.Array:

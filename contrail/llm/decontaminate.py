@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contrail.llm.batches import carried, chunks, large_text
+from contrail.llm.batches import carried, chunks, large_text, whole
 from contrail.llm.fm_index import FMIndex
 from contrail.sources.scratch import materialize
 
@@ -132,7 +132,7 @@ def decontaminate(
     items without id or text have no phrases. Items are broadcast in blocks of ``block_bytes``;
     with several blocks the documents pass once for each, through tables in the shared folder.
     """
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), *carried(docs, carry))
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), *carried(docs, carry, text))
     along = rows.columns[2:]
     kind = rows.schema["key"].dataType
     pairs = T.ArrayType(T.ArrayType(T.IntegerType()))
@@ -172,6 +172,6 @@ def decontaminate(
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     out = rows.select(
         F.col("key").alias(key), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans",
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), *along,
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), *whole(carry, text),
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))

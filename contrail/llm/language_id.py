@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contrail.llm.batches import carried, chunks, flat_bytes, large_text
+from contrail.llm.batches import carried, chunks, flat_bytes, large_text, whole
 from contrail.sources.scratch import materialize
 
 UNKNOWN = "und"
 ROWS = 256  # texts in one matrix product
+CHUNK = 1 << 20  # bytes of text whose n-grams are held at once
 _SPACE = 1 << 24
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint32)
 
@@ -25,7 +26,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all 1-, 2- and 3-grams of UTF-8 bytes (A-Z lower-cased) and the row of each."""
     data, offsets = flat_bytes(texts)
     low, sizes = _LOWER[data], np.diff(offsets)
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     left = np.repeat(offsets[1:], sizes) - np.arange(len(low))  # bytes from here to the end of the text
     codes, rows = [low], [row]  # a byte, then a length mark above it: codes of different lengths differ
     if len(low) > 1:
@@ -51,7 +52,8 @@ class Model:
 
     @functools.cached_property
     def column(self) -> np.ndarray:
-        table = np.full(_SPACE + (1 << 17), -1, np.int32)
+        small = np.int16 if len(self.codes) < 1 << 15 else np.int32
+        table = np.full(_SPACE + (1 << 17), -1, small)
         table[self.codes] = np.arange(len(self.codes))
         return table
 
@@ -94,7 +96,7 @@ def fit(labelled: DataFrame, sample_rows: int = 4096, landmarks: int = 96, ridge
     sample = materialize(_sample(labelled, sample_rows).repartition(8, "key"), "language_sample")
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, most=CHUNK):
             for k, text in enumerate(large_text(part.column("text"))):
                 codes = np.unique(grams(pa.array([text.as_py()], pa.large_string()))[0]).astype(np.uint32)
                 one = part.slice(k, 1)
@@ -126,7 +128,7 @@ def fit(labelled: DataFrame, sample_rows: int = 4096, landmarks: int = 96, ridge
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, gram, target = shared.value, 0.0, 0.0
-        for part in chunks(batches):
+        for part in chunks(batches, most=CHUNK):
             langs = np.array([m.languages.index(x) for x in part.column("lang").to_pylist()])
             texts = large_text(part.column("text"))
             for i, piece in enumerate(_pieces(texts)):
@@ -168,18 +170,19 @@ def language_id(
     other columns aren't read, but those of ``carry`` come along as the struct carried; an empty
     table gives an empty result. Scoring needs no shuffle.
     """
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang"), *carried(docs, carry))
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("lang"), *carried(docs, carry, text))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     learn = rows.filter(~held_out(F.col("key")) & F.col("key").isNotNull() & F.col("lang").isNotNull() & letters)
-    model, along = fit(learn.select("key", "text", "lang"), sample_rows, landmarks), rows.columns[3:]
-    out = rows.select("key", held_out(F.col("key")).alias("held_out"), letters.alias("letters"), "text", *along)
+    model = fit(learn.select("key", "text", "lang"), sample_rows, landmarks)
+    along = rows.columns[3:] + ["text"] * (text in carry)
+    out = rows.select("key", held_out(F.col("key")).alias("held_out"), letters.alias("letters"), "text", *rows.columns[3:])
     if model is None:
-        return out.select(F.col("key").alias(key), "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *along)
+        return out.select(F.col("key").alias(key), "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *whole(carry, text))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part in chunks(batches):
+        for part in chunks(batches, most=CHUNK):
             texts = large_text(part.column("text"))
             values = np.concatenate([m.scores(piece) for piece in _pieces(texts)])
             excess = np.maximum(values + 1, 0)
@@ -197,4 +200,4 @@ def language_id(
     schema = schema.add("lang_pred", "string").add("score", "double")
     for c in along:
         schema = schema.add(c, out.schema[c].dataType)
-    return out.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return out.mapInArrow(run, schema).select(F.col("key").alias(key), "held_out", "lang_pred", "score", *whole(carry, text))

@@ -146,11 +146,11 @@ def dedup_lines(
     line of a later copy goes, the first copy stays. Result: ``key``, text (the lines left), n_lines
     and n_removed (lines with a word). Blank lines stay, but a text that loses every line becomes
     empty. A null text is given back as null with no lines. Rows that agree in key and text count as one and get the same
-    result; a null key is before all others; other columns aren't read, but those of ``carry`` come
-    along as the struct carried; an empty table gives an empty result.
+    result; a null key is before all others; other columns aren't read, but those of ``carry`` (not
+    the text) come along as the struct carried; an empty table gives an empty result.
     """
     rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    along = carried(docs, carry)
+    along = carried(docs, carry, text)
     gone = repeated_runs(rows, least).groupBy(F.struct("key", "digest").alias("d"))
     gone = gone.agg(F.sort_array(F.collect_set(F.struct("n", "length"))).alias("runs"))
     digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
