@@ -42,6 +42,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers stay for later tasks; what they don't use goes back
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
