@@ -203,6 +203,38 @@ def test_similar_documents_against_all_pairs(frame):
     assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
 
 
+def edited_text(rnd, words, kind, share):
+    """Words with ``share`` of them appended, cut or changed."""
+    k = int(len(words) * share)
+    if kind == "appended":
+        return words + [rnd.choice(words) for _ in range(k)]
+    if kind == "cut":
+        return words[: len(words) - k]
+    at = rnd.randrange(len(words) - k)
+    return words[:at] + [rnd.choice(words) for _ in range(k)] + words[at + k :]
+
+
+def similar_exactly(frame, rows):
+    sets = {k: set(shingle_hashes(t or "", 5)) for k, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in similar_documents(frame(rows, DOCS)).collect()}
+    assert got == roots(sets, links)
+    return len(links)
+
+
+def test_similar_documents_of_a_large_group(frame):
+    """Variants at all distances of one text: the nearest by any sketch is often not similar enough, another one is."""
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(3000)}" for _ in range(120)]
+    rows = []
+    for i in range(700):
+        text = list(base)
+        for _ in range(rnd.randrange(1, 9)):
+            text[rnd.randrange(len(text))] = f"x{rnd.randrange(3000)}"
+        rows.append((i, " ".join(text)))
+    assert similar_exactly(frame, rows) > 1000
+
+
 def test_components(spark):
     rnd = random.Random(6)
     links = [(i, i + 1) for i in range(60)] + [(200, 100 + i) for i in range(50)] + [(7, 7), (300, 301), (301, 300)]
