@@ -90,7 +90,7 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint64).reshape(len(column), -1) if data else np.zeros((0, PARITY // 64), np.uint64)
 
 
-def _common_shingles(rows: DataFrame, width: int, most: int = 50_000, kept: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _common_shingles(rows: DataFrame, width: int, most: int = 10_000, kept: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of many texts (from 16 on), by a sample, and their ranks. They only order shingles: a missing one costs time, not results."""
     n = rows.count()
     share = min(1.0, max(1 / 16, most / max(1, n)))

@@ -235,6 +235,18 @@ def test_similar_documents_of_a_large_group(frame):
     assert similar_exactly(frame, rows) > 1000
 
 
+def test_similar_documents_by_kind_of_change(frame):
+    rnd, rows = random.Random(10), []
+    for size, kinds in ((250, 3000), (250, 300), (60, 3000), (8, 50)):
+        for i in range(12):
+            base = [f"{size}v{i % 3}n{rnd.randrange(kinds)}" for _ in range(size)]
+            rows.append((len(rows), " ".join(base)))
+            for kind in ("appended", "cut", "changed"):
+                for share in (0.05, 0.1, 0.19):
+                    rows.append((len(rows), " ".join(edited_text(rnd, base, kind, share))))
+    assert similar_exactly(frame, rows) > 300
+
+
 def test_components(spark):
     rnd = random.Random(6)
     links = [(i, i + 1) for i in range(60)] + [(200, 100 + i) for i in range(50)] + [(7, 7), (300, 301), (301, 300)]
