@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("token_queries", "filter_queries", "dedup_queries", "vector_queries", "chat_queries")
+MODULES = ("token_queries", "filter_queries", "dedup_queries", "vector_queries", "chat_queries", "corpus_queries")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
