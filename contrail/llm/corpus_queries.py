@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 
+from contrail.llm.collocations import collocations
 from contrail.llm.hash_tree import PIECE, Shard, even_tree, place_documents
 
 TREE = even_tree(8)
@@ -14,6 +17,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_documents(docs, TREE, [*TREE, Shard("r2", "k4", 8)])
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def _level(name: str, source: str, nodes: str, above: str) -> str:
     """Rows of ``source`` with the child that wins among those of ``nodes`` below their node ``above``."""
     return f"""{name} AS (
@@ -30,7 +37,8 @@ def _nodes(tree: list[Shard]) -> str:
     return ", ".join(f"('{up}', '{node}', {w}::DOUBLE)" for (up, node), w in weight.items())
 
 
-QUERIES = {"op11_sharding": op11_sharding}
+LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+QUERIES = {"op11_sharding": op11_sharding, "op12_collocations": op12_collocations}
 SQL = {
     "op11_sharding": f"""
 WITH old(up, node, w) AS (VALUES {_nodes(TREE)}),
@@ -56,4 +64,28 @@ piece AS (
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, size, crc, piece) - 1 AS slot, grown_shard
 FROM placed""",
+    "op12_collocations": rf"""
+WITH piece AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), f AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM piece, (VALUES (1), (2), (3)) AS v(k), unnest(range(1, len(w) - k + 2)) AS t(i) GROUP BY ALL
+), candidate AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10
+), cut AS (
+  SELECT c.lang, c.k, c.phrase, c.a, l.a AS l, r.a AS r, j, (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidate) c
+  JOIN f l ON l.lang = c.lang AND l.k = j AND l.phrase = array_to_string(c.w[1:j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.k = c.k - j AND r.phrase = array_to_string(c.w[j + 1:], ' ')
+), least AS (
+  SELECT lang, k, phrase, a, arg_min({{'l': l, 'r': r, 'score': score}}, {{'score': score, 'j': j}}) AS c FROM cut GROUP BY ALL
+), longer AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS over FROM candidate, (VALUES (1), (2)) AS t(i) WHERE k = 3 GROUP BY ALL
+), kept AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY c.score DESC, a DESC, b.phrase) AS rank
+  FROM least b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase WHERE over IS NULL OR 100 * over < 50 * a
+)
+SELECT lang, rank, phrase, a, c.l AS l, c.r AS r, n::BIGINT AS n, c.score::BIGINT AS score
+FROM kept JOIN (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000""",
 }
