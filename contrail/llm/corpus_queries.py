@@ -7,6 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 
 from contrail.llm.collocations import collocations
+from contrail.llm.filter_audit import audit_filters
 from contrail.llm.hash_tree import PIECE, Shard, even_tree, place_documents
 
 TREE = even_tree(8)
@@ -21,6 +22,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def _level(name: str, source: str, nodes: str, above: str) -> str:
     """Rows of ``source`` with the child that wins among those of ``nodes`` below their node ``above``."""
     return f"""{name} AS (
@@ -38,7 +43,7 @@ def _nodes(tree: list[Shard]) -> str:
 
 
 LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
-QUERIES = {"op11_sharding": op11_sharding, "op12_collocations": op12_collocations}
+QUERIES = {"op11_sharding": op11_sharding, "op12_collocations": op12_collocations, "op13_filter_audit": op13_filter_audit}
 SQL = {
     "op11_sharding": f"""
 WITH old(up, node, w) AS (VALUES {_nodes(TREE)}),
@@ -88,4 +93,36 @@ WITH piece AS (
 )
 SELECT lang, rank, phrase, a, c.l AS l, c.r AS r, n::BIGINT AS n, c.score::BIGINT AS score
 FROM kept JOIN (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000""",
+    "op13_filter_audit": r"""
+WITH label AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), doc AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, concat(
+    CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+    CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > first THEN 'E' END) AS fails
+  FROM doc LEFT JOIN label USING (doc_id)
+), kind AS (
+  SELECT part, good, toxic, fails, count(*) AS n FROM judged GROUP BY ALL
+), letter(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letter a, letter b, letter c, letter d, letter e
+  WHERE b.x <> a.x AND c.x NOT IN (a.x, b.x) AND d.x NOT IN (a.x, b.x, c.x) AND e.x NOT IN (a.x, b.x, c.x, d.x)
+), step AS (
+  SELECT o, s, o[s:s] AS f, o[:s - 1] AS before FROM orders, unnest(range(1, 6)) AS t(s)
+), met AS (
+  SELECT k.*, o, s, f, contains(fails, f) AS hit, translate(fails, before, '') = fails AS there FROM kind k, step
+), total AS (
+  SELECT part, o, s, f, coalesce(sum(n) FILTER (there AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (there AND hit), 0) AS removed,
+    coalesce(sum(n) FILTER (hit AND NOT there), 0) AS redundant, coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (there AND hit AND good), 0) AS good_lost, coalesce(sum(n) FILTER (there AND hit AND toxic), 0) AS toxic_lost
+  FROM met GROUP BY part, o, s, f
+)
+SELECT part, o AS filter_order, s::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM total""",
 }
