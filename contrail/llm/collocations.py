@@ -161,7 +161,7 @@ def _scan(shard: DataFrame, step: int, cycle: int, least: int, shared) -> DataFr
         return pa.RecordBatch.from_arrays(made, list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scan(step, cycle, least, shared.value)
+        scan = Scan(step, cycle, least, [np.frombuffer(zstandard.decompress(r), np.uint8) for r in shared.value])
         for b in batches:
             for i in range(b.num_rows):
                 own = b.column("ids")[i].values.to_numpy().view(np.uint64)
@@ -225,12 +225,12 @@ def _phrases(coded: DataFrame, least: int, longest: int, cycle: int, counters: i
     totals = [np.zeros(counters, cells_type(least)) for _ in range(longest)]
     scans, step = [], 0
     while step <= _last_step(reached, cycle):
-        shared = spark.sparkContext.broadcast(reached)
+        shared = spark.sparkContext.broadcast([zstandard.compress(r.tobytes(), 1) for r in reached])
         scanned = materialize(_scan(coded.filter(F.col("shard") == step % cycle), step, cycle, least, shared), "scan")
         _add_up(scanned, least, counters, totals)
         for r, total in zip(reached, totals):
             r[(total >= least) & (r == NEVER)] = step
-        shared.unpersist()
+        shared.destroy()  # what it was needed for is written
         scans.append(scanned.filter("phrase is not null").select("length", "phrase", "n"))
         step += 1
     found = functools.reduce(DataFrame.union, scans).groupBy("length", "phrase").agg(F.sum("n").alias("a"))
