@@ -26,6 +26,7 @@ from contrail.catalog.track import FLIGHTS, MOTION
 from contrail.catalog.zones import CONFIG, RINGS, eta_sql
 from contrail.operators import qualify as ql
 from contrail.operators import track
+from contrail.operators.intervals import TICKS, state_intervals
 from contrail.operators.rules import load_rules
 from contrail.plans import browse
 from contrail.plans.archiving import archive_flights
@@ -128,11 +129,11 @@ def _bounds(m: DataFrame) -> DataFrame:
     return m.groupBy("icao", "flight_start").agg(F.max("ts").alias("flight_end"))
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _states(spark: SparkSession, sf_dir: str, make=ql.second_states, step: int = HOUR) -> DataFrame:
     m, received, calculated = _series(spark, sf_dir)
     keys = ["icao", "flight_start"]
     wide = materialize(ql.wide_series(received, calculated, keys, "ts", ["event_id"]), "series")
-    return ql.second_states(_bounds(m), wide, keys, "ts", ["event_id"], HOUR, width(spark, sf_dir))
+    return make(_bounds(m), wide, keys, "ts", ["event_id"], step, width(spark, sf_dir))
 
 
 @query(with_(*FLIGHT_MSG, select=f"""
@@ -162,8 +163,12 @@ def hourly_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT {_SPLIT}, zone, level, valid_seconds,
       CASE WHEN isinf(min_eta) THEN -1.0 ELSE round(min_eta, 2) END AS min_eta FROM ok"""))
 def qualified_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Levels met long enough by a flight, with its smallest time to enter the zone."""
-    q = ql.qualify(_states(spark, sf_dir), load_rules(SAVING))
+    """Levels met long enough by a flight, with its smallest time to enter the zone; ticks of an hour."""
+    return _qualified(_states(spark, sf_dir, state_intervals))
+
+
+def _qualified(stretches: DataFrame) -> DataFrame:
+    q = ql.qualify(stretches, load_rules(SAVING), weight=TICKS)
     eta = F.when(F.abs("min_eta") < float("inf"), F.round("min_eta", 2)).otherwise(-1.0)
     return q.select(
         "icao", us("flight_start").alias("start_us"), "zone", "level", "valid_seconds",
@@ -171,6 +176,36 @@ def qualified_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Stretches between switching points of any series, each with its number of seconds; the state at
+# its first second is searched among all samples of the flight, as for the hourly ticks.
+_SWITCH = """ends AS (SELECT icao, min(us) // 1000000 + 1 AS lo, max(us) // 1000000 AS hi FROM m GROUP BY icao),
+  half AS (SELECT icao, (us + lag(us) OVER (PARTITION BY icao, category, type ORDER BY us) + 1999999) // 2000000 AS k
+    FROM u WHERE (category, type) IN (('received_data', 'latitude'), ('received_data', 'longitude'), ('received_data', 'altitude'),
+      ('received_data', 'vertical_speed'), ('calculated_data', 'horizontal_speed'), ('calculated_data', 'direction'))),
+  ticks AS MATERIALIZED (SELECT icao, k * 1000000 AS us, row_number() OVER () AS event_id,
+      coalesce(lead(k) OVER (PARTITION BY icao ORDER BY k), hi + 1) - k AS ticks
+    FROM (SELECT icao, lo AS k, hi FROM ends WHERE lo <= hi
+      UNION SELECT icao, k, hi FROM half JOIN ends USING (icao) WHERE k > lo AND k <= hi))"""
+SECONDS = [
+    *FLIGHT_MSG, MOTION, SERIES, HOURLY[1], _SWITCH,
+    HOURLY[2].replace("SELECT t.event_id, t.icao, t.us, ", "SELECT t.event_id, t.icao, t.us, any_value(t.ticks) AS ticks, ", 1),
+    *eta_sql("st", MAX_TIME_SECONDS, RINGS), _LEVELS_SQL,
+    f"""ok AS MATERIALIZED (SELECT e.icao, e.zone, l.level,
+      sum(e.ticks) FILTER (WHERE {_RULE_SQL})::BIGINT AS valid_seconds, min(e.eta) AS min_eta
+    FROM z e JOIN l ON l.zone = e.zone GROUP BY ALL
+    HAVING sum(e.ticks) FILTER (WHERE {_RULE_SQL})
+      >= CASE l.level WHEN 'warn' THEN 60 WHEN 'alert' THEN 30 ELSE 2 END)""",
+]
+
+
+@query(with_(*SECONDS, select=f"""
+    SELECT {_SPLIT}, zone, level, valid_seconds,
+      CASE WHEN isinf(min_eta) THEN -1.0 ELSE round(min_eta, 2) END AS min_eta FROM ok"""))
+def qualified_by_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on the grid of seconds."""
+    return _qualified(_states(spark, sf_dir, state_intervals, 1))
+
+
 @query(with_(EV, select="""
     SELECT event_id FROM (SELECT event_id, row_number() OVER (
       PARTITION BY user_id, event_type ORDER BY us, event_id) AS rn FROM ev) WHERE (rn - 1) % 10 = 0"""))

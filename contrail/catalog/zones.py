@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail import schema
-from contrail.catalog.base import POS, bearing_sql, km_sql, positions, with_
+from contrail.catalog.base import POS, bearing_sql, km_sql, positions, table, with_
 from contrail.functions import geo
 from contrail.operators.rules import Zone, load_rules
+from contrail.operators.ray_grid import zone_eta_by_grid
 from contrail.operators.zones import containing_zones, zone_eta
 
 # Three convex zones, one concave, one of the degenerate kind.
@@ -119,11 +120,11 @@ def destination_sql(source: str, max_time_s: float) -> list[str]:
     return ctes
 
 
-def eta_sql(source: str, max_time_s: float, rings: dict[str, list]) -> list[str]:
+def eta_sql(source: str, max_time_s: float, rings: dict[str, list], edges: str = "") -> list[str]:
     """Every row of ``source`` with every zone: half-plane tests and edge hits."""
     return [
         *destination_sql(source, max_time_s),
-        edges_sql(rings),
+        edges or edges_sql(rings),
         """w AS MATERIALIZED (SELECT r.*, e.*,
             (y2 - y1) * (longitude - x1) - (x2 - x1) * (latitude - y1) AS side,
             (to_lat - latitude) * (x2 - x1) - (to_lon - longitude) * (y2 - y1) AS det,
@@ -239,3 +240,28 @@ def zones_by_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "zone string, ring array<struct<lat:double,lon:double>>",
     )
     return containing_zones(positions(spark, sf_dir), zones, 0.1).select("event_id", "zone")
+
+
+# A kite around a place of its own for every supplier.
+_KITES = """k AS (SELECT 'S' || s_suppkey AS zone, 35.0::DOUBLE + CAST(s_suppkey * 37 % 997 AS DOUBLE) / 997 AS y,
+    -79.0::DOUBLE + CAST(s_suppkey * 53 % 991 AS DOUBLE) / 991 AS x, CAST(1 + s_suppkey % 5 AS DOUBLE) / 64 AS h FROM supplier)"""
+_KITE_EDGES = """e AS (SELECT zone, y - h AS y1, x AS x1, y AS y2, x + h AS x2 FROM k
+    UNION ALL SELECT zone, y, x + h, y + 2 * h, x FROM k UNION ALL SELECT zone, y + 2 * h, x, y, x - h FROM k
+    UNION ALL SELECT zone, y, x - h, y - h, x FROM k)"""
+
+
+def kites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_suppkey")
+    y, x = F.lit(35.0) + (n * 37 % 997).cast("double") / 997, F.lit(-79.0) + (n * 53 % 991).cast("double") / 991
+    h = (1 + n % 5).cast("double") / 64
+    corners = [(y - h, x), (y, x + h), (y + 2 * h, x), (y, x - h)]
+    ring = F.array(*[F.struct(a.alias("lat"), b.alias("lon")) for a, b in corners])
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), n.cast("string")).alias("zone"), ring.alias("ring"))
+
+
+@query(with_(POS, _KITES, *eta_sql("p", _MAX, {}, _KITE_EDGES), select="""
+    SELECT event_id, zone, inside, round(eta, 3) AS eta FROM z WHERE NOT isinf(eta)"""))
+def zone_times_by_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions with the zones they are in or enter, for zones that are a table."""
+    z = zone_eta_by_grid(positions(spark, sf_dir), kites(spark, sf_dir), cell_degrees=0.1)
+    return z.select("event_id", "zone", "inside", F.round("eta", 3).alias("eta"))

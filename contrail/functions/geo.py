@@ -215,17 +215,18 @@ def segment_meets_box(
     return enters <= leaves + 1e-9
 
 
-def first_crossing(edges: Column, lat: Column, lon: Column, dy: Column, dx: Column) -> Column:
-    """Smallest fraction of the straight lat/lon segment at which it meets the ring."""
+def crossing(e: Column, lat: Column, lon: Column, dy: Column, dx: Column) -> Column:
+    """Fraction of the straight lat/lon segment at which it meets an edge, if it does."""
+    det = dy * e["ex"] - dx * e["ey"]
+    gap_y, gap_x = e["lat1"] - lat, e["lon1"] - lon
+    t = F.try_divide(gap_y * e["ex"] - gap_x * e["ey"], det)
+    u = F.try_divide(gap_y * dx - gap_x * dy, det)
+    return F.when(u.between(0.0, 1.0) & t.between(0.0, 1.0), t)
 
-    def fraction(e: Column) -> Column:
-        det = dy * e["ex"] - dx * e["ey"]
-        gap_y, gap_x = e["lat1"] - lat, e["lon1"] - lon
-        t = (gap_y * e["ex"] - gap_x * e["ey"]) / det
-        u = (gap_y * dx - gap_x * dy) / det
-        return F.when((det != 0) & u.between(0.0, 1.0) & t.between(0.0, 1.0), t)
 
-    return F.array_min(F.transform(edges, fraction))
+def first_crossing(edges: Column, lat: Column, lon: Column, dy: Column, dx: Column) -> Column:
+    """Smallest fraction of the straight lat/lon segment at which it meets the ring."""
+    return F.array_min(F.transform(edges, lambda e: crossing(e, lat, lon, dy, dx)))
 
 
 def nearest_on_ring(edges: Column, lat: Column, lon: Column) -> Column:

@@ -103,18 +103,21 @@ def qualify(
     rules: Rules,
     keys: Sequence[str] = FLIGHT,
     max_time_s: float = schema.MAX_TIME_SECONDS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Levels a flight met for at least their number of seconds.
 
     The time to enter is computed once per zone, and all levels are counted in one
-    aggregation that is combined map-side.
+    aggregation that is combined map-side. ``weight`` names the number of seconds that a state
+    stands for, if it is not one.
     """
     keys = as_list(keys)
     judged = rule_states(states, rules, max_time_s)
+    stands = F.col(weight) if weight else F.lit(1)
     counts = [
-        F.count_if((F.col("zone") == v.zone) & requirement(v.requirements, rules.components)).alias(
-            f"_n{i}"
-        )
+        F.sum(
+            F.when((F.col("zone") == v.zone) & requirement(v.requirements, rules.components), stands)
+        ).alias(f"_n{i}")
         for i, v in enumerate(rules.levels)
     ]
     per_zone = judged.groupBy(*keys, "zone").agg(F.min("eta").alias("min_eta"), *counts)

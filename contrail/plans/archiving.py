@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrail import schema
+from contrail.operators.intervals import TICKS, state_intervals
 from contrail.operators.qualify import (
     FLIGHT,
     flight_id,
     flight_info,
     qualify,
-    second_states,
     thin,
     wide_series,
 )
@@ -60,8 +60,8 @@ def archive_flights(
         keys, "ts", tie,
     )
     bounds = info.select(*keys, "flight_end")
-    seconds = second_states(bounds, wide, keys, "ts", tie, step_seconds, slice_seconds)
-    qualified = materialize(qualify(seconds, rules, keys, max_time_s), "qualified")
+    stretches = state_intervals(bounds, wide, keys, "ts", tie, step_seconds, slice_seconds)
+    qualified = materialize(qualify(stretches, rules, keys, max_time_s, TICKS), "qualified")
 
     kept = thin(series, qualified, bounds, rules, keys, "ts", tie, slice_seconds)
     named = kept.select(

@@ -1,10 +1,15 @@
+import random
+
 import pytest
 from helpers import frame
+from pyspark.sql import functions as F
 
 from contrail import schema
 from contrail.operators import track
 from contrail.operators.enrich import with_registry
 from contrail.operators.frames import dedup_within
+from contrail.operators.intervals import STATE, TICKS, state_intervals
+from contrail.operators.qualify import second_states
 from contrail.operators.rules import load_rules
 from contrail.plans import browse
 from contrail.plans.archiving import archive_flights
@@ -218,3 +223,26 @@ def test_registry_file(spark, tmp_path):
     df = spark.createDataFrame([("AB0001",), ("FFFFFF",)], "icao string")
     got = {r.icao: r.reg_owner for r in with_registry(df, registry).collect()}
     assert got == {"AB0001": "First, Inc", "FFFFFF": None}
+
+
+@pytest.mark.parametrize("width", [5.0, 37.0, 86400.0])
+def test_stretches_say_what_every_second_says(spark, width):
+    rnd = random.Random(3)
+    rows = []
+    for icao in ("A", "B", "C", "D"):
+        for k in range(60):
+            t = rnd.choice([rnd.randrange(0, 400), rnd.randrange(0, 400) + 0.5, rnd.random() * 400])
+            lat, lon, alt, vs, speed, heading = (rnd.choice([None, None, float(rnd.randrange(3))]) for _ in range(6))
+            rows.append((icao, 0.0, float(t), k, lat, lon, alt, vs, speed, None if icao == "C" else heading))
+    series = frame(spark, rows, "icao string, start double, ts double, n int, latitude double, longitude double, altitude double, vertical_speed double, speed double, heading double")
+    series = series.withColumn("flight_start", F.timestamp_micros(F.lit(250_000))).drop("start")
+    ends = frame(spark, [("A", 400.0), ("B", 399.9), ("C", 400.0), ("D", 0.9)], "icao string, ts double").withColumnRenamed("ts", "flight_end")
+    bounds = ends.withColumn("flight_start", F.timestamp_micros(F.lit(250_000)))
+    args = (bounds, series.filter("unix_micros(ts) <= 400000000"), ["icao", "flight_start"], "ts", ["n"], 1, width)
+    names = ["icao", "ts", *STATE]
+    want = second_states(*args).select(*names)
+    got = state_intervals(*args)
+    each = got.withColumn("ts", F.explode(F.transform(F.sequence(F.lit(0), F.col(TICKS) - 1), lambda k: F.timestamp_micros(F.unix_micros("ts") + k * 1_000_000))))
+    rows = sorted(map(tuple, each.select(*names).collect()), key=repr)
+    assert rows == sorted(map(tuple, want.collect()), key=repr) and {r[0] for r in rows} == {"A", "B"}
+    assert got.count() < len(rows) / 2

@@ -1,11 +1,13 @@
 import json
 import math
+import random
 
 import pytest
 
 from contrail.functions import geo
 from contrail.operators import rules as ru
 from contrail.operators.alerts import alerts, to_kafka_rows
+from contrail.operators.ray_grid import zone_eta_by_grid
 from contrail.operators.zones import rule_states, zone_eta, zone_parts
 
 SQUARE = ru.Zone("square", ((35.0, -79.0), (35.0, -78.0), (36.0, -78.0), (36.0, -79.0)))
@@ -135,3 +137,25 @@ def test_missing_datum_fails_and_endless_eta_is_null(spark):
     assert (row.topic, row.key) == ("warn", "A")
     value = json.loads(row.value)
     assert value["eta"] is None and value["payload"]["altitude"] is None and "icao" not in value
+
+
+def test_rays_over_a_grid_against_every_zone(spark):
+    rnd = random.Random(4)
+    rings = {}
+    for i in range(60):
+        lat, lon, h = rnd.uniform(35, 36), rnd.uniform(-79, -78), rnd.choice([0.002, 0.03, 0.4])
+        turn = [rnd.uniform(0.2, 1) for _ in range(rnd.randrange(3, 8))]
+        rings[f"z{i}"] = [(lat + h * r * math.sin(6.28 * k / len(turn)), lon + h * r * math.cos(6.28 * k / len(turn))) for k, r in enumerate(turn)]
+    rings["edge"] = [(35.25, -78.75), (35.25, -78.5), (35.5, -78.5), (35.5, -78.75)]  # on the lines of the grid
+    rings["point"] = [(35.5, -78.5)] * 3
+    rows = [(k, rnd.uniform(34.9, 36.1), rnd.uniform(-79.1, -77.9), rnd.choice([0.0, 5.0, 400.0, None]), rnd.choice([0.0, 90.0, 180.0, 270.0, rnd.uniform(0, 360), None])) for k in range(300)]
+    rows += [rows[0], (900, 35.25, -78.9, 300.0, 90.0), (901, None, -78.0, 100.0, 10.0), (902, 35.3, -78.6, 100.0, 10.0)]
+    positions = spark.createDataFrame(rows, "id int, latitude double, longitude double, speed double, heading double")
+    names = "zone string, ring array<struct<lat:double,lon:double>>"
+    table = spark.createDataFrame(list(rings.items()), names)
+    every = zone_eta(positions, [ru.Zone(n, tuple(r)) for n, r in rings.items()], 3000)
+    want = sorted((r.id, r.zone, r.inside, round(r.eta, 6)) for r in every.collect() if r.eta < math.inf)
+    assert len({r[1] for r in want}) > 30 and {r[2] for r in want} == {True, False}
+    for size in (0.05, 0.25, 3.0):
+        got = zone_eta_by_grid(positions, table, 3000, size)
+        assert sorted((r.id, r.zone, r.inside, round(r.eta, 6)) for r in got.collect()) == want
