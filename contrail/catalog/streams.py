@@ -56,35 +56,43 @@ def _run(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 FILES, LATE = 8, 3600
+SLICE_ROWS = 4_000_000
 
 
 def _feed(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Rows as a stream of files, one a micro-batch: in time order but for shuffling within ``LATE`` seconds."""
+    """Rows as a stream, one slice of time a micro-batch: in time order but for shuffling within ``LATE`` seconds.
+
+    A slice is as many files as its rows are worth, and slices grow in number with the table. Behind
+    them comes one row ``LATE`` seconds and one after the newest, with nothing but its time and the
+    aircraft -1: it takes the watermark past every row of the table, and never comes out itself.
+    """
     path = new_path(spark, "feed")
     rows = materialize(rows.withColumn("at_us", us("ts")), "rows")
-    low, high = rows.agg(F.min("at_us"), F.max("at_us")).first()
-    step = (high - low + LATE * 1_000_000) // FILES + 1
+    low, high, n = rows.agg(F.min("at_us"), F.max("at_us"), F.count("*")).first()
+    slices = max(FILES, n // SLICE_ROWS)
+    step = (high - low + LATE * 1_000_000) // slices + 1
     late = F.col("event_id") * 7919 % LATE * 1_000_000
-    rows = rows.withColumn("file", F.floor((F.col("at_us") + late - low) / step))
-    for k in range(FILES):
-        part = rows.filter(F.col("file") == k).drop("file", "at_us")
-        part.coalesce(1).write.mode("append").parquet(path)
-    schema = rows.drop("file", "at_us").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def passed(sql: str, extra_us: int = 0) -> str:
-    """Rows of ``sql`` (with us) that the last watermark has passed: ``LATE`` seconds behind the newest row."""
-    return f"""SELECT * FROM ({sql}) WHERE (us + 999) // 1000
-      <= ((SELECT max(epoch_us(ts)) FROM events) + {extra_us}) // 1000 - {LATE * 1000}"""
+    rows = materialize(rows.withColumn("slice", F.floor((F.col("at_us") + late - low) / step)), "slices")
+    least = rows.groupBy("slice").count().agg(F.min("count")).first()[0]
+    files = FILES if least > 1000 * FILES else 1
+    schema = rows.drop("slice", "at_us").schema
+    for k in range(slices):
+        part = rows.filter(F.col("slice") == k).drop("slice", "at_us")
+        part.repartition(files).write.mode("append").parquet(path)
+    last = rows.limit(1).select(*[
+        (F.timestamp_micros(F.lit(high + (LATE + 1) * 1_000_000)) if f.name == "ts" else
+         F.lit("-1" if f.name in ("icao", "hex") else None)).cast(f.dataType).alias(f.name) for f in schema
+    ])
+    last.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 _DEDUP = TRACK_SQL["dedup_within"].replace("event_id, user_id FROM kept", "event_id, user_id AS icao FROM kept")
 
 
-@query(passed(f"SELECT event_id, icao, epoch_us(ts) AS us FROM ({_DEDUP}) JOIN events USING (event_id)"))
+@query(f"SELECT event_id, icao, epoch_us(ts) AS us FROM ({_DEDUP}) JOIN events USING (event_id)")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicates merged over eight micro-batches of shuffled rows."""
+    """Duplicates merged over micro-batches of shuffled rows."""
     jobs.use_rocksdb(spark)
     m = _feed(spark, messages(spark, sf_dir).select("event_id", "icao", "ts"))
     kept = jobs.stream_dedup(m, "icao", "ts", SIX_HOURS, ["event_id"], f"{LATE} seconds")
@@ -115,9 +123,9 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("icao", "line")
 
 
-@query(passed(RULES_SQL["live_alerts"]))
+@query(RULES_SQL["live_alerts"])
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query over eight micro-batches of shuffled rows: the alerts of the batch, flight by flight."""
+    """The flagship query over micro-batches of shuffled rows: the alerts of the batch, flight by flight."""
     jobs.use_rocksdb(spark)
     a = jobs.stream_alerts(
         _feed(spark, messages(spark, sf_dir)), load_rules(CONFIG), fresh_seconds=SIX_HOURS, remember_seconds=DAY,
@@ -142,8 +150,8 @@ FRAME_MSG = f"""m0 AS (WITH {N}, {CPR}, {VEL}
   UNION ALL SELECT event_id, icao, us, NULL, NULL, NULL, NULL, NULL, NULL FROM n WHERE kind = 6 OR (kind = 7 AND turn IN (0, 1)))"""
 
 
-@query(passed(with_(FRAME_MSG, *FLIGHT_MSG[1:], MOTION, *STATE_ETA, _LEVELS_SQL, _ALERTS,
-                    select=ALERT_ROWS.format(icao="split_part(icao, ':', 1)")), 2_000_000))
+@query(with_(FRAME_MSG, *FLIGHT_MSG[1:], MOTION, *STATE_ETA, _LEVELS_SQL, _ALERTS,
+             select=ALERT_ROWS.format(icao="split_part(icao, ':', 1)")))
 def stream_frame_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw frames of two receivers to alerts in one query: merged, decoded, followed, tested."""
     jobs.use_rocksdb(spark)
@@ -154,3 +162,26 @@ def stream_frame_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         remember_seconds=DAY, tie=["event_id"], keep=["event_id"],
     )
     return alert_rows(_run(spark, a))
+
+
+# Flights that six hours of silence have not ended a second behind the newest row.
+_LIVE = [MSG, """o AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY icao ORDER BY us, event_id) > 21600000000, true) AS opens FROM m),
+  f AS (SELECT *, sum(opens::INT) OVER (PARTITION BY icao ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS n FROM o),
+  k AS (SELECT icao, n, type_cat, count(*) AS c FROM f GROUP BY ALL),
+  s AS (SELECT icao, count(*) AS packets, min(us) AS first_us, max(us) AS last_us,
+      arg_max(callsign, (us, event_id)) FILTER (WHERE callsign IS NOT NULL) AS callsign,
+      (SELECT '{' || string_agg('"' || type_cat || '": ' || c, ', ' ORDER BY type_cat) || '}' FROM k WHERE k.icao = f.icao AND k.n = f.n) AS kinds
+    FROM f GROUP BY icao, n HAVING max(us) + 21600000000 >= (SELECT max(us) + 1000000 FROM m) // 1000 * 1000)"""]
+
+
+@query(with_(*_LIVE, select="""
+    SELECT (SELECT count(*) FROM s) AS live, icao, packets, callsign, first_us, last_us, kinds
+    FROM s ORDER BY packets DESC, first_us, icao LIMIT 5"""))
+def stream_live_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The busiest aircraft of those tracked at the end of the table, and how many these are."""
+    jobs.use_rocksdb(spark)
+    path = new_path(spark, "live")
+    changes = jobs.stream_live(_feed(spark, messages(spark, sf_dir)), 5, SIX_HOURS, tie=["event_id"], lateness=f"{LATE} seconds")
+    jobs.start(changes, jobs.table_sink(path), "update", once=True).awaitTermination()
+    live, top = jobs.live_status(spark.read.option("basePath", path).parquet(path), "batch", 5)
+    return top.withColumn("live", F.lit(live.first()[0]))

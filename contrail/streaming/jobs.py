@@ -23,7 +23,7 @@ from contrail.plans.archiving import archive_flights
 from contrail.plans.live import state_alerts
 from contrail.sources.archive import write_archive
 from contrail.sources.scratch import materialize, new_path
-from contrail.streaming.processors import KeepAfter, TrackState
+from contrail.streaming.processors import KeepAfter, LiveBoard, LiveStatus, TrackState
 
 # Names that start with an underscore are lost on the way into a processor.
 AT = "at_us"
@@ -215,6 +215,49 @@ def stream_status(
     return start(counts, tick, "complete", once, checkpoint=checkpoint)
 
 
+BOARDS = 64  # shares of all aircraft whose live ones are kept together
+_STATUS = ["icao", "packets", "callsign", "first_us", "last_us", "kinds"]
+
+
+def stream_live(
+    messages: DataFrame, k: int = schema.TOP_PLANES, remember_seconds: float = schema.REMEMBER_SECONDS,
+    key: str = "icao", ts: str = "ts", tie: Sequence[str] = (), lateness: str | None = None, boards: int = BOARDS,
+) -> DataFrame:
+    """The aircraft tracked now, as changes: for each board the number of live ones and its ``k`` busiest.
+
+    An aircraft is live from a message until ``remember_seconds`` without one; its packets count
+    from when it came. State is one small value for each live aircraft. Rows: board, live, place
+    (from 0) and the status; a board without live aircraft has one row with place 0 and no key.
+    ``live_status`` puts the newest rows of all boards together.
+    """
+    rows = watermarked(messages, ts, lateness).withColumn(AT, F.unix_micros(ts))
+    rows = rows.select(F.col(key).alias("icao"), ts, AT, *tie, "type_cat", "callsign")
+    kinds = T.StructType([rows.schema["icao"]])
+    for name, kind in (("packets", "long"), ("callsign", "string"), ("first_us", "long"), ("last_us", "long"), ("kinds", "string")):
+        kinds = kinds.add(name, kind)
+    status = rows.groupBy("icao").transformWithStateInPandas(
+        statefulProcessor=LiveStatus(round(remember_seconds * MICROS), [AT, *tie], _STATUS),
+        outputStructType=kinds, outputMode="Update", timeMode="EventTime",
+    )
+    out = T.StructType().add("board", "integer").add("live", "long").add("place", "integer")
+    board = F.pmod(F.xxhash64("icao"), F.lit(boards)).cast("int")
+    return status.withColumn("board", board).groupBy("board").transformWithStateInPandas(
+        statefulProcessor=LiveBoard(k, _STATUS, kinds), outputStructType=T.StructType([*out.fields, *kinds.fields]),
+        outputMode="Update", timeMode="None",
+    )
+
+
+def live_status(changes: DataFrame, order: str, k: int = schema.TOP_PLANES) -> tuple[DataFrame, DataFrame]:
+    """Number of live aircraft (one row: live) and the k busiest (status columns), from the newest rows of ``stream_live``.
+
+    ``order`` names the column that numbers the micro-batches.
+    """
+    newest = changes.groupBy("board").agg(F.max(order).alias(order))
+    now = changes.join(newest, ["board", order])
+    live = now.filter("place = 0").agg(F.coalesce(F.sum("live"), F.lit(0)).alias("live"))
+    return live, now.filter("icao is not null").orderBy(F.desc("packets"), "first_us", "icao").limit(k).select(*_STATUS)
+
+
 def stream_archive(
     messages: DataFrame, rules: Rules, staging: str, path: str, checkpoint: str,
     gap_seconds: float = schema.REMEMBER_SECONDS, lateness: str = "0 seconds",

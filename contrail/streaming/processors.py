@@ -9,10 +9,12 @@ per key, dropped by a timer once the aircraft has been silent long enough.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MICROS = 1_000_000
 _STATE = T.StructType([T.StructField("state", T.StringType())])
+_PLACE = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("part", T.IntegerType())])
 _HELD = T.StructType([T.StructField("rows", T.BinaryType())])
 
 
@@ -36,55 +39,87 @@ def _unpacked(rows: bytes) -> pd.DataFrame:
 
 
 class _Keyed(StatefulProcessor):
-    """Rows held by event time, and one JSON value per key, forgotten ``keep_us`` after the last row."""
+    """Rows held by event time, and one JSON value per key, forgotten ``keep_us`` after the last row.
+
+    Held rows lie in buckets of ``bucket_us``: a micro-batch adds a part to the buckets it has rows
+    for and reads only those that the watermark has reached, so each row is written and read once,
+    apart from those of the one bucket that the watermark has passed in part. An index of the open
+    buckets (parts and earliest row of each) is kept with the value; the lateness bounds it.
+    """
 
     keep_us: int
     order: list[str]
+    bucket_us: int = 60 * MICROS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("state", _STATE)
-        self.held = handle.getListState("held", _HELD)
+        self.held = handle.getMapState("held", _PLACE, _HELD)
 
     def fold(self, state: dict[str, Any] | None, rows: pd.DataFrame) -> tuple[dict[str, Any], pd.DataFrame]:
         """New state (with ``last``, the time it counts from) and output for rows in order."""
         raise NotImplementedError
 
+    def ended(self, key: tuple, state: dict[str, Any]) -> pd.DataFrame | None:
+        """Output when the state is forgotten."""
+        return None
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        self.held.appendList([_packed(part) for part in rows])
-        return self._advance(timerValues)
+        kept = self._read()
+        for part in rows:
+            for bucket, own in part.groupby(part["at_us"] // self.bucket_us):
+                self._hold(kept["open"], int(bucket), own)
+        return self._advance(key, kept, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self._advance(timerValues)
+        return self._advance(key, self._read(), timerValues)
+
+    def _read(self) -> dict[str, Any]:
+        return json.loads(self.value.get()[0]) if self.value.exists() else {"state": None, "open": {}, "timer": None}
+
+    def _hold(self, open_: dict[str, list[int]], bucket: int, rows: pd.DataFrame) -> None:
+        parts, first = open_.get(str(bucket), (0, None))
+        least = int(rows["at_us"].min())
+        self.held.updateValue((bucket, parts), _packed(rows))
+        open_[str(bucket)] = [parts + 1, least if first is None else min(first, least)]
 
-    def _advance(self, timerValues) -> Iterator[pd.DataFrame]:
+    def _take(self, bucket: int, parts: int) -> pd.DataFrame:
+        found = []
+        for part in range(parts):
+            found.append(_unpacked(self.held.getValue((bucket, part))[0]))
+            self.held.removeKey((bucket, part))
+        return pd.concat(found, ignore_index=True)
+
+    def _advance(self, key, kept: dict[str, Any], timerValues) -> Iterator[pd.DataFrame]:
         """Handle what the watermark has passed, and set the timer for what comes next."""
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        parts = [_unpacked(row[0]) for row in self.held.get()] if self.held.exists() else []
-        rows = pd.concat(parts, ignore_index=True) if parts else None
-        out, due = [], []
-        state = json.loads(self.value.get()[0]) if self.value.exists() else None
-        if rows is not None:
+        state, open_, out = kept["state"], kept["open"], []
+        for bucket in sorted(int(b) for b, (_, first) in open_.items() if first <= passed):
+            rows = self._take(bucket, open_.pop(str(bucket))[0])
             now = rows["at_us"] <= passed
-            if now.any():
-                state, found = self.fold(state, rows[now].sort_values(self.order, kind="stable"))
-                out = [found] if len(found) else []
-            later = rows[~now]
-            if len(later):
-                self.held.put([_packed(later)])
-                due.append(int(later["at_us"].min()))
-            else:
-                self.held.clear()
+            if not now.all():
+                self._hold(open_, bucket, rows[~now])
+            state, found = self.fold(state, rows[now].sort_values(self.order, kind="stable"))
+            if len(found):
+                out.append(found)
+        due = [first for _, first in open_.values()]
         if state is not None and state["last"] + self.keep_us < passed:
+            last = self.ended(key, state)
+            if last is not None:
+                out.append(last)
             state = None
-            self.value.clear()
         elif state is not None:
-            self.value.update((json.dumps(state),))
             due.append(state["last"] + self.keep_us + 1000)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if due:
-            self.handle.registerTimer(-(-min(due) // 1000))
+        timer = -(-min(due) // 1000) if due else None
+        if timer != kept["timer"] or (timer is not None and timer * 1000 <= passed):
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        if state is None and not open_:
+            self.value.clear()
+        else:
+            self.value.update((json.dumps({"state": state, "open": open_, "timer": timer}),))
         yield from out
 
     def close(self) -> None:
@@ -100,12 +135,13 @@ class KeepAfter(_Keyed):
         self.order = order
 
     def fold(self, state, rows):
-        last, keep = state["last"] if state else None, []
-        for us in rows["at_us"].tolist():
-            new = last is None or us > last + self.hop_us
-            keep.append(new)
-            last = us if new else last
-        return {"last": last}, rows[keep]
+        us, last, keep = rows["at_us"].to_numpy(), state["last"] if state else None, []
+        at = 0 if last is None else int(np.searchsorted(us, last + self.hop_us, side="right"))
+        while at < len(us):  # from one kept row straight to the next
+            keep.append(at)
+            last = int(us[at])
+            at = int(np.searchsorted(us, last + self.hop_us, side="right"))
+        return {"last": last}, rows.iloc[keep]
 
 
 class TrackState(_Keyed):
@@ -150,3 +186,73 @@ class TrackState(_Keyed):
             if c.endswith("at_us"):
                 frame[c] = frame[c].astype("Int64")
         return state, frame
+
+
+class LiveStatus(_Keyed):
+    """What is known of an aircraft now, sent on whenever it changes; with no packets once it has been silent too long."""
+
+    def __init__(self, remember_us: int, order: list[str], out: list[str]) -> None:
+        self.keep_us = remember_us
+        self.order = order
+        self.out = out
+
+    def fold(self, state, rows):
+        for us, kind, name in zip(rows["at_us"].tolist(), rows["type_cat"].tolist(), rows["callsign"].tolist()):
+            if state is None or us - state["last"] > self.keep_us:
+                state = {"first": us, "packets": 0, "callsign": None, "kinds": {}}
+            state["last"] = us
+            state["packets"] += 1
+            state["kinds"][str(int(kind))] = state["kinds"].get(str(int(kind)), 0) + 1
+            if isinstance(name, str):
+                state["callsign"] = name
+        return state, self._row(rows["icao"].iloc[0], state, state["packets"])
+
+    def ended(self, key, state):
+        return self._row(key[0], state, 0)
+
+    def _row(self, icao, state: dict[str, Any], packets: int) -> pd.DataFrame:
+        row = {
+            "icao": icao, "packets": packets, "callsign": state["callsign"], "first_us": state["first"], "last_us": state["last"],
+            "kinds": json.dumps(dict(sorted(state["kinds"].items()))),
+        }
+        return pd.DataFrame([row], columns=self.out, dtype=object)
+
+
+class LiveBoard(StatefulProcessor):
+    """The live aircraft of one share of all: their number and the ``k`` with most packets, sent on when they change."""
+
+    def __init__(self, k: int, names: list[str], kinds: T.StructType) -> None:
+        self.k = k
+        self.names = names
+        self.kinds = kinds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getMapState("live", T.StructType([self.kinds["icao"]]), T.StructType([self.kinds[n] for n in self.names if n != "icao"]))
+        self.count = handle.getValueState("count", T.StructType([T.StructField("n", T.LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n = self.count.get()[0] if self.count.exists() else 0
+        others = [c for c in self.names if c != "icao"]
+        latest: dict[Any, dict[str, Any]] = {}
+        for part in rows:
+            for row in part.to_dict("records"):
+                # An aircraft that fell silent and came back in one micro-batch sends both; the later one counts.
+                rank = (row["last_us"], row["packets"] == 0)
+                if row["icao"] not in latest or rank >= (latest[row["icao"]]["last_us"], latest[row["icao"]]["packets"] == 0):
+                    latest[row["icao"]] = row
+        for icao, row in latest.items():
+            known = self.live.containsKey((icao,))
+            if row["packets"]:
+                self.live.updateValue((icao,), tuple(row[c] for c in others))
+                n += not known
+            elif known:
+                self.live.removeKey((icao,))
+                n -= 1
+        self.count.update((int(n),))
+        packets, first = others.index("packets"), others.index("first_us")
+        best = heapq.nsmallest(self.k, self.live.iterator(), key=lambda e: (-e[1][packets], e[1][first], e[0][0]))
+        found = [dict(zip(others, value), icao=icao[0], board=key[0], live=n, place=i) for i, (icao, value) in enumerate(best)]
+        yield pd.DataFrame(found or [{"board": key[0], "live": 0, "place": 0}], columns=["board", "live", "place", *self.names], dtype=object)
+
+    def close(self) -> None:
+        pass
