@@ -13,12 +13,14 @@ from contrail.catalog.base import (
     events,
     km_sql,
     messages,
+    table,
     us,
     width,
     with_,
 )
 from contrail.operators import track
 from contrail.operators.frames import dedup_within
+from contrail.operators.slices import fit_slices
 from contrail.sources.frames import union_receivers
 
 GAP_US = SIX_HOURS * 1_000_000
@@ -46,6 +48,28 @@ def suppress_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("event_id", "user_id", "event_type")
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as samples of the few values of ``l_linestatus``: each key holds a large part of all rows."""
+    shipped = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate)")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_linestatus", "l_orderkey", "l_linenumber", "l_quantity", F.timestamp_micros(shipped).alias("ts")
+    )
+
+
+_LINES = "(PARTITION BY l_linestatus ORDER BY l_shipdate, l_orderkey, l_linenumber)"
+
+
+@query(f"""SELECT l_linestatus, l_orderkey, l_linenumber, l_quantity FROM (
+    SELECT *, lag(l_quantity) OVER {_LINES} AS before FROM lineitem) WHERE before IS NULL OR before <> l_quantity""")
+def repeats_of_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run-length suppression where two keys have half of all rows each, with slices of their own width."""
+    rows = lines(spark, sf_dir)
+    tie = ["l_orderkey", "l_linenumber"]
+    plan = fit_slices(rows, "l_linestatus", "ts", target_rows=20_000)
+    kept = track.suppress_repeats(rows, "l_linestatus", "ts", "l_quantity", tie, plan)
+    return kept.select("l_linestatus", *tie, "l_quantity")
+
+
 @query(with_(EV, select="""
     , c AS (SELECT *, CAST(floor(value / 100) AS BIGINT) AS step, us // 86400000000 AS day FROM ev)
     SELECT event_id, user_id, step, day FROM (

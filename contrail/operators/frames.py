@@ -18,6 +18,7 @@ from contrail.operators.slices import (
     US,
     across,
     as_list,
+    at_least,
     sliced,
 )
 
@@ -188,7 +189,7 @@ def dedup_within(
     start, and the summaries are chained, in blocks, to find the real one. Slices are never
     shorter than the interval: a shorter one would hand on something else for each of its rows.
     """
-    keys, slice_seconds = as_list(keys), max(slice_seconds, seconds)
+    keys, slice_seconds = as_list(keys), at_least(slice_seconds, seconds)
     hop = round(seconds * MICROS)
     rest = [c for c in df.columns if c not in keys]
     rows = sliced(df, ts, slice_seconds)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrail import schema
-from contrail.operators.slices import MICROS, SLICE, US, across, as_list, earlier, slice_id, so_far, with_previous, within
+from contrail.operators.slices import MICROS, SLICE, US, Width, across, as_list, earlier, slice_id, so_far, with_previous, within
 
 STATE = ("latitude", "longitude", "altitude", "vertical_speed", "speed", "heading")
 TICKS = "ticks"
@@ -27,7 +27,7 @@ def _up(us: Column, step: int) -> Column:
 
 def state_intervals(
     bounds: DataFrame, series: DataFrame, keys: Sequence[str], ts: str = "ts", tie: Sequence[str] = (),
-    step_seconds: int = 1, slice_seconds: float = schema.SLICE_SECONDS, columns: Sequence[str] = STATE,
+    step_seconds: int = 1, slice_seconds: Width = schema.SLICE_SECONDS, columns: Sequence[str] = STATE,
     needed: Sequence[str] = ("latitude", "longitude", "heading"),
 ) -> DataFrame:
     """What ``second_states`` gives, with equal neighbours as one row: keys, ts (first tick), columns, ticks.

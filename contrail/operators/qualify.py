@@ -14,8 +14,11 @@ from contrail.operators.slices import (
     SLICE,
     US,
     across,
+    Width,
     as_list,
+    slice_id,
     sliced,
+    widest,
     with_row_number,
 )
 from contrail.operators.track import asof_nearest
@@ -29,7 +32,7 @@ def second_grid(
     start: str = "flight_start",
     end: str = "flight_end",
     step_seconds: int = 1,
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """Whole seconds after ``start`` up to ``end``, as column ``ts``.
 
@@ -37,7 +40,7 @@ def second_grid(
     makes its own seconds.
     """
     step = step_seconds * MICROS
-    piece = max(1, round(slice_seconds / step_seconds))
+    piece = max(1, round(widest(slice_seconds) / step_seconds))
     keep = bounds.columns
     ticks = bounds.withColumns({
         "_lo": F.floor(F.unix_micros(start) / step) + 1,
@@ -81,7 +84,7 @@ def wide_series(received: DataFrame, calculated: DataFrame, keys: Sequence[str],
 def second_states(
     bounds: DataFrame, series: DataFrame, keys: Sequence[str] = FLIGHT, ts: str = "ts",
     tie: Sequence[str] = (), step_seconds: int = 1,
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """Nearest-in-time state at every second of every flight that can be judged.
 
@@ -139,7 +142,7 @@ def qualify(
 
 def decimate(
     series: DataFrame, keys: Sequence[str], ts: str, n: int, tie: Sequence[str] = (),
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """Every n-th row of each series, starting with the first."""
     rows = with_row_number(sliced(series, ts, slice_seconds), as_list(keys), tie, "_nth")
@@ -161,7 +164,7 @@ def _with_bucket(rows: DataFrame, keys: list[str], seconds: float, name: str) ->
 
 def sdecimate(
     series: DataFrame, keys: Sequence[str], ts: str, count: int, seconds: float,
-    tie: Sequence[str] = (), slice_seconds: float = schema.SLICE_SECONDS,
+    tie: Sequence[str] = (), slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """At most ``count`` rows per ``seconds``-long bucket of each series."""
     keys = as_list(keys)
@@ -178,7 +181,7 @@ def thin(
     keys: Sequence[str] = FLIGHT,
     ts: str = "ts",
     tie: Sequence[str] = (),
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """Samples to archive: each series once per qualified (zone, level), by its save rule.
 
@@ -187,7 +190,6 @@ def thin(
     """
     keys = as_list(keys)
     one = [*keys, "category", "type"]
-    width = round(slice_seconds * MICROS)
     methods = {
         m for v in rules.levels for part in (v.telemetry, v.calculated) for m in part.values()
     }
@@ -226,8 +228,7 @@ def thin(
         ])
     )
     def number(c: str) -> Column:
-        us = F.unix_micros(c)
-        return F.floor((us - F.pmod(us, F.lit(width))) / width)
+        return slice_id(F.unix_micros(c), slice_seconds)
 
     # A calculated sample can carry the time of an older speed, never one before the flight.
     spread = (

@@ -15,6 +15,7 @@ The full rows are shuffled once. Keys must not be null; times are TIMESTAMP colu
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -31,13 +32,50 @@ def as_list(names: str | Sequence[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def slice_id(us: str, slice_seconds: float) -> Column:
+@dataclass(frozen=True)
+class Slices:
+    """Slice widths by key: ``seconds`` for most, a width of its own for each heavy value of column ``key``.
+
+    Stands wherever a width does. A heavy key is cut finely without cutting the others, so no key
+    has more slices than its rows are worth. Values are compared as text.
+    """
+
+    key: str
+    seconds: float
+    heavy: tuple[tuple[str, float], ...] = ()
+
+    def width(self) -> Column:
+        """Width in microseconds for the row's key."""
+        most = F.lit(round(self.seconds * MICROS)).cast("bigint")
+        if not self.heavy:
+            return most
+        own = F.create_map(*[F.lit(x) for k, w in self.heavy for x in (k, round(w * MICROS))]).cast("map<string,bigint>")
+        return F.coalesce(F.try_element_at(own, F.col(self.key).cast("string")), most)
+
+
+Width = float | Slices
+
+
+def widest(width: Width) -> float:
+    """The width of most keys, in seconds."""
+    return width.seconds if isinstance(width, Slices) else width
+
+
+def at_least(width: Width, seconds: float) -> Width:
+    """The same widths, none of them below ``seconds``."""
+    if isinstance(width, Slices):
+        return Slices(width.key, max(width.seconds, seconds), tuple((k, max(w, seconds)) for k, w in width.heavy))
+    return max(width, seconds)
+
+
+def slice_id(us: str | Column, slice_seconds: Width) -> Column:
     """Number of the slice that holds the microsecond column ``us``."""
-    width = round(slice_seconds * MICROS)
-    return F.expr(f"(`{us}` - pmod(`{us}`, {width}L)) div {width}L")
+    us = F.col(us) if isinstance(us, str) else us
+    width = slice_seconds.width() if isinstance(slice_seconds, Slices) else F.lit(round(slice_seconds * MICROS)).cast("bigint")
+    return F.floor((us - F.pmod(us, width)) / width)
 
 
-def sliced(df: DataFrame, ts: str, slice_seconds: float) -> DataFrame:
+def sliced(df: DataFrame, ts: str, slice_seconds: Width) -> DataFrame:
     """Add the time in microseconds and the slice number."""
     return df.withColumn(US, F.unix_micros(ts)).withColumn(SLICE, slice_id(US, slice_seconds))
 
@@ -129,3 +167,42 @@ def fit_slice_seconds(
             return width
         wanted = width * target_rows / heaviest
         width = next((w for w in finer if w <= wanted), finer[-1])
+
+
+def fit_slices(
+    df: DataFrame, keys: str | Sequence[str], ts: str, target_rows: int = 500_000, most_heavy: int = 1000,
+    widths: Sequence[float] = WIDTHS,
+) -> Slices:
+    """Widths that keep every slice at or below ``target_rows``: a common one, and finer ones for up to ``most_heavy`` keys.
+
+    The common width is the widest that leaves at most ``most_heavy`` values of the first key too
+    heavy; these are brought to the driver by name. Each pass counts map-side, and a heavy key's
+    count says which width to try next, so two or three passes are enough for each kind.
+    """
+    keys = as_list(keys)
+    us = df.select(*keys, F.unix_micros(ts).alias(US))
+
+    def heaviest(plan: Slices) -> DataFrame:
+        counts = us.groupBy(*keys, slice_id(US, plan).alias(SLICE)).count()
+        return counts.groupBy(F.col(keys[0]).cast("string").alias("k")).agg(F.max("count").alias("n")).filter(F.col("n") > target_rows)
+
+    for common in widths:
+        plan = Slices(keys[0], common)
+        over = heaviest(plan).limit(most_heavy + 1).collect()
+        if len(over) <= most_heavy:
+            break
+    else:
+        return plan
+    heavy: dict[str, float] = {}
+    while True:
+        finer = {}
+        for row in over:
+            now = heavy.get(row.k, plan.seconds)
+            wanted = [w for w in widths if w < now]
+            if wanted:
+                finer[row.k] = next((w for w in wanted if w <= now * target_rows / row.n), wanted[-1])
+        if not finer:
+            return plan
+        heavy |= finer
+        plan = Slices(keys[0], plan.seconds, tuple(sorted(heavy.items())))
+        over = heaviest(plan).collect()

@@ -19,6 +19,7 @@ from contrail.operators.slices import (
     MICROS,
     SLICE,
     US,
+    Width,
     across,
     as_list,
     earlier,
@@ -40,7 +41,7 @@ def suppress_repeats(
     ts: str,
     value: str,
     tie: Sequence[str] = (),
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """Keep a value only where it differs from the one before it."""
     keys = as_list(keys)
@@ -57,7 +58,7 @@ def changed_pairs(
     ts: str,
     pair: Sequence[str],
     tie: Sequence[str] = (),
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """Drop a row whose (value, time) pair equals that of the latest row in every part."""
     keys = as_list(keys)
@@ -73,7 +74,7 @@ def flights(
     keys: Keys,
     ts: str,
     gap_seconds: float = schema.REMEMBER_SECONDS,
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """Add ``flight_start``. A silence longer than ``gap_seconds`` starts a new flight."""
     keys = as_list(keys)
@@ -147,7 +148,7 @@ def asof_nearest(
     ts: str,
     cols: Sequence[str],
     tie: Sequence[str] = (),
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
     times: bool = False,
 ) -> DataFrame:
     """For every left row and column, the right value nearest in time on either side.
@@ -275,7 +276,7 @@ def motion(
     keys: Keys = "icao",
     ts: str = "ts",
     tie: Sequence[str] = (),
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
     at: str = "updates",
 ) -> DataFrame:
     """Track state after every message: position, speed, heading and the last of each datum.
@@ -498,7 +499,7 @@ def long_series(
 
 def received_series(
     messages: DataFrame, keys: Keys = "icao", ts: str = "ts", tie: Sequence[str] = (),
-    datums: Sequence[str] = schema.RECEIVED, slice_seconds: float = schema.SLICE_SECONDS,
+    datums: Sequence[str] = schema.RECEIVED, slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """Received datums as run-length suppressed series."""
     keys = as_list(keys)
@@ -508,7 +509,7 @@ def received_series(
 
 def calculated_series(
     states: DataFrame, keys: Keys = "icao", ts: str = "ts", tie: Sequence[str] = (),
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """Calculated speed and direction, each appended only when its (value, time) changed.
 
@@ -526,7 +527,7 @@ def calculated_series(
 
 def series_chunks(
     series: DataFrame, keys: Keys, ts: str = "ts", value: str = "value",
-    tie: Sequence[str] = (), slice_seconds: float = schema.SLICE_SECONDS,
+    tie: Sequence[str] = (), slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """Series as arrays of (time, value) in time order, one array per slice.
 

@@ -18,6 +18,7 @@ from contrail.operators.qualify import (
     wide_series,
 )
 from contrail.operators.rules import Rules
+from contrail.operators.slices import Width
 from contrail.operators.track import (
     calculated_series,
     motion,
@@ -35,7 +36,7 @@ def archive_flights(
     fresh_seconds: float | None = None,
     max_time_s: float = schema.MAX_TIME_SECONDS,
     tie: Sequence[str] = ("hex",),
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
     step_seconds: int = 1,
 ) -> Archive:
     """What to archive of the flights in ``messages`` (with ``flight_start``).

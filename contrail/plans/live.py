@@ -11,6 +11,7 @@ from contrail.operators.alerts import alerts
 from contrail.operators.enrich import with_callsign
 from contrail.operators.frames import decode_messages, dedup_within, with_fields
 from contrail.operators.rules import Rules, level_hits
+from contrail.operators.slices import Width
 from contrail.operators.track import flights, motion
 from contrail.operators.zones import rule_states
 from contrail.sources.scratch import materialize
@@ -21,7 +22,7 @@ def messages_from_frames(
     home: tuple[float, float] = schema.HOME,
     merge_seconds: float = schema.MERGE_SECONDS,
     remember_seconds: float = schema.REMEMBER_SECONDS,
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """Merged, decoded messages with their flight, written as a table.
 
@@ -55,7 +56,7 @@ def live_alerts(
     fresh_seconds: float | None = None,
     max_time_s: float = schema.MAX_TIME_SECONDS,
     tie: Sequence[str] = ("hex",),
-    slice_seconds: float = schema.SLICE_SECONDS,
+    slice_seconds: Width = schema.SLICE_SECONDS,
     registrations: DataFrame | None = None,
 ) -> DataFrame:
     """Alerts after every message of every flight."""

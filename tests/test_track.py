@@ -3,12 +3,14 @@ import random
 
 import pytest
 from helpers import epoch, frame
+from pyspark.sql import functions as F
 
 from contrail.operators import qualify as ql
 from contrail.operators import track
-from contrail.operators.slices import fit_slice_seconds
+from contrail.operators.slices import Slices, fit_slice_seconds, fit_slices, slice_id
 
-WIDTHS = [1.0, 7.0, 100.0, 86400.0]
+FIXED = [1.0, 7.0, 100.0, 86400.0]
+WIDTHS = [*FIXED, Slices("k", 86400.0, (("a", 2.0),))]
 
 
 def walk(seed, n=120):
@@ -46,7 +48,7 @@ def brute_motion(rows, back_n, fresh):
     return out
 
 
-@pytest.mark.parametrize("width", WIDTHS)
+@pytest.mark.parametrize("width", [*FIXED, Slices("icao", 86400.0, (("p0", 1.0), ("p1", 7.0)))])
 def test_motion_matches_sequential(spark, width):
     rows = [r for seed in (3, 4, 5) for r in walk(seed)]
     got = track.motion(frame(spark, rows, COLS), 4, 6, "icao", "ts", ["n"], width)
@@ -142,3 +144,17 @@ def test_slice_width_follows_the_heaviest_key(spark):
     df = frame(spark, rows, "k string, ts double")
     assert fit_slice_seconds(df, "k", "ts", 10_000) == 86400.0
     assert fit_slice_seconds(df, "k", "ts", 150) == 10.0
+
+
+def test_heavy_keys_get_slices_of_their_own(spark):
+    day = 86_400.0
+    rows = [("busy", k * 0.5) for k in range(4000)] + [("burst", 10 * day + k * 0.01) for k in range(900)]
+    rows += [(f"k{i}", i * day + k * 3000.0) for i in range(30) for k in range(20)]
+    df = frame(spark, rows, "icao string, ts double")
+    plan = fit_slices(df, "icao", "ts", target_rows=100)
+    assert plan.seconds == day and {k for k, _ in plan.heavy} == {"busy", "burst"}
+    counts = df.groupBy("icao", slice_id(F.unix_micros("ts"), plan).alias("s")).count().collect()
+    assert max(r["count"] for r in counts) <= 100
+    assert sum(r.icao not in ("busy", "burst") for r in counts) <= 30 * 2  # the others stay whole days
+    assert fit_slices(df, "icao", "ts", target_rows=100, most_heavy=0).heavy == ()
+    assert fit_slices(df.filter("false"), "icao", "ts").heavy == ()
