@@ -13,7 +13,7 @@ from contrail.operators.qualify import second_states
 from contrail.operators.rules import load_rules
 from contrail.plans import browse
 from contrail.plans.archiving import archive_flights
-from contrail.sources.archive import Archive, drop_plane, read_archive, reset_archive, write_archive
+from contrail.sources.archive import Archive, compact, drop_plane, read_archive, reset_archive, vacuum, write_archive
 from contrail.sources.frames import read_frames, read_receivers
 from contrail.sources.registry import read_registry
 from contrail.sources.scratch import shared_dir
@@ -63,8 +63,8 @@ def test_archive_round_trip_drop_and_reset(spark, tmp_path):
     path = str(tmp_path / "archive")
     assert browse.archive_status(read_archive(spark, path)).first().planes == 0
     made = build(spark)
-    write_archive(made, path, "one")
-    write_archive(made, path, "one")  # a retry replaces the first attempt
+    assert write_archive(made, path, "one") == 2
+    assert write_archive(made, path, "one") == 2  # a retry replaces the first attempt
     a = read_archive(spark, path)
     info = {r.icao: r for r in a.info.collect()}
     assert sorted(info) == ["ab0001", "cd0003"]
@@ -86,10 +86,55 @@ def test_archive_round_trip_drop_and_reset(spark, tmp_path):
     assert [r.icao for r in browse.list_planes(one).collect()] == ["cd0003"]
     with pytest.raises(ValueError):
         drop_plane(spark, path, "ab0001")
-    drop_plane(spark, path, "ab0001", confirm=True)
+    before = drop_plane(spark, path, "ab0001", confirm=True) - 1
+    assert [r.icao for r in read_archive(spark, path).info.collect()] == ["cd0003"]
+    assert read_archive(spark, path, version=before).info.count() == 2  # a reader of the version before
+    assert _stored(spark, path) == {"ab0001", "cd0003"}
+    assert vacuum(spark, path) > 0
+    assert _stored(spark, path) == {"cd0003"}  # the bytes are gone
     assert [r.icao for r in read_archive(spark, path).info.collect()] == ["cd0003"]
     reset_archive(spark, path, confirm=True)
-    assert read_archive(spark, path).info.count() == 0
+    assert read_archive(spark, path).info.count() == 0 and _stored(spark, path) == set()
+
+
+def _stored(spark, path):
+    """Aircraft in any file of the archive, listed by a version or not."""
+    found = set()
+    for name in ("series", "info"):
+        found |= {r.icao for r in spark.read.schema("icao string").parquet(f"{path}/{name}").select("icao").distinct().collect()}
+    return found
+
+
+def test_compacting_and_writing_beside_it(spark, tmp_path, monkeypatch):
+    path, made = str(tmp_path / "archive"), build(spark)
+    for k in range(3):
+        write_archive(made, path, f"s{k}")
+    want = sorted(map(tuple, read_archive(spark, path).info.select("icao", "flight_id", "packets").collect()))
+    assert compact(spark, path, most=5) is None
+    compact(spark, path, most=2)
+    got = read_archive(spark, path)
+    assert sorted(map(tuple, got.info.select("icao", "flight_id", "packets").collect())) == want
+    vacuum(spark, path)
+    raw = spark.read.schema("icao string").parquet(f"{path}/info")
+    assert raw.count() == len(want)  # superseded saves are gone
+    fewer = Archive(*(df.filter("icao = 'ab0001'") for df in (made.series, made.info)))
+    write_archive(fewer, path, "s2")  # replaces what compacting has merged
+    assert [r.icao for r in read_archive(spark, path).info.collect()] == ["ab0001"]
+
+    from contrail.sources import archive
+
+    real, stale = archive._versions, []
+
+    def versions(spark, path):
+        now = real(spark, path)
+        if not stale:
+            stale.append(True)
+            return now[:-1]  # another writer was faster
+        return now
+
+    number = max(real(spark, path))
+    monkeypatch.setattr(archive, "_versions", versions)
+    assert archive._commit(spark, path, lambda old: old) == number + 1
 
 
 def test_slice_width_does_not_change_the_archive(spark):
