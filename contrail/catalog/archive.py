@@ -287,9 +287,12 @@ _INFO = """i AS (SELECT icao, count(*) AS packets, min(us) AS first_us, max(us)
     count(*) FILTER (WHERE type_cat = 3) AS fixes FROM m GROUP BY icao)"""
 
 
-@query(with_(*QUALIFIED, _INFO, select=f"""
+ARCHIVED = with_(*QUALIFIED, _INFO, select=f"""
     SELECT {_ID}, zone, level, packets, first_us, last_us, callsign, fixes
-    FROM ok JOIN i USING (icao)"""))
+    FROM ok JOIN i USING (icao)""")
+
+
+@query(ARCHIVED)
 def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive written as tables and read back."""
     path = new_path(spark, "archive")

@@ -230,6 +230,14 @@ def callsign_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.with_callsign(rows, registrations).select("event_id", "callsign")
 
 
+@query("""SELECT l_orderkey, l_linenumber, n_name FROM lineitem LEFT JOIN nation ON n_nationkey = l_linenumber * 4""")
+def lookup_of_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup in which a quarter of all rows has one key; only such keys are spread."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") * 4).cast("long").alias("key"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), "n_name")
+    return enrich.lookup(rows, names, "key", rows_per_task=10_000).select("l_orderkey", "l_linenumber", "n_name")
+
+
 @query(with_(MSG, select="""
     SELECT event_id, CASE cat_ca WHEN 1 THEN 'Light (<7000kg)' WHEN 2 THEN 'Medium 1 (7000 to 34000kg)'
       WHEN 3 THEN 'Medium 2 (34000 to 136000kg)' WHEN 4 THEN 'High vortex aircraft'

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.catalog.base import DAY, EV, FLIGHT_MSG, MSG, SIX_HOURS, messages, us, with_
+from contrail.catalog.base import DAY, EV, FLIGHT_MSG, HOUR, MSG, SIX_HOURS, messages, us, width, with_
 from contrail.catalog.decode import CPR, SURFACE_SPEED, VEL, N
 from contrail.catalog.encode import frames
+from contrail.catalog.archive import ARCHIVED, SAVING
 from contrail.catalog.rules import _ALERTS, _LEVELS_SQL, ALERT_ROWS, alert_rows
 from contrail.catalog.rules import SQL as RULES_SQL
 from contrail.catalog.track import _LINE, _STATS, _TOP, FLIGHTS, MOTION
 from contrail.catalog.track import SQL as TRACK_SQL
 from contrail.catalog.zones import CONFIG, STATE_ETA
 from contrail.operators.rules import load_rules
+from contrail.sources.archive import read_archive
 from contrail.sources.scratch import materialize, new_path
 from contrail.streaming import jobs
 
@@ -59,11 +61,11 @@ FILES, LATE = 8, 3600
 SLICE_ROWS = 4_000_000
 
 
-def _feed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def _feed(spark: SparkSession, rows: DataFrame, silence: int = 0) -> DataFrame:
     """Rows as a stream, one slice of time a micro-batch: in time order but for shuffling within ``LATE`` seconds.
 
     A slice is as many files as its rows are worth, and slices grow in number with the table. Behind
-    them comes one row ``LATE`` seconds and one after the newest, with nothing but its time and the
+    them comes one row ``LATE`` seconds, one and ``silence`` after the newest, with nothing but its time and the
     aircraft -1: it takes the watermark past every row of the table, and never comes out itself.
     """
     path = new_path(spark, "feed")
@@ -80,7 +82,7 @@ def _feed(spark: SparkSession, rows: DataFrame) -> DataFrame:
         part = rows.filter(F.col("slice") == k).drop("slice", "at_us")
         part.repartition(files).write.mode("append").parquet(path)
     last = rows.limit(1).select(*[
-        (F.timestamp_micros(F.lit(high + (LATE + 1) * 1_000_000)) if f.name == "ts" else
+        (F.timestamp_micros(F.lit(high + (LATE + 1 + silence) * 1_000_000)) if f.name == "ts" else
          F.lit("-1" if f.name in ("icao", "hex") else None)).cast(f.dataType).alias(f.name) for f in schema
     ])
     last.coalesce(1).write.mode("append").parquet(path)
@@ -185,3 +187,22 @@ def stream_live_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.start(changes, jobs.table_sink(path), "update", once=True).awaitTermination()
     live, top = jobs.live_status(spark.read.option("basePath", path).parquet(path), "batch", 5)
     return top.withColumn("live", F.lit(live.first()[0]))
+
+
+@query(ARCHIVED)
+def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flights archived as they close; the row behind the table closes the last ones."""
+    feed = _feed(spark, messages(spark, sf_dir).withColumn("icao", F.col("icao").cast("string")), DAY + 1)
+    staging, path, check = (new_path(spark, name) for name in ("staging", "archive", "checkpoint"))
+    queries = jobs.stream_archive(
+        feed, load_rules(SAVING), staging, path, check, DAY, f"{LATE} seconds", width(spark, sf_dir), once=True, fresh_seconds=SIX_HOURS,
+        tie=["event_id"], step_seconds=HOUR,
+    )
+    for q in queries:
+        q.awaitTermination()
+    micros = lambda c: F.round(F.col(c) * 1_000_000).cast("bigint")
+    return read_archive(spark, path).info.select(
+        "icao", "flight_id", "zone", "level", "packets", micros("first_packet").alias("first_us"),
+        micros("last_update").alias("last_us"), "callsign",
+        F.coalesce(F.try_element_at("packet_type", F.lit("3")), F.lit(0)).alias("fixes"),
+    )

@@ -8,17 +8,36 @@ from pyspark.sql import functions as F
 from contrail import schema
 
 
-def lookup(df: DataFrame, table: DataFrame, on: str, spread: int = 16) -> DataFrame:
+def heavy_keys(df: DataFrame, on: str, rows_per_task: int, most: int = 1000) -> dict:
+    """Keys with more rows than ``rows_per_task``, the heaviest ``most`` of them, and their number of rows.
+
+    One pass that reads the key alone and counts map-side; the result is as small as the limit says.
+    """
+    counts = df.filter(F.col(on).isNotNull()).groupBy(on).count().filter(F.col("count") > rows_per_task)
+    return {r[on]: r["count"] for r in counts.orderBy(F.desc("count"), on).limit(most).collect()}
+
+
+def lookup(df: DataFrame, table: DataFrame, on: str, rows_per_task: int = 1_000_000, spread: int = 16) -> DataFrame:
     """Left join to a table with unique ``on``.
 
-    One aircraft may own a large share of the rows, so rows are spread over ``spread`` buckets
-    and the table is repeated once per bucket. Spark still broadcasts a table it knows to be
-    below its threshold.
+    One aircraft may own a large share of the rows. The keys that do are measured first: their rows
+    are spread over as many buckets as they are worth, and their row of the table is repeated once
+    per bucket; every other row of the table is sent once. A stream can't be measured, so all its
+    rows are spread over ``spread`` buckets. Spark still broadcasts a table it knows to be below its
+    threshold.
     """
-    salted = df.withColumn(
-        "_bucket", F.pmod(F.xxhash64(*df.columns), F.lit(spread)).cast("int")
-    )
-    copies = table.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    if df.isStreaming:
+        heavy, buckets = None, spread
+    else:
+        heavy = heavy_keys(df, on, rows_per_task)
+        if not heavy:
+            return df.join(table, on, "left")
+        buckets = min(1000, -(-max(heavy.values()) // rows_per_task))
+    spreads = F.lit(True) if heavy is None else F.coalesce(F.col(on).isin(list(heavy)), F.lit(False))
+    number = F.pmod(F.xxhash64(*df.columns), F.lit(buckets)).cast("int")
+    salted = df.withColumn("_bucket", F.when(spreads, number).otherwise(0))
+    last = F.when(spreads, buckets - 1).otherwise(0)
+    copies = table.withColumn("_bucket", F.explode(F.sequence(F.lit(0), last)))
     return salted.join(copies, [on, "_bucket"], "left").drop("_bucket")
 
 

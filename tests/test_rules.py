@@ -4,7 +4,9 @@ import pytest
 from helpers import frame
 
 from contrail.operators.alerts import alerts, by_server, write_alerts
+from contrail.operators.enrich import heavy_keys, lookup
 from contrail.operators.rules import RuleError, level_hits, load_rules
+from contrail.plans.settings import Settings, load_settings
 
 SAVE = {"telemetry": {"default": "all"}, "calculated": {"default": "all"}}
 RING = [[0.0, 0.0], [0.0, 1.0], [1.0, 1.0]]
@@ -65,3 +67,26 @@ def test_printed_alerts(spark, tmp_path, capsys):
     assert sorted(capsys.readouterr().out.strip().split("\n")) == lines
     with pytest.raises(ValueError, match="unknown"):
         write_alerts(hits(spark), "smoke")
+
+
+def test_settings_of_a_configuration():
+    config = {"general": {"backdate_packets": 4, "hz": 0.5, "duplicate_packet_merging": 7, "logs": "debug"}, "home": {"latitude": 1.5, "longitude": -2}}
+    got = load_settings(config)
+    assert (got.home, got.back_n, got.merge_seconds, got.hz) == ((1.5, -2.0), 4, 7.0, 0.5)
+    assert (got.remember_seconds, got.top_planes, got.advanced) == (30.0, 5, True)
+    assert load_settings({}) == Settings()
+    for bad in ({"backdate_packets": 1}, {"remember_planes": -1}, {"hz": 0}, {"status_message_top_planes": -2}, {"hz": "fast"}, {"advanced_status": 1}):
+        with pytest.raises(RuleError):
+            load_settings({"general": bad})
+    with pytest.raises(RuleError):
+        load_settings({"home": {"latitude": 95, "longitude": 0}})
+
+
+def test_lookup_spreads_only_heavy_keys(spark):
+    rows = spark.createDataFrame([(k % 10 if k % 3 else 99, k) for k in range(900)] + [(None, 901)], "key long, n int")
+    table = spark.createDataFrame([(k, f"v{k}") for k in (1, 2, 99)], "key long, v string")
+    assert set(heavy_keys(rows, "key", 200)) == {99} and heavy_keys(rows, "key", 1000) == {}
+    want = {(r.key, r.n): r.v for r in rows.join(table, "key", "left").collect()}
+    for limit in (50, 200, 1000):
+        got = lookup(rows, table, "key", rows_per_task=limit)
+        assert got.count() == 901 and {(r.key, r.n): r.v for r in got.collect()} == want
