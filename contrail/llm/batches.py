@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +14,32 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+
+
+def give_back() -> None:
+    """Return unused memory to the system: workers stay for later tasks, which may need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def once(make: Callable) -> Callable:
+    """Compute a result once for each worker process.
+
+    Unlike a cached function of the library this one travels to workers that lack the package.
+    """
+
+    @functools.wraps(make)
+    def call(*args):
+        kept = sys.modules.setdefault("_contrail_kept", types.ModuleType("_contrail_kept")).__dict__
+        key = make.__module__, make.__qualname__, args
+        if key not in kept:
+            kept[key] = make(*args)
+        return kept[key]
+
+    return call
 
 
 def carried(docs: DataFrame, columns: tuple[str, ...], text: str) -> list[Column]:
@@ -42,7 +71,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-    pa.default_memory_pool().release_unused()  # workers stay for later tasks; what they don't use goes back
+    give_back()
 
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -55,7 +55,7 @@ class PairTable:
 class Memo:
     """What was found for strings seen before in this worker: a ragged array by string, of bounded size."""
 
-    def __init__(self, most: int = 700_000):
+    def __init__(self, most: int = 300_000):
         self.most, self.row = most, {}
         self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
