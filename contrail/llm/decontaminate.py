@@ -143,8 +143,9 @@ def decontaminate(
     context = rows.sparkSession.sparkContext
 
     def search(blocks: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+        known = Phrases(*shared.value)
         for part in chunks(blocks):
-            n, spans, items = _hits(large_text(part.column("text")).to_pylist(), shared.value)
+            n, spans, items = _hits(large_text(part.column("text")).to_pylist(), known)
             if "spans" in part.schema.names:
                 before = zip(part.column("spans").to_pylist(), part.column("items").to_pylist())
                 for i, (s, x) in enumerate(before):
@@ -167,7 +168,7 @@ def decontaminate(
             break
         if number:
             rows = materialize(rows, "decontaminate")
-        shared = context.broadcast(phrases(block, width))
+        shared = context.broadcast(tuple(vars(phrases(block, width)).values()))  # plain values: workers may lack this package
         rows = rows.mapInArrow(lambda x, shared=shared: search(x, shared), schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     out = rows.select(

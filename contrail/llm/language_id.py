@@ -50,6 +50,10 @@ class Model:
     weights: np.ndarray  # feature x language
     languages: list[str]
 
+    def values(self) -> tuple:
+        """What it takes to make it again: plain values travel to workers that lack this package."""
+        return self.codes, self.presence, self.features, self.weights, self.languages
+
     @functools.cached_property
     def column(self) -> np.ndarray:
         small = np.int16 if len(self.codes) < 1 << 15 else np.int32
@@ -124,10 +128,10 @@ def fit(labelled: DataFrame, sample_rows: int = 4096, landmarks: int = 96, ridge
     features = (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)
     languages = sorted(per)
     model = Model(codes, presence, features, np.zeros((features.shape[1], len(languages)), np.float32), languages)
-    shared = sample.sparkSession.sparkContext.broadcast(model)
+    shared = sample.sparkSession.sparkContext.broadcast(model.values())
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, gram, target = shared.value, 0.0, 0.0
+        m, gram, target = Model(*shared.value), 0.0, 0.0
         for part in chunks(batches, most=CHUNK):
             langs = np.array([m.languages.index(x) for x in part.column("lang").to_pylist()])
             texts = large_text(part.column("text"))
@@ -178,10 +182,10 @@ def language_id(
     out = rows.select("key", held_out(F.col("key")).alias("held_out"), letters.alias("letters"), "text", *rows.columns[3:])
     if model is None:
         return out.select(F.col("key").alias(key), "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *whole(carry, text))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         for part in chunks(batches, most=CHUNK):
             texts = large_text(part.column("text"))
             values = np.concatenate([m.scores(piece) for piece in _pieces(texts)])

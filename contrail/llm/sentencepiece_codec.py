@@ -7,7 +7,6 @@ segment has a heap of its own.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from contrail.llm.batches import chunks, large_text, spread
+from contrail.llm.batches import chunks, large_text, once, spread
 from contrail.llm.ragged import Memo, PairTable, merge, merge_long
 
 SPACE = "\u2581"  # Fixed value: the library's mark for a blank.
@@ -39,7 +38,7 @@ class Codec:
     eos: int
 
 
-@functools.cache
+@once
 def codec(path: str) -> Codec:
     """Load a model file; models that normalize text or aren't of the merge type are refused."""
     model = model_pb2.ModelProto()
@@ -147,7 +146,7 @@ def _segments(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return values.take(pa.array(spread(first, sizes))), sizes
 
 
-@functools.cache
+@once
 def _memo(path: str, checked: bool) -> Memo:
     return Memo()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Iterator
@@ -14,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from contrail.llm.batches import chunks, flat_bytes, large_text
+from contrail.llm.batches import chunks, flat_bytes, large_text, once
 from contrail.llm.ragged import Memo, PairTable, merge
 
 # The published split pattern of byte-level BPE vocabularies.
@@ -38,7 +37,7 @@ def _byte_letters() -> list[str]:
     return letters
 
 
-@functools.cache
+@once
 def _vocabulary(path: str) -> tuple[PairTable, np.ndarray, regex.Pattern | None]:
     """Pair table, the symbol of each byte, and a pattern of the special strings."""
     with open(path, encoding="utf-8") as f:
@@ -59,7 +58,7 @@ def _vocabulary(path: str) -> tuple[PairTable, np.ndarray, regex.Pattern | None]
     return table, np.array([ids[x] for x in _byte_letters()], np.int64), found
 
 
-@functools.cache
+@once
 def _memo(path: str) -> Memo:
     return Memo()
 
