@@ -30,7 +30,7 @@ class Rule:
 
 def host_rule(verdict: str, host: str, path: str) -> Rule:
     """A rule for a host and its subdomains, for paths that start with ``path``; longer ones win."""
-    whole = path.split("/")[:-1]  # the last piece may go on in the url
+    whole = re.split("[./]", path)[:-1]  # the last piece may go on in the url
     tokens = tuple(sorted({*host.split("."), *whole} - {""}))
     pattern = rf"^(?:[^/]*\.)?{re.escape(host)}(?=/|$){re.escape(path)}"
     return Rule(verdict, pattern, tokens, host + path, len(host + path))

@@ -115,11 +115,11 @@ def test_language_without_labels(frame):
 
 # URL filters ----------------------------------------------------------------------------------
 
-HOSTS = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/")]
+HOSTS = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "u.net", "/v1.2/x."), ("block", "u.net", "/a.b/")]
 URLS = [
     None, "", "no scheme.org/", "http://", "HTTP://A.Example.ORG/es/x?y#z", "https://example.org/en/12", "http://badexample.org/es/1",
     "http://example.org?/es/", "http://x.org", "http://com/fr/", "http://com/FR/", "ftp://a.b.com/fr/?q", "http://spam.net/ads/1", "x://h#/",
-    "http://u.net/" + "a/" * 5000, "http://a\nb.org/es/",
+    "http://u.net/v1.2/x.html", "http://u.net/v1.2/xy", "http://w.u.net/a.b/c", "http://u.net/" + "a/" * 5000, "http://a\nb.org/es/",
 ]
 
 
