@@ -7,14 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("token_queries", "filter_queries", "dedup_queries", "vector_queries", "chat_queries", "corpus_queries")
+NAMES = ("token_queries", "filter_queries", "dedup_queries", "vector_queries", "chat_queries", "corpus_queries")
+MODULES = [importlib.import_module(f"contrail.llm.{name}") for name in NAMES]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _collect(name: str) -> dict:
     found: dict = {}
     for module in MODULES:
-        found.update(getattr(importlib.import_module(f"contrail.llm.{module}"), name))
+        found.update(getattr(module, name))
     return found
 
 
