@@ -11,11 +11,11 @@ from contrail.sources.scratch import materialize
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.join(materialize(least, "least"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     others = links.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionAll(least.select("a", F.col("m").alias("b")))
 
@@ -24,12 +24,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Root of every value of ``links`` (a, b; numbers) that is not its component's smallest: (a, root).
 
     A link of a value with itself has no effect. Each round is a written table, so lineage stays
-    short; joins are on single values and a hot one is split by adaptive execution.
+    short. So is the least neighbour of each value: both sides of a join are then shuffled, which
+    lets adaptive execution split a hot value.
     """
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, before = materialize(links, "links"), None
     for _ in range(most_rounds):
-        links = materialize(_small_star(_large_star(links)).filter("a <> b").distinct(), "links")
+        links = materialize(_large_star(links).distinct(), "links")
+        links = materialize(_small_star(links).filter("a <> b").distinct(), "links")
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if now == before or not now[0]:
             return links.select("a", F.col("b").alias("root"))

@@ -1,8 +1,7 @@
-"""Near-duplicates: SimHash fingerprints joined within a few differing bits, and an exact join of shingle sets."""
+"""Near-duplicates: SimHash fingerprints joined within a few differing bits."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,12 @@ def fingerprint(text: str, width: int) -> int:
     starts = np.r_[0, ends[:-1] + 1]
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half the hashes."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     set_ = 2 * bits.sum(0, dtype=np.int64) > len(hashes)
     return int.from_bytes(np.packbits(set_).tobytes(), "big")
 
@@ -56,186 +60,6 @@ def shingle_hashes(text: str, width: int) -> list[int]:
     return shingle_array(text, width).view(np.int64).tolist()
 
 
-PARITY = 1024  # bits of a set's parities
-BLOCK = 256  # sets of one shingle in one part; parts meet pairwise
-
-
-def parities(hashes: np.ndarray) -> bytes:
-    """Whether an odd number of hashes falls into each of ``PARITY`` cells. Two sets differ in as many elements at least as these differ in bits."""
-    cells = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY)
-    return np.packbits((cells & 1).astype(np.uint8)).tobytes()
-
-
-def _prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """First shingles in the order of all sets, ``common`` ones last: sets of the wanted share have one of these in common."""
-    n = len(hashes)
-    k = min(n, n - math.ceil(similarity * n - 1e-9) + 1)
-    if not len(common):
-        return hashes[:k]
-    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-    place = np.where(common[at] == hashes, rank[at] + 1, 0)
-    return hashes[np.lexsort((hashes, place))[:k]]
-
-
-def _possible(n: np.ndarray, m: np.ndarray, bits: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
-    """False only where two sets of n and m elements cannot have the share, by size or by parities."""
-    most = (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
-    out = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
-    out[out] = np.bitwise_count(bits[out] ^ other[out]).sum(1, dtype=np.int64) <= most[out]
-    return out
-
-
-def _words(column: pa.Array) -> np.ndarray:
-    data = b"".join(column.to_pylist())
-    return np.frombuffer(data, np.uint64).reshape(len(column), -1) if data else np.zeros((0, PARITY // 64), np.uint64)
-
-
-def _common_shingles(rows: DataFrame, width: int, most: int = 10_000, kept: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of many texts (from 16 on), by a sample, and their ranks. They only order shingles: a missing one costs time, not results."""
-    n = rows.count()
-    share = min(1.0, max(1 / 16, most / max(1, n)))
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            found = [shingle_array(t, width).view(np.int64) for t in large_text(part.column("text")).to_pylist()]
-            names = [xxhash.xxh64_intdigest(x) for x in found]
-            columns = [pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "shingles"])
-
-    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1024)) < math.ceil(1024 * share)).select("text")
-    sets = sample.mapInArrow(shingled, "id long, shingles array<long>").dropDuplicates(["id"])
-    often = sets.select(F.explode("shingles").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
-    found = often.filter(F.col("c") >= max(4, 16 * share)).orderBy(F.desc("c"), "t").limit(kept).toPandas()
-    common, c = found["t"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
-    order = np.argsort(common)
-    rank = np.empty(len(c), np.int64)
-    rank[np.lexsort((common, c))] = np.arange(len(c))
-    return common[order], rank[order]
-
-
-def _stars(open_: DataFrame, turn: int, similarity: float) -> DataFrame:
-    """Possible links (a, b) of the sets of each shingle with one of them, another one in every turn."""
-    one = F.struct("id", "n", "bits", "root")
-    centers = open_.groupBy("t").agg(F.min_by(one, F.xxhash64("id", F.lit(turn))).alias("c"))
-    pairs = open_.join(centers, "t").filter("root <> c.root")
-    pairs = pairs.select("id", "n", "bits", F.col("c.id").alias("b"), F.col("c.n").alias("m"), F.col("c.bits").alias("other"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
-            keep = _possible(n, m, _words(batch.column("bits")), _words(batch.column("other")), similarity)
-            a, b = (batch.column(c).to_numpy()[keep] for c in ("id", "b"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long").distinct()
-
-
-def _all_pairs(open_: DataFrame, similarity: float) -> DataFrame:
-    """All possible links (a, b) of sets with a shingle in common and different roots."""
-    parts = open_.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    i, j = F.pmod(F.xxhash64("id"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    rows = open_.join(parts, "t").withColumn("i", i).withColumn("j", j)
-    one = F.struct("id", "n", "root", "i", "bits")
-    blocks = rows.groupBy("t", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y")).agg(F.collect_list(one).alias("rows"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                own = batch.column("x")[row].as_py() == batch.column("y")[row].as_py()
-                rows = batch.column("rows")[row].values
-                name, n, root, part = (rows.field(c).to_numpy() for c in ("id", "n", "root", "i"))
-                bits = _words(rows.field("bits"))
-                found = []
-                for at in range(len(name) - 1):
-                    rest = np.arange(at + 1, len(name))
-                    rest = rest[(root[rest] != root[at]) & (own | (part[rest] != part[at]))]
-                    here = np.full(len(rest), at)
-                    rest = rest[_possible(n[here], n[rest], bits[here], bits[rest], similarity)]
-                    found.append(np.stack([np.full(len(rest), name[at]), name[rest]], 1))
-                both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both.min(1)), pa.array(both.max(1))], ["a", "b"])
-
-    return blocks.mapInArrow(run, "a long, b long").distinct()
-
-
-def similar_documents(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", turns: int = 2
-) -> DataFrame:
-    """Rows that share at least ``similarity`` of their different shingles of ``width`` words, chained: key, component_id.
-
-    One row per row of ``docs`` with a key; component_id is the smallest key reachable. Exact:
-    two such sets have a shingle in common among the first ones of each in one order of all
-    shingles (1 - similarity of a set, and one), so every pair within these shingles is decided,
-    unless its sets are linked already. ``turns`` rounds first link the sets of each shingle with
-    one of them, which joins large groups without their pairs; then all pairs are taken. Bounds by
-    size and parities drop pairs that cannot be similar, and the others are checked by their
-    shares. Common shingles come last in the order; they are told by a sample. Equal sets are one.
-    Rows without words are copies of each other. Null keys are left out; repeated rows stay; other
-    columns aren't read; an empty table gives an empty result.
-    """
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).filter("key is not null")
-    kind = rows.schema["key"].dataType
-    shared = rows.sparkSession.sparkContext.broadcast(_common_shingles(rows, width))
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            found = [shingle_array(t, width) for t in large_text(part.column("text")).to_pylist()]
-            columns = [
-                part.column("key"),
-                pa.array(np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64).view(np.int64)),
-                pa.array([len(x) for x in found], pa.int64()),
-                pa.array([parities(x) for x in found], pa.binary()),
-                pa.array([_prefix(x, similarity, *shared.value).view(np.int64) for x in found], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "bits", "prefix"])
-
-    schema = T.StructType().add("key", kind).add("id", "long").add("n", "long").add("bits", "binary").add("prefix", T.ArrayType(T.LongType()))
-    known = materialize(rows.mapInArrow(described, schema), "sets")
-    kinds = known.groupBy("id").agg(F.min("key").alias("first"), F.min_by(F.struct("n", "bits", "prefix"), "key").alias("s"))
-    kinds = materialize(kinds.select("id", "first", "s.*"), "different_sets")
-    tokens = kinds.select(F.explode("prefix").alias("t"), "id")
-    shared_tokens = tokens.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1").select("t")
-    tokens = tokens.join(shared_tokens, "t")
-    tokens = materialize(tokens.join(kinds.select("id", "n", "bits"), "id").select("t", "id", "n", "bits"), "shared_shingles")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            found = [shingle_array(t, width) for t in large_text(part.column("text")).to_pylist()]
-            names = pa.array(np.array([xxhash.xxh64_intdigest(x) for x in found], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([names, pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["id", "shingles"])
-
-    common = F.size(F.array_intersect("x", "y"))
-    share = common / (F.size("x") + F.size("y") - common)
-
-    def similar(links: DataFrame) -> DataFrame:
-        links = materialize(links, "possible_links")
-        wanted = materialize(links.select(F.col("a").alias("id")).union(links.select("b")).distinct(), "wanted")
-        keys = kinds.join(wanted, "id").select(F.col("first").alias("key")).distinct()
-        sets = rows.join(keys, "key").select("text").mapInArrow(shingled, "id long, shingles array<long>")
-        sets = materialize(sets.join(wanted, "id").dropDuplicates(["id"]), "shingles")
-        a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(x)) for c, x in (("a", "x"), ("b", "y")))
-        return materialize(links.join(a, "a").join(b, "b").filter(share >= similarity).select("a", "b"), "links")
-
-    def rooted(roots: DataFrame) -> DataFrame:
-        """Rows of the shingles whose sets are not all linked yet."""
-        now = tokens.join(roots.withColumnRenamed("a", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        several = now.groupBy("t").agg(F.min("root").alias("p"), F.max("root").alias("q")).filter("p < q").select("t")
-        return materialize(now.join(several, "t"), "open_shingles")
-
-    links = None
-    roots = rows.sparkSession.createDataFrame([], "a long, root long")
-    for turn in range(turns + 1):
-        open_ = rooted(roots)
-        found = similar(_stars(open_, turn, similarity) if turn < turns else _all_pairs(open_, similarity))
-        links = links.union(found) if links else found
-        roots = components(links)
-    owned = kinds.select("id", "first").join(roots.withColumnRenamed("a", "id"), "id", "left")
-    owned = materialize(owned.withColumn("root", F.coalesce("root", "id")), "set_roots")
-    least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = materialize(owned.join(least, "root").select("id", "component_id"), "set_classes")
-    return known.select("key", "id").join(classes, "id").select(F.col("key").alias(key), "component_id")
-
-
 def fingerprints(docs: DataFrame, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and fp (the fingerprint as a signed number) of every row; a null text has no words."""
 
@@ -266,7 +90,7 @@ def near_duplicates(
     roots = components(hamming_links(values.select("fp", F.col("fp").alias("id")), budget, leaf))
     owned = values.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     owned = materialize(owned, "fingerprint_roots")
-    least = owned.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = materialize(owned.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     classes = materialize(owned.join(least, "root").select("fp", "component_id"), "fingerprint_classes")
     out = rows.join(classes, "fp")
     return out.select(

@@ -63,23 +63,6 @@ def _settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def _nearest_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Numbers of the links of a spanning forest that prefers near ones: each component takes its nearest link in turn."""
-    order = np.argsort(far, kind="stable")
-    a, b, labels, kept = a[order], b[order], np.arange(n), []
-    open_ = np.arange(len(order))
-    while len(open_):
-        x, y = labels[a[open_]], labels[b[open_]]
-        open_, x, y = open_[x != y], x[x != y], y[x != y]
-        best = np.full(n, len(order))
-        np.minimum.at(best, x, open_)
-        np.minimum.at(best, y, open_)
-        take = np.unique(best[best < len(order)])
-        kept.append(take)
-        labels = _settle(labels, a[take], b[take])
-    return order[np.concatenate(kept)] if kept else order[:0]
-
-
 def _products(first: np.ndarray, second: np.ndarray, wide: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of all value pairs of node pairs, a bounded number at once: n pairs, ``wide`` of them to a row."""
     ends = np.cumsum(n)
@@ -90,15 +73,9 @@ def _products(first: np.ndarray, second: np.ndarray, wide: np.ndarray, n: np.nda
         yield first[which] + k // wide[which], second[which] + k % wide[which]
 
 
-def traverse(
-    left: np.ndarray, right: np.ndarray | None, budget: int, depth: int = 0, differing: int = 0,
-    sketches: tuple[np.ndarray, np.ndarray] | None = None, limit: int = 0,
-) -> np.ndarray:
+def traverse(left: np.ndarray, right: np.ndarray | None, budget: int, depth: int = 0, differing: int = 0) -> np.ndarray:
     """Links (k x 2 positions; right ones behind the left) that join all values within ``budget`` bits into their components.
 
-    With ``sketches`` (rows of words for left and right) a link also needs at most ``limit``
-    differing bits in them, values may repeat, and the links kept are the nearest by sketch.
-
     ``left`` and ``right`` are sorted different values below one node each, at ``depth``, whose
     prefixes differ in ``differing`` bits; ``right`` is None for the pairs inside ``left``. Node
     pairs that are already one component are skipped: their links would add nothing.
@@ -109,7 +86,7 @@ def traverse(
         b = a
     shift = 0 if self_join else len(left)
     size = len(left) + (0 if self_join else len(right))
-    labels, linked, pairs = np.arange(size), False, []
+    labels, linked = np.arange(size), False
     zero = np.zeros(1, np.int64)
     stack = [(depth, zero, zero, np.full(1, differing, np.int64))]
     while stack:
@@ -134,16 +111,7 @@ def traverse(
             near = np.bitwise_count(a.values[x] ^ b.values[y]) <= budget
             if self_join:
                 near &= x < y
-            if sketches is not None:
-                x, y = x[near], y[near]
-                far = np.bitwise_count(sketches[0][x] ^ sketches[1][y]).sum(1, dtype=np.int64)
-                close = far <= limit
-                pairs.append((x[close], y[close] + shift, far[close]))
-                if sum(len(k[0]) for k in pairs) > DIRECT_ROWS:
-                    u, v, far = map(np.concatenate, zip(*pairs))
-                    kept = _nearest_forest(size, u, v, far)
-                    pairs = [(u[kept], v[kept], far[kept])]
-            elif near.any():
+            if near.any():
                 labels, linked = _settle(labels, x[near], y[near] + shift), True
         ia, ib, d = ia[~direct], ib[~direct], d[~direct]
         if not len(ia):
@@ -158,10 +126,6 @@ def traverse(
                     keep &= ca <= cb
                 below.append((ca[keep], cb[keep], now[keep]))
         stack.append((t + 1, *map(np.concatenate, zip(*below))))
-    if pairs:
-        u, v, far = map(np.concatenate, zip(*pairs))
-        kept = _nearest_forest(size, u, v, far)
-        return np.stack([u[kept], v[kept]], 1)
     joined = np.flatnonzero(labels != np.arange(size))
     return np.stack([joined, labels[joined]], 1)
 
@@ -182,55 +146,46 @@ def _node_pairs(nodes: DataFrame, depth: int, budget: int, step: int = 4) -> Dat
     return pairs
 
 
-def hamming_links(
-    values: DataFrame, budget: int, leaf: int = 16_384, sketch: tuple[str, ...] = (), limit: int = 0
-) -> DataFrame:
-    """Links (a, b) that join every two of ``values`` (id, fp) within ``budget`` bits of fp, by their ids.
+def hamming_links(values: DataFrame, budget: int, leaf: int = 16_384) -> DataFrame:
+    """Links (a, b) that join every two of ``values`` (id, fp; the fps are different) within ``budget`` bits of fp, by their ids.
 
-    Not every pair is listed: each task gives a spanning forest of what it found. Without
-    ``sketch`` the fps are different. With it, columns of numbers, a link needs at most ``limit``
-    differing bits in all of them together, and each forest prefers the nearest links by them: a
-    union of such forests links, at any stricter limit, what all pairs would link. Subtries hold
+    Not every pair is listed: each task gives a spanning forest of what it found. Subtries hold
     about ``leaf`` values; one with more is dealt into parts by hash, and parts meet pairwise.
+    Pairs of parts are numbered, so that each task gets about the same number of them.
     """
     n = values.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / leaf))) if n else 0
     node = F.shiftrightunsigned("fp", BITS - depth) if depth else F.lit(0).cast("long")
-    columns = ["fp", "id", *sketch]
-    placed = values.select(*columns, node.alias("node"))
+    placed = values.select("fp", "id", node.alias("node"))
     nodes = placed.groupBy("node").agg(F.ceil(F.count("*") / leaf).alias("parts"))
     nodes = materialize(nodes, "trie_nodes")
     part = F.pmod(F.xxhash64("id"), F.col("parts"))
-    rows = F.sort_array(F.collect_list(F.struct(*columns)))
+    rows = F.sort_array(F.collect_list(F.struct("fp", "id")))
     blocks = placed.join(nodes, "node").groupBy("node", part.alias("part")).agg(rows.alias("rows"))
     blocks = materialize(blocks, "trie_blocks")
     pairs = _node_pairs(nodes, depth, budget)
     ids = blocks.select("node", "part")
     left = ids.select(F.col("node").alias("a"), F.col("part").alias("i"))
     right = ids.select(F.col("node").alias("b"), F.col("part").alias("j"))
-    pairs = pairs.join(left, "a").join(right, "b").filter("a < b or i <= j")
+    pairs = materialize(pairs.join(left, "a").join(right, "b").filter("a < b or i <= j"), "block_pairs")
     left = blocks.select(F.col("node").alias("a"), F.col("part").alias("i"), F.col("rows").alias("left"))
     right = blocks.select(F.col("node").alias("b"), F.col("part").alias("j"), F.col("rows").alias("right"))
-    tasks = max(1, min(2000, (1 << depth) * ((1 << depth) + 1) // 2))
-    dealt = pairs.repartition(tasks, "a", "b", "i", "j").join(left, ["a", "i"]).join(right, ["b", "j"])
+    tasks = max(1, min(2000, pairs.count()))
+    dealt = pairs.join(left, ["a", "i"]).join(right, ["b", "j"]).repartition(tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 one = {name: batch.column(name)[row] for name in batch.schema.names}
                 own = one["a"].as_py() == one["b"].as_py() and one["i"].as_py() == one["j"].as_py()
-                fps, names, words = [], [], []
+                fps, names = [], []
                 for side in ("left", "right"):
                     rows = one[side].values
                     fp = rows.field("fp").to_numpy().view(np.uint64)
                     order = np.argsort(fp)
                     fps.append(fp[order])
                     names.append(rows.field("id").to_numpy()[order])
-                    if sketch:
-                        words.append(np.stack([rows.field(c).to_numpy().view(np.uint64)[order] for c in sketch], 1))
-                found = traverse(
-                    fps[0], None if own else fps[1], budget, depth, one["d"].as_py(), tuple(words) if sketch else None, limit
-                )
+                found = traverse(fps[0], None if own else fps[1], budget, depth, one["d"].as_py())
                 name = names[0] if own else np.concatenate(names)
                 yield pa.RecordBatch.from_arrays([pa.array(name[found[:, 0]]), pa.array(name[found[:, 1]])], ["a", "b"])
 
