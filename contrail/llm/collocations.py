@@ -3,10 +3,10 @@
 The corpus is coded once into shards, which are then scanned in turn, again and again. A scan
 counts phrases of all lengths together: a phrase starts to be counted behind the scan in which
 both its parts (without its last, without its first word) have reached the threshold, and is
-counted for one full cycle of shards. Each phrase first adds to one of a fixed number of hashed
+counted for one full cycle of shards. Each phrase first adds to two of a fixed number of hashed
 counters; a counter is at least as high as the count of any of its phrases, so what is active
 follows from counters that every task holds, whatever the size of the corpus. A phrase whose
-counter reaches the threshold is counted exactly for one full cycle behind that scan.
+counters have both reached the threshold is counted exactly for one full cycle behind that scan.
 """
 
 from __future__ import annotations
@@ -32,7 +32,11 @@ NEVER = 255
 CELLS = 1 << 16  # counters sent as one piece
 JOINED = 256  # pieces of one place added up at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CODED = "shard int, lang string, words array<string>, ids array<long>, counts array<long>, codes binary"
+_ROWS = (_MIX, np.uint64(0xD6E8FEB86659FD93))  # a factor for each row of counters
+WORDS = 200_000  # different words counted together in a task
+ROWS = 1 << 21  # phrase counts held in a task
+BUCKETS = 32  # parts of a language whose best phrases meet
+_CODED = "shard int, ids array<long>, codes binary, lang string, words array<string>, names array<long>, counts array<long>"
 _SCANNED = "length int, phrase binary, n long, piece int, source int, cells binary"
 
 
@@ -48,7 +52,7 @@ def _segments(texts: list[str]) -> Iterator[bytes]:
         start = stop
 
 
-def _coded(segment: bytes, seed: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+def _coded(segment: bytes, seed: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Different words, their ids (0: a break) and counts, and the number of each token's word."""
     tokens = pa.array(segment.replace(BREAK, b" \xff ").split(), pa.large_binary()).dictionary_encode()
     names, codes = tokens.dictionary.to_pylist(), tokens.indices.to_numpy(zero_copy_only=False)
@@ -56,27 +60,42 @@ def _coded(segment: bytes, seed: int) -> tuple[list[str], np.ndarray, np.ndarray
     broken = ids[codes] == 0
     codes = codes[~(broken & np.r_[True, broken[:-1]])]
     counts = np.where(ids == 0, 0, np.bincount(codes, minlength=len(names)))
-    return ["" if w == BREAK else w.decode() for w in names], ids, counts, codes.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
+    return names, ids, counts, codes.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
 
 
 def _encode(rows: DataFrame, shards: int, seed: int) -> DataFrame:
-    """One row for each segment of a language, dealt to shards; written as a table with a folder for each shard."""
+    """Rows of segments of a language (ids of their words, codes), dealt to shards, and rows of word counts of a task
+    (lang, words, names, counts); written as a table with a folder for each shard."""
+
+    def batch(**columns) -> pa.RecordBatch:
+        kinds = {"shard": pa.int32(), "ids": pa.list_(pa.int64()), "codes": pa.binary(), "lang": pa.string(), "words": pa.list_(pa.string()), "names": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+        return pa.RecordBatch.from_arrays([pa.array([columns.get(c)], k) for c, k in kinds.items()], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = TaskContext.get().partitionId()
+        turn, held = TaskContext.get().partitionId(), {}
+
+        def counted(lang: str, most: int) -> Iterator[pa.RecordBatch]:
+            own = held[lang]
+            if len(own) > most:
+                names = [v[0] for v in own.values()]
+                yield batch(shard=turn % shards, lang=lang, words=[w.decode() for w in own], names=names, counts=[v[1] for v in own.values()])
+                own.clear()
+
         for part in chunks(batches, most=SEGMENT):
             texts, langs = large_text(part.column("text")).to_pylist(), part.column("lang").to_pylist()
             for lang in sorted(set(langs)):
-                own = xxhash.xxh3_64_intdigest(lang.encode(), seed)
+                salt, own = xxhash.xxh3_64_intdigest(lang.encode(), seed), held.setdefault(lang, {})
                 for segment in _segments([t for t, x in zip(texts, langs) if x == lang]):
-                    words, ids, counts, codes = _coded(segment, own)
-                    columns = [
-                        pa.array([turn % shards], pa.int32()), pa.array([lang]), pa.array([words], pa.list_(pa.string())),
-                        pa.array([ids.view(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
-                        pa.array([codes.tobytes()]),
-                    ]
+                    words, ids, counts, codes = _coded(segment, salt)
+                    names = ids.view(np.int64)
+                    for w, name, n in zip(words, names.tolist(), counts.tolist()):
+                        if name:
+                            own.setdefault(w, [name, 0])[1] += n
+                    yield batch(shard=turn % shards, ids=names, codes=codes.tobytes())
+                    yield from counted(lang, WORDS)
                     turn += 1
-                    yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "words", "ids", "counts", "codes"])
+        for lang in held:
+            yield from counted(lang, 0)
 
     path = new_path(rows.sparkSession, "coded")
     rows.mapInArrow(run, _CODED).write.partitionBy("shard").option("compression", "zstd").parquet(path)
@@ -85,35 +104,42 @@ def _encode(rows: DataFrame, shards: int, seed: int) -> DataFrame:
 
 def _words(coded: DataFrame) -> DataFrame:
     """lang, word, id, n of every different word."""
-    each = coded.select("lang", F.inline(F.arrays_zip("words", "ids", "counts"))).filter("ids <> 0")
-    return each.groupBy("lang", F.col("words").alias("word"), F.col("ids").alias("id")).agg(F.sum("counts").alias("n"))
+    each = coded.filter("words is not null").select("lang", F.inline(F.arrays_zip("words", "names", "counts")))
+    return each.groupBy("lang", F.col("words").alias("word"), F.col("names").alias("id")).agg(F.sum("counts").alias("n"))
+
 
+def counters_of(length: int, counters: int, kind: type, value: int) -> np.ndarray:
+    """Counters for one length: a row for words, two for phrases."""
+    return np.full((min(length, len(_ROWS)), counters), value, kind)
 
-def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes * _MIX >> np.uint64(64 - bits)).astype(np.int64)
 
+def bucket_of(hashes: np.ndarray, bits: int, row: int) -> np.ndarray:
+    return ((hashes ^ hashes >> np.uint64(32)) * _ROWS[row] >> np.uint64(64 - bits)).astype(np.int64)
 
-def _counted(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different rows of ``words`` and their counts; equal rows have equal hashes (a row may come in several parts)."""
+
+def _counted(words: np.ndarray, hashes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different rows of ``words``, their hashes and counts; equal rows have equal hashes (a row may come in several parts)."""
     order = np.argsort(hashes)
     words = words[order]
     starts = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]).any(1)])
-    return words[starts], np.diff(np.r_[starts, len(words)])
+    counts = np.diff(np.r_[starts, len(words)]) if n is None else np.add.reduceat(n[order], starts)
+    return words[starts], hashes[order[starts]], counts
 
 
 class Scan:
     """One task's part of scan ``step``: hashed counters of what is active, and exact counts of what has reached.
 
-    ``reached`` has an array for each length: the scan in which a counter reached ``least``, or NEVER.
+    ``reached`` has rows of counters for each length: the scan in which each reached ``least``, or NEVER.
     """
 
     def __init__(self, step: int, cycle: int, least: int, reached: list[np.ndarray]):
         self.step, self.cycle, self.least, self.reached = step, cycle, least, reached
-        self.bits = len(reached[0]).bit_length() - 1
-        self.sums = [np.zeros(len(r), cells_type(least)) for r in reached]
+        self.bits = reached[0].shape[1].bit_length() - 1
+        self.sums = [np.zeros(r.shape, cells_type(least)) for r in reached]
+        self.exact: list[list[tuple[np.ndarray, ...]]] = [[] for _ in reached]
 
-    def add(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Count the phrases of a run of word ids (0: a break); yields length, phrases and counts."""
+    def add(self, ids: np.ndarray) -> None:
+        """Count the phrases of a run of word ids (0: a break)."""
         hashes, valid = ids.copy(), ids != 0
         ready = np.full(len(ids), -1, np.int16)  # the scan by which both parts have reached
         for k, reached in enumerate(self.reached):
@@ -124,23 +150,33 @@ class Scan:
                 valid, ready = valid[:-1] & valid[1:], np.maximum(ready[:-1], ready[1:])
             valid &= ready < NEVER
             at = np.flatnonzero(valid)
-            bucket = bucket_of(hashes[at], self.bits)
-            since = ready[at]
+            since, own = ready[at], np.zeros(len(at), np.int16)
             now = (since < self.step) & (self.step <= since + self.cycle)
-            cells, n = np.unique(bucket[now], return_counts=True)
-            self.sums[k][cells] = np.minimum(self.sums[k][cells] + n, self.least)
-            own = reached[bucket].astype(np.int16)
+            for row in range(len(reached)):
+                bucket = bucket_of(hashes[at], self.bits, row)
+                cells, n = np.unique(bucket[now], return_counts=True)
+                sums = self.sums[k][row]
+                sums[cells] = np.minimum(sums[cells] + n, self.least)
+                own = np.maximum(own, reached[row][bucket])
             own = np.where(own < NEVER, np.maximum(own, since + 1), NEVER)
             if k:
                 exact = at[(own < self.step) & (self.step <= own + self.cycle)]
                 if len(exact):
-                    yield k + 1, *_counted(np.stack([ids[exact + i] for i in range(k + 1)], 1), hashes[exact])
+                    self.exact[k].append(_counted(np.stack([ids[exact + i] for i in range(k + 1)], 1), hashes[exact]))
             ready = np.full(len(hashes), NEVER, np.int16)
             ready[at] = own
 
+    def taken(self, most: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, phrases and exact counts where more than ``most`` rows are held, added up over the runs."""
+        for k, parts in enumerate(self.exact):
+            if sum(len(p[2]) for p in parts) > most:
+                words, _, n = parts[0] if len(parts) == 1 else _counted(*(np.concatenate(x) for x in zip(*parts)))
+                self.exact[k] = []
+                yield k + 1, words, n
+
     def pieces(self) -> Iterator[tuple[int, int, bytes]]:
         """Length, place and packed counters, without those that are all zero."""
-        for k, sums in enumerate(self.sums):
+        for k, sums in enumerate(map(np.ravel, self.sums)):
             for place in range(0, len(sums), CELLS):
                 part = sums[place : place + CELLS]
                 if part.any():
@@ -161,20 +197,25 @@ def _scan(shard: DataFrame, step: int, cycle: int, least: int, shared) -> DataFr
         return pa.RecordBatch.from_arrays(made, list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scan(step, cycle, least, [np.frombuffer(zstandard.decompress(r), np.uint8) for r in shared.value])
+        scan = Scan(step, cycle, least, [np.frombuffer(zstandard.decompress(r), np.uint8).reshape(rows, -1) for rows, r in shared.value])
+
+        def rows(most: int = 0) -> Iterator[pa.RecordBatch]:
+            for length, words, n in scan.taken(most):
+                raw = words.astype(">u8").tobytes()
+                names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * length), len(n), [None, pa.py_buffer(raw)])
+                yield batch(length=np.full(len(n), length), phrase=names.cast(pa.binary()), n=n)
+
         for b in batches:
             for i in range(b.num_rows):
                 own = b.column("ids")[i].values.to_numpy().view(np.uint64)
                 raw = b.column("codes")[i].as_buffer()
-                codes = np.frombuffer(raw, np.uint16 if len(own) <= 1 << 16 else np.uint32)
-                for length, words, n in scan.add(own[codes]):
-                    raw = words.astype(">u8").tobytes()
-                    names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * length), len(n), [None, pa.py_buffer(raw)])
-                    yield batch(length=np.full(len(n), length), phrase=names.cast(pa.binary()), n=n)
+                scan.add(own[np.frombuffer(raw, np.uint16 if len(own) <= 1 << 16 else np.uint32)])
+                yield from rows(ROWS)
+        yield from rows()
         for length, piece, cells in scan.pieces():
             yield batch(length=[length], piece=[piece], source=[TaskContext.get().partitionId()], cells=[cells])
 
-    return shard.select("ids", "codes").mapInArrow(run, _SCANNED)
+    return shard.filter("ids is not null").select("ids", "codes").mapInArrow(run, _SCANNED)
 
 
 def _added(rows: DataFrame, least: int) -> DataFrame:
@@ -194,7 +235,7 @@ def _added(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "length int, piece int, source int, cells binary")
 
 
-def _add_up(scanned: DataFrame, least: int, counters: int, totals: list[np.ndarray]) -> None:
+def _add_up(scanned: DataFrame, least: int, totals: list[np.ndarray]) -> None:
     """Add a scan's counters to ``totals``, by two rounds of bounded groups; the driver gets each place once."""
     parts = scanned.filter("cells is not null").select("length", "piece", "source", "cells")
     for group in (F.expr(f"source div {JOINED}"), F.lit(0)):
@@ -202,7 +243,7 @@ def _add_up(scanned: DataFrame, least: int, counters: int, totals: list[np.ndarr
         parts = _added(grouped, least)
     for row in parts.collect():
         cells = np.frombuffer(zstandard.decompress(bytes(row.cells)), cells_type(least))
-        at = totals[row.length - 1][row.piece * CELLS : (row.piece + 1) * CELLS]
+        at = totals[row.length - 1].reshape(-1)[row.piece * CELLS : (row.piece + 1) * CELLS]
         at[:] = np.minimum(at.astype(np.int64) + cells, least)
 
 
@@ -221,13 +262,13 @@ def _last_step(reached: list[np.ndarray], cycle: int) -> int:
 def _phrases(coded: DataFrame, least: int, longest: int, cycle: int, counters: int) -> DataFrame:
     """length, phrase (ids, eight bytes each) and count a of all phrases of 2 to ``longest`` words with ``least`` occurrences."""
     spark = coded.sparkSession
-    reached = [np.full(counters, NEVER, np.uint8) for _ in range(longest)]
-    totals = [np.zeros(counters, cells_type(least)) for _ in range(longest)]
+    reached = [counters_of(k, counters, np.uint8, NEVER) for k in range(1, longest + 1)]
+    totals = [counters_of(k, counters, cells_type(least), 0) for k in range(1, longest + 1)]
     scans, step = [], 0
     while step <= _last_step(reached, cycle):
-        shared = spark.sparkContext.broadcast([zstandard.compress(r.tobytes(), 1) for r in reached])
+        shared = spark.sparkContext.broadcast([(len(r), zstandard.compress(r.tobytes(), 1)) for r in reached])
         scanned = materialize(_scan(coded.filter(F.col("shard") == step % cycle), step, cycle, least, shared), "scan")
-        _add_up(scanned, least, counters, totals)
+        _add_up(scanned, least, totals)
         for r, total in zip(reached, totals):
             r[(total >= least) & (r == NEVER)] = step
         shared.destroy()  # what it was needed for is written
@@ -252,8 +293,8 @@ def collocations(
     the number of words of the language. Numbers are exact up to a of 10^16.
 
     A null text is empty, a null language is ``und``; repeated rows count again; other columns
-    aren't read; an empty table gives an empty result. Broadcast are ``longest`` times ``counters``
-    (a power of two) bytes; where far more phrases than counters occur, more of them are counted
+    aren't read; an empty table gives an empty result. Broadcast are two ``counters`` (a power of
+    two) bytes for each length, compressed; where far more phrases than counters occur, more of them are counted
     exactly, with the same result. ``shards`` is at most 60.
     """
     if counters & counters - 1 or counters < 2 or not 1 <= shards <= 60 or longest < 2:
@@ -300,8 +341,10 @@ def collocations(
             over = materialize(over, "longer_phrases")
             own = own.join(over, "phrase", "left").filter(F.expr(f"over is null or 100 * over < {absorb} * a")).drop("over")
         kept.append(own.select("lang", "text", "a", "cut"))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "text")
-    best = functools.reduce(DataFrame.union, kept).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    best = functools.reduce(DataFrame.union, kept).withColumn("bucket", F.pmod(F.xxhash64("text"), F.lit(BUCKETS)))
+    for group in (["lang", "bucket"], ["lang"]):  # first the best of each part of a language
+        order = Window.partitionBy(*group).orderBy(F.desc("cut.score"), F.desc("a"), "text")
+        best = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return best.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), F.col("text").alias("phrase"), "a", "cut.l", "cut.r", "n", "cut.score"
     )
