@@ -15,7 +15,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=400).drop("kept", "spans")
+    found = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=400)
+    # What is left, as text; a character that lost some of its bytes becomes a replacement mark there.
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept", "spans")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,6 +133,7 @@ def repeated_runs(rows: DataFrame, least: int) -> DataFrame:
     at = F.struct("key", "digest", "n")
     name = ["length", "r", "r2"]
     first = found.groupBy(*name).agg(F.min(at).alias("first"), F.count("*").alias("m")).filter("m > 1")
+    first = materialize(first, "first_runs")  # written, so that a hot run can be split
     return found.join(first, name).filter(at != F.col("first")).select("key", "digest", "n", "length")
 
 

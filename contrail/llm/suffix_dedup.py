@@ -325,12 +325,13 @@ def _copies(rows: DataFrame, undecided: DataFrame, width: int) -> DataFrame:
 def repeated_starts(rows: DataFrame, width: int, gram: int = GRAM) -> DataFrame:
     """key, digest, start, stop: where strings begin that occur more than once (stop excluded)."""
     anchors = materialize(_anchors(rows, width, gram), "anchors")
-    again = anchors.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    # Aggregates are written before rows of the same key meet them, so that a hot key can be split.
+    again = materialize(anchors.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "again")
     anchors = materialize(anchors.join(again, "a"), "repeated_anchors")
     place = F.struct("key", "digest", "start")
     kinds = anchors.groupBy("a", "s").agg(F.count("*").alias("copies"), F.min(place).alias("rep"), F.first("span").alias("span"), F.first("lead").alias("lead"))
     kinds = materialize(kinds, "stretches")
-    mixed = kinds.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    mixed = materialize(kinds.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"), "mixed")
     ones = materialize(_copies(rows, kinds.join(mixed, "a"), width), "copies")
     size = ones.agg(F.sum(F.octet_length("ahead") + F.octet_length("back")).alias("n")).first().n or 0
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (16 << 20))
@@ -347,7 +348,7 @@ def repeated_starts(rows: DataFrame, width: int, gram: int = GRAM) -> DataFrame:
     across = across.unionByName(named.filter("h is null").select("a", "s", "x", "y"))
     whole = kinds.filter("copies > 1").select("a", "s", F.lit(0).alias("x"), F.col("span").cast("int").alias("y"))
     starts = compared.filter("x is not null").unionByName(across).unionByName(whole)
-    starts = starts.groupBy("a", "s").agg(F.collect_set(F.struct("x", "y")).alias("runs"))
+    starts = materialize(starts.groupBy("a", "s").agg(F.collect_set(F.struct("x", "y")).alias("runs")), "starts")
     spread = anchors.join(starts, ["a", "s"]).select("key", "digest", "start", F.explode("runs").alias("run"))
     return spread.select("key", "digest", (F.col("start") + F.col("run.x")).alias("start"), (F.col("start") + F.col("run.y") + 1).alias("stop"))
 
