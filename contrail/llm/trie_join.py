@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contrail.llm.batches import give_back
 from contrail.sources.scratch import materialize
 
 BITS = 64
@@ -188,5 +189,6 @@ def hamming_links(values: DataFrame, budget: int, leaf: int = 16_384) -> DataFra
                 found = traverse(fps[0], None if own else fps[1], budget, depth, one["d"].as_py())
                 name = names[0] if own else np.concatenate(names)
                 yield pa.RecordBatch.from_arrays([pa.array(name[found[:, 0]]), pa.array(name[found[:, 1]])], ["a", "b"])
+        give_back()
 
     return dealt.mapInArrow(run, "a long, b long")
