@@ -3,8 +3,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from contrail.functions import geo
+from contrail.operators import ray_grid
 from contrail.operators import rules as ru
 from contrail.operators.alerts import alerts, to_kafka_rows
 from contrail.operators.ray_grid import zone_eta_by_grid
@@ -159,3 +161,15 @@ def test_rays_over_a_grid_against_every_zone(spark):
     for size in (0.05, 0.25, 3.0):
         got = zone_eta_by_grid(positions, table, 3000, size)
         assert sorted((r.id, r.zone, r.inside, round(r.eta, 6)) for r in got.collect()) == want
+
+
+def test_positions_of_one_file_are_dealt_into_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ray_grid, "PART_ROWS", 10)
+    rows = [(i, 35.0 + i / 200, -78.9, 600.0, 90.0) for i in range(100)]
+    spark.createDataFrame(rows, "id int, latitude double, longitude double, speed double, heading double").coalesce(1).write.parquet(str(tmp_path / "p"))
+    ring = [(34.0, -78.5), (34.0, -78.0), (36.0, -78.0), (36.0, -78.5)]
+    zones = spark.createDataFrame([("wall", ring)], "zone string, ring array<struct<lat:double,lon:double>>")
+    got = ray_grid.zone_eta_by_grid(spark.read.parquet(str(tmp_path / "p")), zones)
+    tasks = got.select("id", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r.id for r in tasks) == list(range(100))
+    assert len({r.task for r in tasks}) > 4
