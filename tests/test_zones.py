@@ -169,7 +169,8 @@ def test_positions_of_one_file_are_dealt_into_tasks(spark, tmp_path, monkeypatch
     spark.createDataFrame(rows, "id int, latitude double, longitude double, speed double, heading double").coalesce(1).write.parquet(str(tmp_path / "p"))
     ring = [(34.0, -78.5), (34.0, -78.0), (36.0, -78.0), (36.0, -78.5)]
     zones = spark.createDataFrame([("wall", ring)], "zone string, ring array<struct<lat:double,lon:double>>")
-    got = ray_grid.zone_eta_by_grid(spark.read.parquet(str(tmp_path / "p")), zones)
+    zones.write.parquet(str(tmp_path / "z"))
+    got = ray_grid.zone_eta_by_grid(*(spark.read.parquet(str(tmp_path / name)) for name in "pz"))
     tasks = got.select("id", F.spark_partition_id().alias("task")).collect()
     assert sorted(r.id for r in tasks) == list(range(100))
     assert len({r.task for r in tasks}) > 4
