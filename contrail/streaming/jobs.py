@@ -56,8 +56,8 @@ def stream_dedup(
     """
     hop = round(seconds * MICROS)
     rows = watermarked(df, ts, lateness).withColumn(AT, F.unix_micros(ts))
-    kept = rows.groupBy(*as_list(keys)).transformWithStateInPandas(
-        statefulProcessor=KeepAfter(hop, [AT, *tie]),
+    kept = rows.groupBy(*as_list(keys)).transformWithState(
+        statefulProcessor=KeepAfter(hop, rows.columns, [AT, *tie]),
         outputStructType=rows.schema,
         outputMode="Append",
         timeMode="EventTime",
@@ -121,9 +121,9 @@ def stream_states(
             )
         ],
     ])
-    found = rows.groupBy(key).transformWithStateInPandas(
+    found = rows.groupBy(key).transformWithState(
         statefulProcessor=TrackState(
-            back_n, round(remember_seconds * MICROS), carried, [AT, *tie], [f.name for f in out]
+            back_n, round(remember_seconds * MICROS), carried, rows.columns, [AT, *tie], [f.name for f in out]
         ),
         outputStructType=out,
         outputMode="Append",
@@ -235,8 +235,8 @@ def stream_live(
     kinds = T.StructType([rows.schema["icao"]])
     for name, kind in (("packets", "long"), ("callsign", "string"), ("first_us", "long"), ("last_us", "long"), ("kinds", "string")):
         kinds = kinds.add(name, kind)
-    status = rows.groupBy("icao").transformWithStateInPandas(
-        statefulProcessor=LiveStatus(round(remember_seconds * MICROS), [AT, *tie], _STATUS),
+    status = rows.groupBy("icao").transformWithState(
+        statefulProcessor=LiveStatus(round(remember_seconds * MICROS), rows.columns, [AT, *tie], _STATUS),
         outputStructType=kinds, outputMode="Update", timeMode="EventTime",
     )
     out = T.StructType().add("board", "integer").add("live", "long").add("place", "integer")

@@ -4,123 +4,136 @@ Rows of an aircraft are held until the watermark has passed them and are then ha
 time order, so the result does not depend on how they arrive, as long as they are not later than
 the watermark allows. What is held is bounded by that lateness and by the rate limit of the
 source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``); the rest of the state is a few values
-per key, dropped by a timer once the aircraft has been silent long enough.
+per key, dropped by a timer once the aircraft has been silent long enough. Spark sends what one
+aircraft puts out in one micro-batch as one Arrow batch, which the same rate limit bounds.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterator, Sequence
 from typing import Any
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MICROS = 1_000_000
-_STATE = T.StructType([T.StructField("state", T.StringType())])
-_PLACE = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("part", T.IntegerType())])
+_STATE = T.StructType([T.StructField("state", T.StringType()), T.StructField("rows", T.BinaryType())])
+_PLACE = T.StructType([T.StructField("chunk", T.LongType())])
 _HELD = T.StructType([T.StructField("rows", T.BinaryType())])
 
 
-def _packed(rows: pd.DataFrame) -> tuple[bytes]:
-    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return (sink.getvalue().to_pybytes(),)
-
-
-def _unpacked(rows: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(rows).read_all().to_pandas()
+def _missing(value: Any) -> bool:
+    return value is None or value != value
 
 
 class _Keyed(StatefulProcessor):
     """Rows held by event time, and one JSON value per key, forgotten ``keep_us`` after the last row.
 
-    Held rows lie in buckets of ``bucket_us``: a micro-batch adds a part to the buckets it has rows
-    for and reads only those that the watermark has reached, so each row is written and read once,
-    apart from those of the one bucket that the watermark has passed in part. An index of the open
-    buckets (parts and earliest row of each) is kept with the value; the lateness bounds it.
+    Up to ``tail_rows`` held rows lie in the value itself, so an aircraft with few rows costs one read
+    and one write a micro-batch. More are sorted by time and cut into chunks of ``chunk_rows``; only
+    chunks that the watermark has reached are read, and what it has not passed of them goes back. An
+    index of the chunks (number and earliest row of each) is kept with the value.
     """
 
     keep_us: int
+    columns: list[str]
     order: list[str]
-    bucket_us: int = 60 * MICROS
+    tail_rows: int = 500
+    chunk_rows: int = 2_000
+    most_rows: int = 20_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("state", _STATE)
         self.held = handle.getMapState("held", _PLACE, _HELD)
+        self.at = self.columns.index("at_us")
+        self.sorts = [self.columns.index(c) for c in self.order]
 
-    def fold(self, state: dict[str, Any] | None, rows: pd.DataFrame) -> tuple[dict[str, Any], pd.DataFrame]:
+    def fold(self, state: dict[str, Any] | None, rows: list[tuple]) -> tuple[dict[str, Any], list[Row]]:
         """New state (with ``last``, the time it counts from) and output for rows in order."""
         raise NotImplementedError
 
-    def ended(self, key: tuple, state: dict[str, Any]) -> pd.DataFrame | None:
+    def ended(self, key: tuple, state: dict[str, Any]) -> list[Row]:
         """Output when the state is forgotten."""
-        return None
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = self._read()
-        for part in rows:
-            for bucket, own in part.groupby(part["at_us"] // self.bucket_us):
-                self._hold(kept["open"], int(bucket), own)
-        return self._advance(key, kept, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        return self._advance(key, self._read(), timerValues)
-
-    def _read(self) -> dict[str, Any]:
-        return json.loads(self.value.get()[0]) if self.value.exists() else {"state": None, "open": {}, "timer": None}
-
-    def _hold(self, open_: dict[str, list[int]], bucket: int, rows: pd.DataFrame) -> None:
-        parts, first = open_.get(str(bucket), (0, None))
-        least = int(rows["at_us"].min())
-        self.held.updateValue((bucket, parts), _packed(rows))
-        open_[str(bucket)] = [parts + 1, least if first is None else min(first, least)]
-
-    def _take(self, bucket: int, parts: int) -> pd.DataFrame:
-        found = []
-        for part in range(parts):
-            found.append(_unpacked(self.held.getValue((bucket, part))[0]))
-            self.held.removeKey((bucket, part))
-        return pd.concat(found, ignore_index=True)
-
-    def _advance(self, key, kept: dict[str, Any], timerValues) -> Iterator[pd.DataFrame]:
+        return []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        kept, tail = self._read()
+        for row in rows:
+            if row[self.at] is not None:
+                tail.append(tuple(row))
+            if len(tail) >= self.most_rows:
+                self._hold(kept, tail)
+                tail = []
+        return self._advance(key, kept, tail, timerValues, None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._advance(key, *self._read(), timerValues, expiredTimerInfo.getExpiryTimeInMs())
+
+    def _read(self) -> tuple[dict[str, Any], list[tuple]]:
+        found = self.value.get()
+        if found is None:
+            return {"state": None, "open": {}, "next": 0, "timer": None}, []
+        return json.loads(found[0]), pickle.loads(found[1])
+
+    def _rank(self, row: tuple) -> tuple:
+        return tuple((row[i] is None, row[i]) for i in self.sorts)
+
+    def _hold(self, kept: dict[str, Any], rows: list[tuple]) -> None:
+        rows.sort(key=lambda r: r[self.at])
+        for i in range(0, len(rows), self.chunk_rows):
+            part = rows[i : i + self.chunk_rows]
+            self.held.updateValue((kept["next"],), (pickle.dumps(part),))
+            kept["open"][str(kept["next"])] = part[0][self.at]
+            kept["next"] += 1
+
+    def _due(self, kept: dict[str, Any], rows: list[tuple], passed: int) -> Iterator[list[tuple]]:
+        """Rows up to ``passed`` in order, as far as the chunks read so far are complete; the others are left in ``rows``."""
+        chunks = sorted((first, chunk) for chunk, first in kept["open"].items() if first <= passed)
+        for n in range(len(chunks) + 1):
+            before = min(chunks[n][0], passed + 1) if n < len(chunks) else passed + 1
+            now = [r for r in rows if r[self.at] < before]
+            if now:
+                rows[:] = [r for r in rows if r[self.at] >= before]
+                yield sorted(now, key=self._rank)
+            if n < len(chunks):
+                place = (int(chunks[n][1]),)
+                rows += pickle.loads(self.held.getValue(place)[0])
+                self.held.removeKey(place)
+                del kept["open"][chunks[n][1]]
+
+    def _advance(self, key, kept: dict[str, Any], rows: list[tuple], timerValues, fired: int | None) -> Iterator[Row]:
         """Handle what the watermark has passed, and set the timer for what comes next."""
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        state, open_, out = kept["state"], kept["open"], []
-        for bucket in sorted(int(b) for b, (_, first) in open_.items() if first <= passed):
-            rows = self._take(bucket, open_.pop(str(bucket))[0])
-            now = rows["at_us"] <= passed
-            if not now.all():
-                self._hold(open_, bucket, rows[~now])
-            state, found = self.fold(state, rows[now].sort_values(self.order, kind="stable"))
-            if len(found):
-                out.append(found)
-        due = [first for _, first in open_.values()]
+        state = kept["state"]
+        for now in self._due(kept, rows, passed):
+            state, found = self.fold(state, now)
+            yield from found
+        if len(rows) > self.tail_rows:
+            self._hold(kept, rows)
+            rows = []
+        due = [*kept["open"].values(), *(r[self.at] for r in rows)]
         if state is not None and state["last"] + self.keep_us < passed:
-            last = self.ended(key, state)
-            if last is not None:
-                out.append(last)
+            yield from self.ended(key, state)
             state = None
         elif state is not None:
             due.append(state["last"] + self.keep_us + 1000)
-        timer = -(-min(due) // 1000) if due else None
-        if timer != kept["timer"] or (timer is not None and timer * 1000 <= passed):
-            for old in list(self.handle.listTimers()):
+        timer, old = -(-min(due) // 1000) if due else None, kept["timer"]
+        if timer != old or old == fired:  # Spark itself removes a timer that has fired
+            if old is not None and old != fired:
                 self.handle.deleteTimer(old)
             if timer is not None:
                 self.handle.registerTimer(timer)
-        if state is None and not open_:
+        if state is None and not due:
             self.value.clear()
         else:
-            self.value.update((json.dumps({"state": state, "open": open_, "timer": timer}),))
-        yield from out
+            kept |= {"state": state, "timer": timer}
+            self.value.update((json.dumps(kept), pickle.dumps(rows)))
 
     def close(self) -> None:
         pass
@@ -129,44 +142,48 @@ class _Keyed(StatefulProcessor):
 class KeepAfter(_Keyed):
     """Rows more than ``hop_us`` after the last row that was kept."""
 
-    def __init__(self, hop_us: int, order: list[str]) -> None:
+    def __init__(self, hop_us: int, columns: Sequence[str], order: list[str]) -> None:
         self.keep_us = hop_us
         self.hop_us = hop_us
+        self.columns = list(columns)
         self.order = order
 
     def fold(self, state, rows):
-        us, last, keep = rows["at_us"].to_numpy(), state["last"] if state else None, []
-        at = 0 if last is None else int(np.searchsorted(us, last + self.hop_us, side="right"))
-        while at < len(us):  # from one kept row straight to the next
-            keep.append(at)
-            last = int(us[at])
-            at = int(np.searchsorted(us, last + self.hop_us, side="right"))
-        return {"last": last}, rows.iloc[keep]
+        last, keep, made = state["last"] if state else None, [], Row(*self.columns)
+        for row in rows:
+            if last is None or row[self.at] > last + self.hop_us:
+                keep.append(made(*row))
+                last = row[self.at]
+        return {"last": last}, keep
 
 
 class TrackState(_Keyed):
     """Current fix, the fix ``back_n`` distinct fixes ago and the last datums, per message."""
 
-    def __init__(self, back_n: int, remember_us: int, carried: list[str], order: list[str], out: list[str]) -> None:
+    def __init__(
+        self, back_n: int, remember_us: int, carried: list[str], columns: Sequence[str], order: list[str], out: list[str]
+    ) -> None:
         self.keep_us = remember_us
         self.back_n = back_n
         self.carried = carried
+        self.columns = list(columns)
         self.order = order
         self.out = out
 
     def fold(self, state, rows):
-        found: list[dict[str, Any]] = []
-        for row in rows.to_dict("records"):
+        found, result = [], Row(*self.out)
+        for values in rows:
+            row = dict(zip(self.columns, values))
             us = row["at_us"]
             if state is None or us - state["last"] > self.keep_us:
                 state = {"start": us, "fixes": [], "first": None, "seen": {}}
             state["last"] = us
             for c in self.carried:
-                if not pd.isna(row[c]):
+                if not _missing(row[c]):
                     state["seen"][c] = [us, row[c]]
             lat, lon = row["latitude"], row["longitude"]
             fixes = state["fixes"]
-            if not (pd.isna(lat) or pd.isna(lon)):
+            if not (_missing(lat) or _missing(lon)):
                 if not fixes or fixes[-1][1:] != [lat, lon]:
                     fixes.append([us, lat, lon])
                     state["first"] = state["first"] or fixes[-1]
@@ -180,24 +197,22 @@ class TrackState(_Keyed):
                 for c in self.carried:
                     at, value = state["seen"].get(c, (None, None))
                     made |= {f"{c}_us": at, f"{c}_value": value}
-                found.append(made)
-        frame = pd.DataFrame(found, columns=self.out)
-        for c in self.out:
-            if c.endswith("at_us"):
-                frame[c] = frame[c].astype("Int64")
-        return state, frame
+                found.append(result(*[made[c] for c in self.out]))
+        return state, found
 
 
 class LiveStatus(_Keyed):
     """What is known of an aircraft now, sent on whenever it changes; with no packets once it has been silent too long."""
 
-    def __init__(self, remember_us: int, order: list[str], out: list[str]) -> None:
+    def __init__(self, remember_us: int, columns: Sequence[str], order: list[str], out: list[str]) -> None:
         self.keep_us = remember_us
+        self.columns = list(columns)
         self.order = order
         self.out = out
 
     def fold(self, state, rows):
-        for us, kind, name in zip(rows["at_us"].tolist(), rows["type_cat"].tolist(), rows["callsign"].tolist()):
+        place = [self.columns.index(c) for c in ("at_us", "type_cat", "callsign", "icao")]
+        for us, kind, name, icao in ([row[i] for i in place] for row in rows):
             if state is None or us - state["last"] > self.keep_us:
                 state = {"first": us, "packets": 0, "callsign": None, "kinds": {}}
             state["last"] = us
@@ -205,17 +220,17 @@ class LiveStatus(_Keyed):
             state["kinds"][str(int(kind))] = state["kinds"].get(str(int(kind)), 0) + 1
             if isinstance(name, str):
                 state["callsign"] = name
-        return state, self._row(rows["icao"].iloc[0], state, state["packets"])
+        return state, [self._row(icao, state, state["packets"])]
 
     def ended(self, key, state):
-        return self._row(key[0], state, 0)
+        return [self._row(key[0], state, 0)]
 
-    def _row(self, icao, state: dict[str, Any], packets: int) -> pd.DataFrame:
+    def _row(self, icao, state: dict[str, Any], packets: int) -> Row:
         row = {
             "icao": icao, "packets": packets, "callsign": state["callsign"], "first_us": state["first"], "last_us": state["last"],
             "kinds": json.dumps(dict(sorted(state["kinds"].items()))),
         }
-        return pd.DataFrame([row], columns=self.out, dtype=object)
+        return Row(*self.out)(*[row[c] for c in self.out])
 
 
 class LiveBoard(StatefulProcessor):
