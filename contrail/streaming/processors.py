@@ -234,7 +234,10 @@ class LiveStatus(_Keyed):
 
 
 class LiveBoard(StatefulProcessor):
-    """The live aircraft of one share of all: their number and the ``k`` with most packets, sent on when they change."""
+    """The live aircraft of one share of all: their number and the ``k`` with most packets, sent on when they change.
+
+    What is known of a board is read at once, as its busiest are looked for among all of it anyway.
+    """
 
     def __init__(self, k: int, names: list[str], kinds: T.StructType) -> None:
         self.k = k
@@ -243,10 +246,8 @@ class LiveBoard(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.live = handle.getMapState("live", T.StructType([self.kinds["icao"]]), T.StructType([self.kinds[n] for n in self.names if n != "icao"]))
-        self.count = handle.getValueState("count", T.StructType([T.StructField("n", T.LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else 0
         others = [c for c in self.names if c != "icao"]
         latest: dict[Any, dict[str, Any]] = {}
         for part in rows:
@@ -255,18 +256,16 @@ class LiveBoard(StatefulProcessor):
                 rank = (row["last_us"], row["packets"] == 0)
                 if row["icao"] not in latest or rank >= (latest[row["icao"]]["last_us"], latest[row["icao"]]["packets"] == 0):
                     latest[row["icao"]] = row
+        live = {icao[0]: tuple(value) for icao, value in self.live.iterator()}
         for icao, row in latest.items():
-            known = self.live.containsKey((icao,))
             if row["packets"]:
-                self.live.updateValue((icao,), tuple(row[c] for c in others))
-                n += not known
-            elif known:
+                live[icao] = tuple(row[c] for c in others)
+                self.live.updateValue((icao,), live[icao])
+            elif live.pop(icao, None) is not None:
                 self.live.removeKey((icao,))
-                n -= 1
-        self.count.update((int(n),))
         packets, first = others.index("packets"), others.index("first_us")
-        best = heapq.nsmallest(self.k, self.live.iterator(), key=lambda e: (-e[1][packets], e[1][first], e[0][0]))
-        found = [dict(zip(others, value), icao=icao[0], board=key[0], live=n, place=i) for i, (icao, value) in enumerate(best)]
+        best = heapq.nsmallest(self.k, live.items(), key=lambda e: (-e[1][packets], e[1][first], e[0]))
+        found = [dict(zip(others, value), icao=icao, board=key[0], live=len(live), place=i) for i, (icao, value) in enumerate(best)]
         yield pd.DataFrame(found or [{"board": key[0], "live": 0, "place": 0}], columns=["board", "live", "place", *self.names], dtype=object)
 
     def close(self) -> None:
