@@ -16,10 +16,12 @@ from contrail.operators.slices import (
     across,
     Width,
     as_list,
+    earlier,
     slice_id,
     sliced,
     widest,
     with_row_number,
+    within,
 )
 from contrail.operators.track import asof_nearest
 from contrail.operators.zones import rule_states
@@ -149,17 +151,35 @@ def decimate(
     return rows.filter((F.col("_nth") - 1) % n == 0).select(*series.columns)
 
 
-def _with_bucket(rows: DataFrame, keys: list[str], seconds: float, name: str) -> DataFrame:
-    """Number of the ``seconds``-long bucket counted from the first row of the series."""
+def _numbered_in_buckets(rows: DataFrame, keys: list[str], spans: dict[str, float], tie: Sequence[str] = ()) -> DataFrame:
+    """Add for every name in ``spans`` the 1-based number of the row within its bucket of so many seconds.
+
+    Buckets count from the first row of the series. Of the buckets in a slice only the first can
+    have rows in earlier slices, so one small row per slice says what enters it: rows keep their
+    place, whatever the number of spans.
+    """
     starts = rows.groupBy(*keys, SLICE).agg(F.min(US).alias("_first"))
     everything = across(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = starts.select(*keys, SLICE, F.min("_first").over(everything).alias("_t0"))
-    width = round(seconds * MICROS)
-    return (
-        rows.join(starts, [*keys, SLICE], "left")
-        .withColumn(name, F.floor((F.col(US) - F.col("_t0")) / width))
-        .drop("_t0")
-    )
+    rows = rows.join(starts, [*keys, SLICE], "left")
+    for name, seconds in spans.items():
+        rows = rows.withColumn(f"_in{name}", F.floor((F.col(US) - F.col("_t0")) / round(seconds * MICROS)))
+    for name in spans:
+        bucket = f"_in{name}"
+        sizes = rows.groupBy(*keys, SLICE, bucket).agg(F.count(F.lit(1)).alias("_rows"))
+        offset = F.coalesce(F.sum("_rows").over(earlier([*keys, bucket])), F.lit(0))
+        entering = sizes.select(*keys, SLICE, bucket, offset.alias("_before"))
+        entering = entering.groupBy(*keys, SLICE).agg(
+            F.min(bucket).alias("_open"), F.min_by("_before", bucket).alias("_before")
+        )
+        first = F.col(bucket) == F.col("_open")  # unknown for a row without a key or time, which gets no number
+        rows = (
+            rows.withColumn("_local", F.row_number().over(within([*keys, bucket], tie)))
+            .join(entering, [*keys, SLICE], "left")
+            .withColumn(name, F.col("_local") + F.when(first, F.col("_before")).when(~first, 0))
+            .drop("_local", "_open", "_before")
+        )
+    return rows.drop("_t0", *[f"_in{name}" for name in spans])
 
 
 def sdecimate(
@@ -167,9 +187,7 @@ def sdecimate(
     tie: Sequence[str] = (), slice_seconds: Width = schema.SLICE_SECONDS,
 ) -> DataFrame:
     """At most ``count`` rows per ``seconds``-long bucket of each series."""
-    keys = as_list(keys)
-    rows = _with_bucket(sliced(series, ts, slice_seconds), keys, seconds, "_bucket")
-    rows = with_row_number(rows, [*keys, "_bucket"], tie, "_nth")
+    rows = _numbered_in_buckets(sliced(series, ts, slice_seconds), as_list(keys), {"_nth": seconds}, tie)
     return rows.filter(F.col("_nth") <= count).select(*series.columns)
 
 
@@ -186,20 +204,34 @@ def thin(
     """Samples to archive: each series once per qualified (zone, level), by its save rule.
 
     ``bounds`` gives each flight's ``flight_start`` and ``flight_end``; the qualified levels
-    are handed to every slice of their flight, so a long flight is not joined in one task.
+    are handed to every slice of their flight, so a long flight is not joined in one task. That
+    comes first: samples of flights that did not qualify are neither numbered nor shuffled again.
     """
     keys = as_list(keys)
     one = [*keys, "category", "type"]
     methods = {
         m for v in rules.levels for part in (v.telemetry, v.calculated) for m in part.values()
     }
-    rows = sliced(series, ts, slice_seconds)
+
+    def number(c: str) -> Column:
+        return slice_id(F.unix_micros(c), slice_seconds)
+
+    # A calculated sample can carry the time of an older speed, never one before the flight.
+    spread = (
+        qualified.groupBy(*keys)
+        .agg(F.collect_set("level_no").alias("_levels"))
+        .join(bounds.select(*keys, "flight_end"), keys)
+        .withColumn(
+            SLICE, F.explode(F.sequence(number("flight_start"), number("flight_end")))
+        )
+        .drop("flight_end")
+    )
+    rows = sliced(series, ts, slice_seconds).join(spread, [*keys, SLICE])
     if any(m.kind == "decimate" for m in methods):
         rows = with_row_number(rows, one, tie, "_nth")
     spans = sorted({m.seconds for m in methods if m.kind == "sdecimate"})
-    for i, seconds in enumerate(spans):
-        rows = _with_bucket(rows, one, seconds, f"_bucket{i}")
-        rows = with_row_number(rows, [*one, f"_bucket{i}"], tie, f"_nth{i}")
+    if spans:
+        rows = _numbered_in_buckets(rows, one, {f"_nth{i}": seconds for i, seconds in enumerate(spans)}, tie)
 
     def keeps(m: SaveMethod) -> Column:
         if m.kind == "decimate":
@@ -227,20 +259,7 @@ def thin(
             for i, v in enumerate(rules.levels)
         ])
     )
-    def number(c: str) -> Column:
-        return slice_id(F.unix_micros(c), slice_seconds)
-
-    # A calculated sample can carry the time of an older speed, never one before the flight.
-    spread = (
-        qualified.groupBy(*keys)
-        .agg(F.collect_set("level_no").alias("_levels"))
-        .join(bounds.select(*keys, "flight_end"), keys)
-        .withColumn(
-            SLICE, F.explode(F.sequence(number("flight_start"), number("flight_end")))
-        )
-        .drop("flight_end")
-    )
-    return rows.join(spread, [*keys, SLICE]).select(*series.columns, F.inline(saved))
+    return rows.select(*series.columns, F.inline(saved))
 
 
 def flight_info(
