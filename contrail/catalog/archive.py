@@ -15,6 +15,7 @@ from contrail.catalog.base import (
     MSG,
     SIX_HOURS,
     events,
+    flight_width,
     messages,
     table,
     us,
@@ -111,13 +112,13 @@ _SPLIT = """CAST(split_part(icao, ':', 1) AS BIGINT) AS icao,
       CAST(split_part(icao, ':', 2) AS BIGINT) AS start_us"""
 
 
-def flight_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track.flights(messages(spark, sf_dir), "icao", "ts", DAY, width(spark, sf_dir))
+def flight_messages(spark: SparkSession, sf_dir: str, slice_seconds: float | None = None) -> DataFrame:
+    return track.flights(messages(spark, sf_dir), "icao", "ts", DAY, slice_seconds or width(spark, sf_dir))
 
 
-def _series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _series(spark: SparkSession, sf_dir: str, w: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages, received series and calculated series of all flights."""
-    m, w = flight_messages(spark, sf_dir), width(spark, sf_dir)
+    m = flight_messages(spark, sf_dir, w)
     keys = ["icao", "flight_start"]
     m = materialize(m, "messages")
     states = materialize(track.motion(m, 10, SIX_HOURS, keys, "ts", ["event_id"], w), "states")
@@ -130,10 +131,12 @@ def _bounds(m: DataFrame) -> DataFrame:
 
 
 def _states(spark: SparkSession, sf_dir: str, make=ql.second_states, step: int = HOUR) -> DataFrame:
-    m, received, calculated = _series(spark, sf_dir)
+    # Rows without an aircraft or time are in no flight's state; stretches may go over slices of any width.
+    w = flight_width(spark, sf_dir) if make is state_intervals else width(spark, sf_dir)
+    m, received, calculated = _series(spark, sf_dir, w)
     keys = ["icao", "flight_start"]
     wide = materialize(ql.wide_series(received, calculated, keys, "ts", ["event_id"]), "series")
-    return make(_bounds(m), wide, keys, "ts", ["event_id"], step, width(spark, sf_dir))
+    return make(_bounds(m), wide, keys, "ts", ["event_id"], step, w)
 
 
 @query(with_(*FLIGHT_MSG, select=f"""

@@ -36,6 +36,23 @@ def width(spark: SparkSession, sf_dir: str) -> float:
     return _width(spark.sparkContext.applicationId, sf_dir)
 
 
+@functools.cache
+def _flight_width(application: str, sf_dir: str) -> float:
+    spark = SparkSession.getActiveSession()
+    longer = (400.0 * DAY, 100.0 * DAY, 25.0 * DAY, 5.0 * DAY, float(DAY))
+    return fit_slice_seconds(events(spark, sf_dir), "user_id", "ts", 50_000, longer)
+
+
+def flight_width(spark: SparkSession, sf_dir: str) -> float:
+    """Slice width for whole flights: over a day where few messages of an aircraft fall on a day.
+
+    A slice of one or two rows costs as much as its rows; up to a tenth of what ``width`` allows
+    goes into one of these.
+    """
+    wide = _flight_width(spark.sparkContext.applicationId, sf_dir)
+    return wide if wide > DAY else width(spark, sf_dir)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as one decoded message of the aircraft ``user_id``.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contrail import schema
-from contrail.operators.slices import MICROS, SLICE, US, Width, across, as_list, earlier, slice_id, so_far, with_previous, within
+from contrail.operators.slices import MICROS, SLICE, US, Width, across, as_list, earlier, slice_id, so_far, within
 
 STATE = ("latitude", "longitude", "altitude", "vertical_speed", "speed", "heading")
 TICKS = "ticks"
@@ -43,24 +43,35 @@ def state_intervals(
         for i, c in enumerate(columns)
     ]
     at = F.struct(*tie) if tie else F.lit(0)
-    samples = series.select(*keys, F.unix_micros(ts).alias(US), at.alias("_tie"), F.inline(F.array_compact(F.array(*entry))))
-    samples = samples.groupBy(*keys, "_col", US).agg(F.max_by("_value", "_tie").alias("_value"))
-    samples = samples.withColumn(SLICE, slice_id(US, slice_seconds))
-    samples = with_previous(samples, [*keys, "_col"], [US], (), "_prev")
+    rows = series.withColumn(US, F.unix_micros(ts)).withColumn(SLICE, slice_id(US, slice_seconds))
 
-    # Bounds are handed to every slice of their flight, so a long flight is not joined in one task.
+    # Per slice: the bounds of its flight and the time of the last sample of each column before it.
     ticks = {"_lo": F.floor(F.unix_micros("flight_start") / step) + 1, "_hi": F.floor(F.unix_micros("flight_end") / step)}
     spread = bounds.withColumns(ticks).filter("_lo <= _hi").select(
         *keys, "_lo", "_hi", F.unix_micros("flight_start").alias("_from"), F.unix_micros("flight_end").alias("_to")
     )
-    slices = F.explode(F.sequence(slice_id("_from", slice_seconds), slice_id("_to", slice_seconds)))
-    spread = spread.withColumn(SLICE, slices).drop("_from", "_to")
-    from_ = _up(F.col("_prev")[US] + F.col(US), 2 * step)
-    placed = samples.join(spread, [*keys, SLICE]).withColumn("_tick", F.greatest(F.coalesce(from_, "_lo"), "_lo"))
-    changes = placed.filter("_tick <= _hi").groupBy(*keys, "_hi", "_tick").agg(
+    ends = rows.groupBy(*keys, SLICE).agg(*[F.max(F.when(F.col(c).isNotNull(), F.col(US))).alias(f"_end{i}") for i, c in enumerate(columns)])
+    entering = ends.select(
+        *keys, SLICE, F.array(*[F.last(f"_end{i}", ignorenulls=True).over(earlier(keys)) for i in range(len(columns))]).alias("_entering")
+    )
+    entering = entering.join(spread, keys).filter(
+        F.col(SLICE).between(slice_id("_from", slice_seconds), slice_id("_to", slice_seconds))
+    ).drop("_from", "_to")
+
+    # All steps on samples go by slice, whatever the column: they are shuffled once.
+    samples = rows.select(*keys, SLICE, US, at.alias("_tie"), F.inline(F.array_compact(F.array(*entry)))).repartition(*keys, SLICE)
+    one = [*keys, "_col"]
+    hidden = F.lead(US).over(within(one, ["_tie"])) == F.col(US)  # by a later one of the same time
+    samples = samples.withColumn("_hidden", hidden).filter("_hidden IS NOT TRUE").drop("_hidden", "_tie")
+    samples = samples.withColumn("_prev", F.lag(US).over(within(one)))
+    placed = samples.join(entering, [*keys, SLICE])
+    from_ = _up(F.coalesce("_prev", F.get("_entering", F.col("_col"))) + F.col(US), 2 * step)
+    placed = placed.withColumn("_tick", F.greatest(F.coalesce(from_, "_lo"), "_lo")).filter("_tick <= _hi")
+    placed = placed.select(*keys, slice_id(F.col("_tick") * step, slice_seconds).alias(SLICE), "_hi", "_tick", "_col", US, "_value")
+    changes = placed.repartition(*keys, SLICE).groupBy(*keys, SLICE, "_hi", "_tick").agg(
         *[F.max_by("_value", F.when(F.col("_col") == i, F.col(US))).alias(c) for i, c in enumerate(columns)]
     )
-    changes = changes.withColumn(US, F.col("_tick") * step).withColumn(SLICE, slice_id(US, slice_seconds))
+    changes = changes.withColumn(US, F.col("_tick") * step)
 
     # Into every slice come the values before it, and out of it the tick that ends its last stretch.
     offers = changes.groupBy(*keys, SLICE).agg(

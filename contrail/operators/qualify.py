@@ -27,6 +27,7 @@ from contrail.operators.track import asof_nearest
 from contrail.operators.zones import rule_states
 
 FLIGHT = ("icao", "flight_start")
+MOST_TICKS = 86_400  # of one piece of a grid
 
 
 def second_grid(
@@ -42,7 +43,7 @@ def second_grid(
     makes its own seconds.
     """
     step = step_seconds * MICROS
-    piece = max(1, round(widest(slice_seconds) / step_seconds))
+    piece = max(1, min(round(widest(slice_seconds) / step_seconds), MOST_TICKS))
     keep = bounds.columns
     ticks = bounds.withColumns({
         "_lo": F.floor(F.unix_micros(start) / step) + 1,
@@ -112,12 +113,13 @@ def qualify(
 ) -> DataFrame:
     """Levels a flight met for at least their number of seconds.
 
-    The time to enter is computed once per zone, and all levels are counted in one
-    aggregation that is combined map-side. ``weight`` names the number of seconds that a state
+    The time to enter is computed once per zone that has levels, the distance only to zones whose
+    levels ask for it, and all levels are counted in one aggregation that is combined map-side. ``weight`` names the number of seconds that a state
     stands for, if it is not one.
     """
     keys = as_list(keys)
-    judged = rule_states(states, rules, max_time_s)
+    rules = rules.with_levels()
+    judged = rule_states(states, rules, max_time_s, rules.distance_zones)
     stands = F.col(weight) if weight else F.lit(1)
     counts = [
         F.sum(

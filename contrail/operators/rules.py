@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,11 +69,23 @@ class Rules:
 
     @property
     def uses_distance(self) -> bool:
-        return any(
-            "distance" in self.components[name]
+        return bool(self.distance_zones)
+
+    @property
+    def distance_zones(self) -> list[str]:
+        """Zones with a level that asks for the distance to them."""
+        found = (
+            level.zone
             for level in self.levels
             for name in component_names(level.requirements)
+            if "distance" in self.components[name]
         )
+        return list(dict.fromkeys(found))
+
+    def with_levels(self) -> Rules:
+        """The rules without zones that have no level."""
+        wanted = {level.zone for level in self.levels}
+        return replace(self, zones=tuple(z for z in self.zones if z.name in wanted))
 
 
 def tokens(requirements: str) -> list[str]:

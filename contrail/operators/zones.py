@@ -40,9 +40,12 @@ def zone_eta(
     lon: str = "longitude",
     speed: str = "speed",
     heading: str = "heading",
+    distance_to: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every position with every zone: ``inside``, ``eta`` in seconds and ``distance_km``.
 
+    ``distance_to`` names the zones whose distance is wanted, if not all; others get NULL.
+
     The zones come from the configuration and travel in the plan as a constant, so nothing is
     shuffled or joined. The end of the ray is computed once per position. Bounding boxes are
     tested first; only rows that pass look at edges.
@@ -83,19 +86,22 @@ def zone_eta(
     cols = [z["zone"].alias("zone"), F.col("inside"), eta.alias("eta")]
     if with_distance:
         near = geo.nearest_on_ring(z["edges"], here_lat, here_lon)
-        d = computed(d, {"_near": F.when(~F.col("inside"), near)})
+        wanted = F.lit(True) if distance_to is None else z["zone"].isin(*distance_to)
+        d = computed(d, {"_near": F.when(~F.col("inside") & wanted, near)})
         d = geo.with_distance(
             d, here_lat, here_lon, *geo.nearest_on_edge(F.col("_near"), here_lat, here_lon), "_gap"
         )
-        cols.append(F.when(F.col("inside"), F.lit(0.0)).otherwise(F.col("_gap")).alias("distance_km"))
+        gap = F.when(F.col("inside"), F.lit(0.0)).otherwise(F.col("_gap"))
+        cols.append(F.when(wanted, gap).alias("distance_km"))
     return d.select(*positions.columns, *cols)
 
 
 def rule_states(
-    states: DataFrame, rules: Rules, max_time_s: float = schema.MAX_TIME_SECONDS
+    states: DataFrame, rules: Rules, max_time_s: float = schema.MAX_TIME_SECONDS,
+    distance_to: Sequence[str] | None = None,
 ) -> DataFrame:
     """``zone_eta`` with what the rules need; datums that were never seen become NULL."""
-    d = zone_eta(states, rules.zones, max_time_s, rules.uses_distance)
+    d = zone_eta(states, rules.zones, max_time_s, rules.uses_distance, distance_to=distance_to)
     missing = [
         c for c in (*schema.RULE_COLUMN.values(), "callsign") if c not in d.columns
     ]

@@ -291,3 +291,24 @@ def test_stretches_say_what_every_second_says(spark, width):
     rows = sorted(map(tuple, each.select(*names).collect()), key=repr)
     assert rows == sorted(map(tuple, want.collect()), key=repr) and {r[0] for r in rows} == {"A", "B"}
     assert got.count() < len(rows) / 2
+
+
+def test_stretches_shuffle_all_columns_of_a_slice_together(spark):
+    series = frame(spark, [("A", 1.0, float(t), t, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0) for t in range(1, 9)], "icao string, start double, ts double, n int, latitude double, longitude double, altitude double, vertical_speed double, speed double, heading double")
+    series = series.withColumn("flight_start", F.timestamp_micros(F.lit(250_000))).drop("start")
+    bounds = series.groupBy("icao", "flight_start").agg(F.max("ts").alias("flight_end"))
+    found = state_intervals(bounds, series, ["icao", "flight_start"], "ts", ["n"], 1, 3.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "_col" in x]
+
+
+def test_flights_of_few_messages_have_long_slices(spark, tmp_path):
+    from contrail.catalog.base import DAY, flight_width, width
+
+    at = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id % 30 as int), 0, 0, 0)"
+    for name, busy in (("sparse", 40), ("busy", 1)):
+        rows = spark.range(2_000 if name == "sparse" else 120_000).selectExpr("id AS event_id", f"{at} AS ts", f"id % {busy} AS user_id")
+        rows.write.parquet(str(tmp_path / name / "events.parquet"))
+    assert flight_width(spark, str(tmp_path / "sparse")) == 400 * DAY
+    assert DAY < flight_width(spark, str(tmp_path / "busy")) < 25 * DAY
+    assert width(spark, str(tmp_path / "sparse")) == DAY

@@ -174,3 +174,26 @@ def test_positions_of_one_file_are_dealt_into_tasks(spark, tmp_path, monkeypatch
     tasks = got.select("id", F.spark_partition_id().alias("task")).collect()
     assert sorted(r.id for r in tasks) == list(range(100))
     assert len({r.task for r in tasks}) > 4
+
+
+def test_only_wanted_distances(spark):
+    rows = states(spark, (34.5, -78.5, 360, 180), (35.9, -78.6, 360, 180))
+    d = {(r.i, r.zone): r for r in zone_eta(rows, [SQUARE, POINT], with_distance=True, distance_to=["point"]).collect()}
+    every = {(r.i, r.zone): r for r in zone_eta(rows, [SQUARE, POINT], with_distance=True).collect()}
+    for k, r in d.items():
+        assert (r.inside, r.eta) == (every[k].inside, every[k].eta)
+        assert r.distance_km == (every[k].distance_km if k[1] == "point" else None)
+    assert len(d) == 4
+
+
+def test_zones_without_levels_are_not_judged():
+    level = {"category": "c", "requirements": "near", "seconds": 1}
+    other = {"category": "c", "requirements": "soon", "seconds": 1}
+    ring = [[35.0, -79.0], [35.0, -78.0], [36.0, -78.0]]
+    rules = ru.load_rules({
+        "components": {"near": {"distance": {"maximum": 1}}, "soon": {"eta": {"maximum": 9}}},
+        "categories": {"c": {"alert_method": "print", "save": SAVE}},
+        "zones": {n: {"coordinates": ring, "levels": x} for n, x in (("a", {"l": level}), ("b", {"l": other}), ("c", {}))},
+    })
+    assert [z.name for z in rules.with_levels().zones] == ["a", "b"]
+    assert rules.with_levels().levels == rules.levels and rules.distance_zones == ["a"]
