@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from helpers import frame
@@ -293,13 +294,16 @@ def test_stretches_say_what_every_second_says(spark, width):
     assert got.count() < len(rows) / 2
 
 
-def test_stretches_shuffle_all_columns_of_a_slice_together(spark):
-    series = frame(spark, [("A", 1.0, float(t), t, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0) for t in range(1, 9)], "icao string, start double, ts double, n int, latitude double, longitude double, altitude double, vertical_speed double, speed double, heading double")
-    series = series.withColumn("flight_start", F.timestamp_micros(F.lit(250_000))).drop("start")
+def test_stretches_shuffle_all_columns_of_a_slice_together(spark, tmp_path):
+    rows = [("A", k // 5, k, k, *[float(k)] * 6) for k in range(9)]
+    names = "icao string, start long, at long, n int, latitude double, longitude double, altitude double, vertical_speed double, speed double, heading double"
+    made = spark.createDataFrame(rows, names).withColumns({"flight_start": F.timestamp_seconds("start"), "ts": F.timestamp_seconds("at")})
+    made.write.parquet(str(tmp_path / "series"))
+    series = spark.read.parquet(str(tmp_path / "series"))
     bounds = series.groupBy("icao", "flight_start").agg(F.max("ts").alias("flight_end"))
     found = state_intervals(bounds, series, ["icao", "flight_start"], "ts", ["n"], 1, 3.0)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert not [x for x in plan.splitlines() if "Exchange" in x and "_col" in x]
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert dealt and not [x for x in dealt if "_col" in x or "_tick" in x]
 
 
 def test_flights_of_few_messages_have_long_slices(spark, tmp_path):
