@@ -11,6 +11,7 @@ from contrail.llm.set_join import similar_documents
 from contrail.llm.simhash import fingerprint, near_duplicates, shingle_hashes
 from contrail.llm.suffix_dedup import common_prefix, dedup_substrings, multikey_order
 from contrail.llm.trie_join import traverse
+from contrail.sources.scratch import materialize
 
 DOCS = "doc_id long, text string"
 
@@ -254,3 +255,17 @@ def test_components(spark):
     got = {r.a: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {k: got.get(k, k) for k in want} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_few_links_need_no_rounds(spark, monkeypatch):
+    from contrail.llm import components as module
+
+    n, written = 300, []
+    chain = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(-5, -4), (-4, -5), (7, 7)], "a long, b long")
+    monkeypatch.setattr(module, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    found = {r.a: r.root for r in components(chain).collect()}
+    assert found == {**{k: 0 for k in range(1, n + 1)}, -4: -5}
+    assert len(written) <= 2
+    monkeypatch.setattr(module, "PART", 50)  # several parts
+    written.clear()
+    assert {r.a: r.root for r in components(chain).collect()} == found and len(written) > 2
