@@ -7,6 +7,8 @@ geodesics, 2013) for the direct problem.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,7 +150,8 @@ def with_destination(
 
 # Rings are arrays of edges struct(lat1, lon1, lat2, lon2, ey, ex, inv): the two ends, their
 # difference, and one over the squared length (0 for an edge without length). Functions over
-# arrays are not compiled, so the lambdas below are kept short and callers test boxes first.
+# arrays are not compiled, so the lambdas below are kept short and callers test boxes first; the
+# edges of a few known rings can be constants instead.
 EDGE = "struct<lat1:double,lon1:double,lat2:double,lon2:double,ey:double,ex:double,inv:double>"
 
 
@@ -177,24 +180,46 @@ def edges_of(ring: Column) -> Column:
     return F.filter(F.zip_with(ring, closed, join), lambda e: e["inv"] > 0)
 
 
-def inside_ring(edges: Column, lat: Column, lon: Column) -> Column:
-    """Strictly inside the ring: odd number of crossings and not on an edge."""
+def constants(edges: list[dict[str, float]]) -> list[dict[str, Column]]:
+    """Edges (see ``edge``) as constants: tests of these are compiled, a copy of the code for each edge."""
+    return [{name: F.lit(value) for name, value in e.items()} for e in edges]
 
-    def side(e: Column) -> Column:
-        return (lat - e["lat1"]) * e["ex"] - (lon - e["lon1"]) * e["ey"]
 
-    def crosses(e: Column) -> Column:
-        return ((e["lat1"] > lat) != (e["lat2"] > lat)) & ((side(e) > 0) == (e["ey"] > 0))
+Edge = Column | dict[str, Column]
+
+
+def side(e: Edge, lat: Column, lon: Column) -> Column:
+    return (lat - e["lat1"]) * e["ex"] - (lon - e["lon1"]) * e["ey"]
+
+
+def crosses(e: Edge, lat: Column, lon: Column) -> Column:
+    return ((e["lat1"] > lat) != (e["lat2"] > lat)) & ((side(e, lat, lon) > 0) == (e["ey"] > 0))
+
+
+def on_ring(edges: Column, lat: Column, lon: Column) -> Column:
+    """Whether the position lies on an edge of the ring."""
+    return F.exists(
+        edges,
+        lambda e: (side(e, lat, lon) == 0)
+        & lat.between(F.least(e["lat1"], e["lat2"]), F.greatest(e["lat1"], e["lat2"]))
+        & lon.between(F.least(e["lon1"], e["lon2"]), F.greatest(e["lon1"], e["lon2"])),
+    )
 
-    def touches(e: Column) -> Column:
-        return (
-            (side(e) == 0)
-            & lat.between(F.least(e["lat1"], e["lat2"]), F.greatest(e["lat1"], e["lat2"]))
-            & lon.between(F.least(e["lon1"], e["lon2"]), F.greatest(e["lon1"], e["lon2"]))
-        )
 
-    odd = F.size(F.filter(edges, crosses)) % 2 == 1
-    return odd & ~F.exists(edges, touches)
+def odd_crossings(edges: list[dict[str, Column]], lat: Column, lon: Column) -> Column:
+    """Whether a line from the position to the east meets an odd number of edges."""
+    return functools.reduce(lambda a, b: a != b, [crosses(e, lat, lon) for e in edges])
+
+
+def in_line(edges: list[dict[str, Column]], lat: Column, lon: Column) -> Column:
+    """Whether the position lies on the line through any edge; ``on_ring`` needs asking only then."""
+    return functools.reduce(lambda a, b: a | b, [side(e, lat, lon) == 0 for e in edges])
+
+
+def inside_ring(edges: Column, lat: Column, lon: Column) -> Column:
+    """Strictly inside the ring: odd number of crossings and not on an edge."""
+    odd = F.size(F.filter(edges, lambda e: crosses(e, lat, lon))) % 2 == 1
+    return odd & ~on_ring(edges, lat, lon)
 
 
 def segment_meets_box(
@@ -215,7 +240,7 @@ def segment_meets_box(
     return enters <= leaves + 1e-9
 
 
-def crossing(e: Column, lat: Column, lon: Column, dy: Column, dx: Column) -> Column:
+def crossing(e: Edge, lat: Column, lon: Column, dy: Column, dx: Column) -> Column:
     """Fraction of the straight lat/lon segment at which it meets an edge, if it does."""
     det = dy * e["ex"] - dx * e["ey"]
     gap_y, gap_x = e["lat1"] - lat, e["lon1"] - lon
@@ -229,16 +254,17 @@ def first_crossing(edges: Column, lat: Column, lon: Column, dy: Column, dx: Colu
     return F.array_min(F.transform(edges, lambda e: crossing(e, lat, lon, dy, dx)))
 
 
-def nearest_on_ring(edges: Column, lat: Column, lon: Column) -> Column:
-    """The edge that comes closest to the position in the lat/lon plane."""
+def gap(e: Edge, lat: Column, lon: Column) -> Column:
+    """Squared distance of the position to an edge in the lat/lon plane."""
+    gy, gx = lat - e["lat1"], lon - e["lon1"]
+    dot = gy * e["ey"] + gx * e["ex"]
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot * e["inv"]))
+    return _square(gy - s * e["ey"]) + _square(gx - s * e["ex"])
 
-    def gap(e: Column) -> Column:
-        gy, gx = lat - e["lat1"], lon - e["lon1"]
-        dot = gy * e["ey"] + gx * e["ex"]
-        s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot * e["inv"]))
-        return _square(gy - s * e["ey"]) + _square(gx - s * e["ex"])
 
-    gaps = F.transform(edges, gap)
+def nearest_on_ring(edges: Column, lat: Column, lon: Column) -> Column:
+    """The edge that comes closest to the position in the lat/lon plane."""
+    gaps = F.transform(edges, lambda e: gap(e, lat, lon))
     return F.element_at(edges, F.array_position(gaps, F.array_min(gaps)).cast("int"))
 
 

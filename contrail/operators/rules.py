@@ -286,18 +286,22 @@ def component_columns(rules: Rules, prefix: str = "") -> dict[str, Column]:
     return {f"{prefix}{n}": F.expr(component_sql(c)) for n, c in rules.components.items()}
 
 
+def zone_edges(z: Zone) -> list[dict[str, float]]:
+    """Edges of the zone's ring without those of zero length."""
+    ends = zip(z.ring, z.ring[1:] + z.ring[:1], strict=True)
+    # A ring that is a single point keeps one edge, to measure distances from.
+    return [geo.edge(*a, *b) for a, b in ends if a != b] or [geo.edge(*z.ring[0], *z.ring[0])]
+
+
 def zone_literal(zones: tuple[Zone, ...]) -> Column:
     """Zones as one constant array: name, bounding box and edges without zero length."""
     rows = []
     for z in zones:
-        ends = zip(z.ring, z.ring[1:] + z.ring[:1], strict=True)
-        # A ring that is a single point keeps one edge, to measure distances from.
-        edges = [(a, b) for a, b in ends if a != b] or [(z.ring[0], z.ring[0])]
         lats, lons = zip(*z.ring, strict=True)
         rows.append({
             "zone": z.name,
             "south": min(lats), "north": max(lats), "west": min(lons), "east": max(lons),
-            "edges": [geo.edge(*a, *b) for a, b in edges],
+            "edges": zone_edges(z),
         })
     kind = (
         "array<struct<zone:string,south:double,north:double,west:double,east:double,"

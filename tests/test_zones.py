@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrail.functions import geo
-from contrail.operators import ray_grid
+from contrail.operators import ray_grid, zones
 from contrail.operators import rules as ru
 from contrail.operators.alerts import alerts, to_kafka_rows
 from contrail.operators.ray_grid import zone_eta_by_grid
@@ -186,6 +186,32 @@ def test_only_wanted_distances(spark):
     assert len(d) == 4
 
 
+def test_edges_of_few_zones_are_compiled(spark, monkeypatch, capsys):
+    rnd = random.Random(5)
+    lat, lon, speed = (34.0, 34.9, 35.0, 35.2, 35.5, 36.0, 36.4), (-79.4, -79.0, -78.5, -78.2, -78.0, -77.6), (0.0, 5.0, 400.0)
+    rows = [
+        (a + rnd.choice((0.0, rnd.uniform(-0.3, 0.3))), b + rnd.choice((0.0, rnd.uniform(-0.3, 0.3))), rnd.choice(speed), rnd.choice((0.0, 90.0, 180.0, 270.0, rnd.uniform(0, 360))))
+        for a in lat for b in lon for _ in range(4)
+    ]
+    rows += [(None, -78.0, 100, 10), (35.5, None, 100, 10), (34.5, -78.5, None, 0), (34.5, -78.5, 360, None)]
+    again = ru.Zone("square", ((36.0, -77.9), (36.5, -77.5), (36.0, -77.5)))  # a name may come twice
+
+    def results(**options):
+        frame = zone_eta(states(spark, *rows), [SQUARE, NOTCH, POINT, again], **options)
+        frame.explain()
+        return sorted(map(repr, frame.collect())), capsys.readouterr().out
+
+    for options in ({}, {"with_distance": True}, {"with_distance": True, "distance_to": ["notch", "point"]}, {"with_distance": True, "distance_to": []}):
+        with monkeypatch.context() as m:
+            m.setattr(zones, "COMPILED_EDGES", 0)
+            want, plan = results(**options)
+            assert "transform(" in plan
+        got, plan = results(**options)
+        assert got == want
+        assert "transform(" not in plan
+    assert zone_eta(states(spark, *rows), []).count() == 0
+
+
 def test_zones_without_levels_are_not_judged():
     level = {"category": "c", "requirements": "near", "seconds": 1}
     other = {"category": "c", "requirements": "soon", "seconds": 1}
