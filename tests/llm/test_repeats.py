@@ -247,6 +247,27 @@ def test_similar_documents_by_kind_of_change(frame):
     assert similar_exactly(frame, rows) > 300
 
 
+@pytest.mark.parametrize("order", ["none", "by few rows", "any"])
+def test_similar_documents_under_any_order_of_shingles(frame, monkeypatch, order):
+    from contrail.llm import set_join
+
+    rnd, rows = random.Random(11), []
+    for i in range(20):
+        base = [f"v{i % 4}n{rnd.randrange(60)}" for _ in range(80)]
+        for kind in ("appended", "cut", "changed"):
+            for share in (0.0, 0.05, 0.12, 0.19):
+                rows.append((len(rows), " ".join(["one common opening of all texts here", *edited_text(rnd, base, kind, share)])))
+    own = set_join._common_shingles
+    every = np.unique(np.array([h for _, t in rows for h in shingle_hashes(t, 5)], np.int64).view(np.uint64))
+    some = every[np.random.default_rng(1).random(len(every)) < 0.5]
+    orders = {
+        "none": lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)), "by few rows": lambda rows, width: own(rows, width, most=1),
+        "any": lambda *_: (some, np.random.default_rng(2).permutation(len(some))),
+    }
+    monkeypatch.setattr(set_join, "_common_shingles", orders[order])
+    assert similar_exactly(frame, rows) > 200
+
+
 def test_components(spark):
     rnd = random.Random(6)
     links = [(i, i + 1) for i in range(60)] + [(200, 100 + i) for i in range(50)] + [(7, 7), (300, 301), (301, 300)]
