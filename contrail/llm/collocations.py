@@ -3,15 +3,18 @@
 The corpus is coded once into shards, which are then scanned in turn, again and again. A scan
 counts phrases of all lengths together: a phrase starts to be counted behind the scan in which
 both its parts (without its last, without its first word) have reached the threshold, and is
-counted for one full cycle of shards. Each phrase first adds to two of a fixed number of hashed
-counters; a counter is at least as high as the count of any of its phrases, so what is active
-follows from counters that every task holds, whatever the size of the corpus. A phrase whose
-counters have both reached the threshold is counted exactly for one full cycle behind that scan.
+counted for one full cycle of shards. Each phrase first adds to one of a number of hashed
+counters, which follows the words of the corpus up to a limit; a counter is at least as high as the
+count of any of its phrases, so what is active follows from the scans in which counters have
+reached the threshold, which every task holds. The counts themselves are a table, added up piece
+by piece. A phrase whose counter has reached the threshold is counted exactly for one full cycle
+behind that scan.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +34,12 @@ SEGMENT = 4 << 20  # bytes of text coded at once
 NEVER = 255
 CELLS = 1 << 16  # counters sent as one piece
 JOINED = 256  # pieces of one place added up at once
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 27  # for phrases of one length
+WORD_COUNTERS = 1 << 24  # at most, for words
+PIECES = 64  # given out together
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_ROWS = (_MIX, np.uint64(0xD6E8FEB86659FD93))  # a factor for each row of counters
 WORDS = 200_000  # different words counted together in a task
-ROWS = 1 << 21  # phrase counts held in a task
+ROWS = 1 << 21  # phrase counts held in a task, and half of the counters
 BUCKETS = 32  # parts of a language whose best phrases meet
 _CODED = "shard int, ids array<long>, codes binary, lang string, words array<string>, names array<long>, counts array<long>"
 _SCANNED = "length int, phrase binary, n long, piece int, source int, cells binary"
@@ -108,13 +113,18 @@ def _words(coded: DataFrame) -> DataFrame:
     return each.groupBy("lang", F.col("words").alias("word"), F.col("names").alias("id")).agg(F.sum("counts").alias("n"))
 
 
-def counters_of(length: int, counters: int, kind: type, value: int) -> np.ndarray:
-    """Counters for one length: a row for words, two for phrases."""
-    return np.full((min(length, len(_ROWS)), counters), value, kind)
+def fit_counters(words: int) -> int:
+    """Counters for the phrases of one length: an eighth of all words or more, within what tasks can hold."""
+    return max(LEAST_COUNTERS, min(MOST_COUNTERS, 1 << (words // 8).bit_length()))
 
 
-def bucket_of(hashes: np.ndarray, bits: int, row: int) -> np.ndarray:
-    return ((hashes ^ hashes >> np.uint64(32)) * _ROWS[row] >> np.uint64(64 - bits)).astype(np.int64)
+def sizes_of(counters: int, longest: int) -> list[int]:
+    """Numbers of counters by length."""
+    return [min(counters, WORD_COUNTERS), *[counters] * (longest - 1)]
+
+
+def bucket_of(hashes: np.ndarray, counters: int) -> np.ndarray:
+    return ((hashes ^ hashes >> np.uint64(32)) * _MIX >> np.uint64(65 - counters.bit_length())).astype(np.int64)
 
 
 def _counted(words: np.ndarray, hashes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,13 +139,12 @@ def _counted(words: np.ndarray, hashes: np.ndarray, n: np.ndarray | None = None)
 class Scan:
     """One task's part of scan ``step``: hashed counters of what is active, and exact counts of what has reached.
 
-    ``reached`` has rows of counters for each length: the scan in which each reached ``least``, or NEVER.
+    ``reached`` has for each length the scan in which each counter reached ``least``, or NEVER; None: no counter has.
     """
 
-    def __init__(self, step: int, cycle: int, least: int, reached: list[np.ndarray]):
-        self.step, self.cycle, self.least, self.reached = step, cycle, least, reached
-        self.bits = reached[0].shape[1].bit_length() - 1
-        self.sums = [np.zeros(r.shape, cells_type(least)) for r in reached]
+    def __init__(self, step: int, cycle: int, least: int, sizes: list[int], reached: list[np.ndarray | None]):
+        self.step, self.cycle, self.least, self.sizes, self.reached = step, cycle, least, sizes, reached
+        self.sums: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in reached]
         self.exact: list[list[tuple[np.ndarray, ...]]] = [[] for _ in reached]
 
     def add(self, ids: np.ndarray) -> None:
@@ -150,14 +159,12 @@ class Scan:
                 valid, ready = valid[:-1] & valid[1:], np.maximum(ready[:-1], ready[1:])
             valid &= ready < NEVER
             at = np.flatnonzero(valid)
-            since, own = ready[at], np.zeros(len(at), np.int16)
+            since, bucket = ready[at], bucket_of(hashes[at], self.sizes[k])
             now = (since < self.step) & (self.step <= since + self.cycle)
-            for row in range(len(reached)):
-                bucket = bucket_of(hashes[at], self.bits, row)
-                cells, n = np.unique(bucket[now], return_counts=True)
-                sums = self.sums[k][row]
-                sums[cells] = np.minimum(sums[cells] + n, self.least)
-                own = np.maximum(own, reached[row][bucket])
+            cells, n = np.unique(bucket[now], return_counts=True)
+            if len(cells):
+                self.sums[k].append((cells.astype(np.uint32), np.minimum(n, self.least).astype(cells_type(self.least))))
+            own = np.full(len(at), NEVER, np.int16) if reached is None else reached[bucket].astype(np.int16)
             own = np.where(own < NEVER, np.maximum(own, since + 1), NEVER)
             if k:
                 exact = at[(own < self.step) & (self.step <= own + self.cycle)]
@@ -167,27 +174,51 @@ class Scan:
             ready[at] = own
 
     def taken(self, most: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Length, phrases and exact counts where more than ``most`` rows are held, added up over the runs."""
+        """Length, phrases and exact counts where more than ``most`` rows are held, added up over the runs.
+
+        Phrases that begin alike lie together, which makes the table small.
+        """
         for k, parts in enumerate(self.exact):
             if sum(len(p[2]) for p in parts) > most:
                 words, _, n = parts[0] if len(parts) == 1 else _counted(*(np.concatenate(x) for x in zip(*parts)))
                 self.exact[k] = []
-                yield k + 1, words, n
-
-    def pieces(self) -> Iterator[tuple[int, int, bytes]]:
-        """Length, place and packed counters, without those that are all zero."""
-        for k, sums in enumerate(map(np.ravel, self.sums)):
-            for place in range(0, len(sums), CELLS):
-                part = sums[place : place + CELLS]
-                if part.any():
-                    yield k + 1, place // CELLS, zstandard.compress(part.tobytes(), 1)
+                order = np.lexsort(words.T[-2::-1])
+                yield k + 1, words[order], n[order]
+
+    def pieces(self, most: int = 0) -> Iterator[tuple[int, int, bytes]]:
+        """Length, place and packed counters where more than ``most`` are held, without pieces that are all zero."""
+        for k, parts in enumerate(self.sums):
+            if sum(len(p[0]) for p in parts) <= most:
+                continue
+            cells, n = (np.concatenate(x) for x in zip(*parts))
+            self.sums[k] = []
+            order = np.argsort(cells, kind="stable")
+            cells = cells[order]
+            starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+            n = np.minimum(np.add.reduceat(n[order], starts, dtype=np.int64), self.least).astype(cells_type(self.least))
+            cells = cells[starts].astype(np.int64)
+            places, first = np.unique(cells // CELLS, return_index=True)
+            for place, low, high in zip(places.tolist(), first, np.r_[first[1:], len(cells)]):
+                part = np.zeros(min(CELLS, self.sizes[k]), n.dtype)
+                part[cells[low:high] - place * CELLS] = n[low:high]
+                yield k + 1, place, zstandard.compress(part.tobytes(), 1)
 
 
 def cells_type(least: int) -> type:
     return np.uint8 if least < 256 else np.uint32
 
 
-def _scan(shard: DataFrame, step: int, cycle: int, least: int, shared) -> DataFrame:
+def _unpacked(sizes: list[int], pieces: list[tuple[int, int, bytes]]) -> list[np.ndarray | None]:
+    """The scan in which each counter of each length reached, from the pieces in which any has."""
+    reached: list[np.ndarray | None] = [None] * len(sizes)
+    for length, place, packed in pieces:
+        if reached[length - 1] is None:
+            reached[length - 1] = np.full(sizes[length - 1], NEVER, np.uint8)
+        reached[length - 1][place * CELLS : (place + 1) * CELLS] = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return reached
+
+
+def _scan(shard: DataFrame, step: int, cycle: int, least: int, sizes: list[int], shared) -> DataFrame:
     """Rows of exact counts (length, phrase, n) and of counters (length, piece, source, cells)."""
 
     def batch(**columns) -> pa.RecordBatch:
@@ -197,13 +228,16 @@ def _scan(shard: DataFrame, step: int, cycle: int, least: int, shared) -> DataFr
         return pa.RecordBatch.from_arrays(made, list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scan(step, cycle, least, [np.frombuffer(zstandard.decompress(r), np.uint8).reshape(rows, -1) for rows, r in shared.value])
+        scan = Scan(step, cycle, least, sizes, _unpacked(sizes, shared.value))
 
         def rows(most: int = 0) -> Iterator[pa.RecordBatch]:
             for length, words, n in scan.taken(most):
                 raw = words.astype(">u8").tobytes()
                 names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * length), len(n), [None, pa.py_buffer(raw)])
                 yield batch(length=np.full(len(n), length), phrase=names.cast(pa.binary()), n=n)
+            for some in itertools.batched(scan.pieces(2 * most), PIECES):
+                length, piece, cells = zip(*some)
+                yield batch(length=length, piece=piece, source=[TaskContext.get().partitionId()] * len(some), cells=cells)
 
         for b in batches:
             for i in range(b.num_rows):
@@ -212,66 +246,82 @@ def _scan(shard: DataFrame, step: int, cycle: int, least: int, shared) -> DataFr
                 scan.add(own[np.frombuffer(raw, np.uint16 if len(own) <= 1 << 16 else np.uint32)])
                 yield from rows(ROWS)
         yield from rows()
-        for length, piece, cells in scan.pieces():
-            yield batch(length=[length], piece=[piece], source=[TaskContext.get().partitionId()], cells=[cells])
 
     return shard.filter("ids is not null").select("ids", "codes").mapInArrow(run, _SCANNED)
 
 
+def _total(packed: pa.Scalar, least: int) -> np.ndarray:
+    """The sum of a list of packed counters."""
+    kind = cells_type(least)
+    parts = (np.frombuffer(zstandard.decompress(p.as_py()), kind).astype(np.int64) for p in packed.values)
+    return functools.reduce(lambda x, y: np.minimum(x + y, least), parts).astype(kind)
+
+
 def _added(rows: DataFrame, least: int) -> DataFrame:
-    """length, piece, source and the sum of ``all``, a list of packed counters."""
+    """length, piece and the sum of ``all``, a list of packed counters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [zstandard.compress(_total(packed, least).tobytes(), 1) for packed in b.column("all")]
+            yield pa.RecordBatch.from_arrays([b.column("length"), b.column("piece"), pa.array(out, pa.binary())], ["length", "piece", "cells"])
+
+    return rows.mapInArrow(run, "length int, piece int, cells binary")
+
+
+def _add_up(scanned: DataFrame, before: DataFrame | None, step: int, least: int) -> DataFrame:
+    """Counters behind scan ``step``: length, piece, cells, reached (the scan in which each reached) and latest of these.
+
+    A scan's counters are added up by bounded groups first, then with those ``before``.
+    """
+    parts = scanned.filter("cells is not null").groupBy("length", "piece", F.expr(f"source div {JOINED}"))
+    rows = _added(parts.agg(F.collect_list("cells").alias("all")), least).withColumn("reached", F.lit(None).cast("binary"))
+    if before is not None:
+        rows = rows.union(before.select("length", "piece", "cells", "reached"))
+    grouped = rows.groupBy("length", "piece").agg(F.collect_list("cells").alias("all"), F.first("reached", True).alias("reached"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = cells_type(least)
         for b in batches:
-            out = []
-            for packed in b.column("all"):
-                total = functools.reduce(
-                    lambda x, y: np.minimum(x + y, least), (np.frombuffer(zstandard.decompress(p.as_py()), kind).astype(np.int64) for p in packed.values)
-                )
-                out.append(zstandard.compress(total.astype(kind).tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("length", "piece", "source")), pa.array(out, pa.binary())], ["length", "piece", "source", "cells"])
-
-    return rows.mapInArrow(run, "length int, piece int, source int, cells binary")
-
-
-def _add_up(scanned: DataFrame, least: int, totals: list[np.ndarray]) -> None:
-    """Add a scan's counters to ``totals``, by two rounds of bounded groups; the driver gets each place once."""
-    parts = scanned.filter("cells is not null").select("length", "piece", "source", "cells")
-    for group in (F.expr(f"source div {JOINED}"), F.lit(0)):
-        grouped = parts.groupBy("length", "piece", group.cast("int").alias("source")).agg(F.collect_list("cells").alias("all"))
-        parts = _added(grouped, least)
-    for row in parts.collect():
-        cells = np.frombuffer(zstandard.decompress(bytes(row.cells)), cells_type(least))
-        at = totals[row.length - 1].reshape(-1)[row.piece * CELLS : (row.piece + 1) * CELLS]
-        at[:] = np.minimum(at.astype(np.int64) + cells, least)
-
-
-def _last_step(reached: list[np.ndarray], cycle: int) -> int:
-    """The last scan that any phrase known so far can need."""
+            cells, steps, latest = [], [], []
+            for packed, old in zip(b.column("all"), b.column("reached").to_pylist()):
+                total = _total(packed, least)
+                reached = np.full(len(total), NEVER, np.uint8) if old is None else np.frombuffer(zstandard.decompress(old), np.uint8)
+                reached = np.where((total >= least) & (reached == NEVER), np.uint8(step), reached)
+                cells.append(zstandard.compress(total.tobytes(), 1))
+                steps.append(zstandard.compress(reached.tobytes(), 1))
+                latest.append(int(np.max(reached, where=reached < NEVER, initial=0)) if (reached < NEVER).any() else None)
+            made = [pa.array(cells, pa.binary()), pa.array(steps, pa.binary()), pa.array(latest, pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column("length"), b.column("piece"), *made], ["length", "piece", "cells", "reached", "latest"])
+
+    return grouped.mapInArrow(run, "length int, piece int, cells binary, reached binary, latest int")
+
+
+def _last_step(latest: dict[int, int], cycle: int) -> int:
+    """The last scan that any phrase known so far can need, from the latest scan in which counters of a length reached."""
     last, end = cycle - 1, -1
-    for r in reached:
-        some = r[r < NEVER]
-        if not len(some):
+    for length in range(1, len(latest) + 1):
+        if length not in latest:
             break
-        end = max(int(some.max()), end + 1)
+        end = max(latest[length], end + 1)
         last = max(last, end + cycle)
     return last
 
 
 def _phrases(coded: DataFrame, least: int, longest: int, cycle: int, counters: int) -> DataFrame:
     """length, phrase (ids, eight bytes each) and count a of all phrases of 2 to ``longest`` words with ``least`` occurrences."""
-    spark = coded.sparkSession
-    reached = [counters_of(k, counters, np.uint8, NEVER) for k in range(1, longest + 1)]
-    totals = [counters_of(k, counters, cells_type(least), 0) for k in range(1, longest + 1)]
-    scans, step = [], 0
-    while step <= _last_step(reached, cycle):
-        shared = spark.sparkContext.broadcast([(len(r), zstandard.compress(r.tobytes(), 1)) for r in reached])
-        scanned = materialize(_scan(coded.filter(F.col("shard") == step % cycle), step, cycle, least, shared), "scan")
-        _add_up(scanned, least, totals)
-        for r, total in zip(reached, totals):
-            r[(total >= least) & (r == NEVER)] = step
+    spark, sizes = coded.sparkSession, sizes_of(counters, longest)
+    scans, step, known, reached, latest = [], 0, None, [], {}
+    while step <= _last_step(latest, cycle):
+        shared = spark.sparkContext.broadcast(reached)
+        scanned = _scan(coded.filter(F.col("shard") == step % cycle), step, cycle, least, sizes, shared)
+        path = new_path(spark, "scan")
+        scanned.write.option("compression", "zstd").parquet(path)
+        scanned = spark.read.schema(scanned.schema).parquet(path)
+        known = materialize(_add_up(scanned, known, step, least), "counters")
         shared.destroy()  # what it was needed for is written
+        rows = known.filter("latest is not null").select("length", "piece", "reached", "latest").collect()
+        reached, latest = [(r.length, r.piece, bytes(r.reached)) for r in rows], {}
+        for r in rows:
+            latest[r.length] = max(r.latest, latest.get(r.length, 0))
         scans.append(scanned.filter("phrase is not null").select("length", "phrase", "n"))
         step += 1
     found = functools.reduce(DataFrame.union, scans).groupBy("length", "phrase").agg(F.sum("n").alias("a"))
@@ -280,7 +330,7 @@ def _phrases(coded: DataFrame, least: int, longest: int, cycle: int, counters: i
 
 def collocations(
     docs: DataFrame, least: int = 10, longest: int = 3, absorb: int = 50, most: int = 2000, shards: int = 3,
-    counters: int = 1 << 24, text: str = "text", lang: str = "lang",
+    counters: int | None = None, text: str = "text", lang: str = "lang",
 ) -> DataFrame:
     """The best ``most`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
@@ -293,11 +343,11 @@ def collocations(
     the number of words of the language. Numbers are exact up to a of 10^16.
 
     A null text is empty, a null language is ``und``; repeated rows count again; other columns
-    aren't read; an empty table gives an empty result. Broadcast are two ``counters`` (a power of
-    two) bytes for each length, compressed; where far more phrases than counters occur, more of them are counted
-    exactly, with the same result. ``shards`` is at most 60.
+    aren't read; an empty table gives an empty result. Every task holds ``counters`` (a power of two) bytes for each
+    length; if none are given they follow the number of words, up to ``MOST_COUNTERS``. Where far more phrases than
+    counters occur, more of them are counted exactly, with the same result. ``shards`` is at most 60.
     """
-    if counters & counters - 1 or counters < 2 or not 1 <= shards <= 60 or longest < 2:
+    if counters is not None and (counters & counters - 1 or counters < 2) or not 1 <= shards <= 60 or longest < 2:
         raise ValueError("counters is a power of two, shards 1 to 60, longest 2 or more")
     rows = docs.select(F.coalesce(docs[lang].cast("string"), F.lit("und")).alias("lang"), docs[text].alias("text"))
     for seed in range(4):
@@ -308,6 +358,7 @@ def collocations(
     else:
         raise RuntimeError("words with equal hashes under every seed")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    counters = counters or fit_counters(words.agg(F.sum("n")).first()[0] or 0)
     found = _phrases(coded, least, longest, shards, counters)
     name = F.unhex(F.lpad(F.hex("id"), 16, "0"))
     single = words.filter(F.col("n") >= least).select(name.alias("phrase"), "lang", "word", F.col("n").alias("a"))

@@ -99,6 +99,24 @@ def test_collocations_of_segments(frame, monkeypatch):
     assert collocations(frame([], DOC), counters=1 << 10).count() == 0
 
 
+def test_counters_follow_the_words(frame, monkeypatch):
+    from contrail.llm import collocations as module
+
+    assert all(n / 8 < module.fit_counters(n) <= max(n / 4, 1 << 16) for n in (0, 10**5, 10**7, 135_896_475, 10**9))
+    assert module.fit_counters(1 << 40) == module.MOST_COUNTERS
+    # Frequent words, nearly all of their pairs infrequent: few of these pairs are counted exactly.
+    rnd, scans = random.Random(5), []
+    rows = [(i, " ".join(f"w{rnd.randrange(900)}" for _ in range(600)) + ". one two", "en", "s") for i in range(60)]
+    monkeypatch.setattr(module, "LEAST_COUNTERS", 1 << 4)
+    monkeypatch.setattr(module, "new_path", lambda spark, name, own=module.new_path: scans.append(own(spark, name)) or scans[-1])
+    names = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    docs = frame(rows, DOC)
+    got = module.collocations(docs)
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == phrases_by_hand(rows, 10, 3, 50, 2000)
+    counted = sum(docs.sparkSession.read.parquet(p).filter("phrase is not null").count() for p in scans if "/scan-" in p)
+    assert 0 < counted < 36_000 / 4
+
+
 def audit_by_hand(rows, labels):
     good, toxic = ({k for k, *v in labels if v[i] == 1} for i in (0, 1))
     first = {}
