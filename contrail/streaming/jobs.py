@@ -23,10 +23,12 @@ from contrail.plans.archiving import archive_flights
 from contrail.plans.live import state_alerts
 from contrail.sources.archive import write_archive
 from contrail.sources.scratch import materialize, new_path
-from contrail.streaming.processors import KeepAfter, LiveBoard, LiveStatus, TrackState
+from contrail.streaming.processors import KeepAfter, LiveBoard, LiveStatus, Share, TrackState
 
 # Names that start with an underscore are lost on the way into a processor.
 AT = "at_us"
+SHARE = "share_of_keys"
+SHARES = 1024  # shares of all keys whose rows and states are kept together
 DAY = "staged_day"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -46,24 +48,33 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
+def _shared(rows: DataFrame, keys: list[str], shares: int | None) -> tuple[DataFrame, list[str]]:
+    """Rows and the columns by which they share a state: their keys, or the number of a share of all keys."""
+    if not shares:
+        return rows, keys
+    return rows.withColumn(SHARE, F.pmod(F.xxhash64(*keys), F.lit(shares)).cast("int")), [SHARE]
+
+
 def stream_dedup(
     df: DataFrame, keys: str | Sequence[str], ts: str, seconds: float = schema.MERGE_SECONDS,
-    tie: Sequence[str] = (), lateness: str | None = None,
+    tie: Sequence[str] = (), lateness: str | None = None, shares: int | None = None,
 ) -> DataFrame:
     """Streaming ``dedup_within``: the same rows in any micro-batches and any order within the lateness.
 
-    Rows come out once the watermark has passed them, so the last ones wait for newer rows.
+    Rows come out once the watermark has passed them, so the last ones wait for newer rows. Where
+    there are many keys with few rows each, ``shares`` keeps those of each of so many shares together.
     """
     hop = round(seconds * MICROS)
-    rows = watermarked(df, ts, lateness).withColumn(AT, F.unix_micros(ts))
-    kept = rows.groupBy(*as_list(keys)).transformWithState(
-        statefulProcessor=KeepAfter(hop, rows.columns, [AT, *tie]),
+    rows, group = _shared(watermarked(df, ts, lateness).withColumn(AT, F.unix_micros(ts)), as_list(keys), shares)
+    one = KeepAfter(hop, rows.columns, [AT, *tie])
+    kept = rows.groupBy(*group).transformWithState(
+        statefulProcessor=Share(one, as_list(keys)) if shares else one,
         outputStructType=rows.schema,
         outputMode="Append",
         timeMode="EventTime",
         eventTimeColumnName=ts,
     )
-    return kept.drop(AT)
+    return kept.drop(AT, SHARE)
 
 
 def stream_dedup_coarse(
@@ -88,9 +99,12 @@ def stream_flights(
 def stream_states(
     messages: DataFrame, back_n: int = schema.BACK_N, fresh_seconds: float | None = None,
     remember_seconds: float = schema.REMEMBER_SECONDS, key: str = "icao", ts: str = "ts",
-    tie: Sequence[str] = (), lateness: str | None = None,
+    tie: Sequence[str] = (), lateness: str | None = None, shares: int | None = None,
 ) -> DataFrame:
-    """Streaming ``motion``, in event time order. State finds the fixes; distances stay Spark columns."""
+    """Streaming ``motion``, in event time order. State finds the fixes; distances stay Spark columns.
+
+    With ``shares`` the aircraft of each of so many shares are kept together, see ``stream_dedup``.
+    """
     fresh = round((back_n if fresh_seconds is None else fresh_seconds) * MICROS)
     carried = [
         c
@@ -102,6 +116,7 @@ def stream_states(
         .withColumn(AT, F.unix_micros(ts))
         .select(key, ts, AT, *tie, "latitude", "longitude", *carried)
     )
+    rows, group = _shared(rows, [key], shares)
     types = {f.name: f.dataType for f in rows.schema}
     out = T.StructType([
         T.StructField(key, types[key]),
@@ -121,10 +136,9 @@ def stream_states(
             )
         ],
     ])
-    found = rows.groupBy(key).transformWithState(
-        statefulProcessor=TrackState(
-            back_n, round(remember_seconds * MICROS), carried, rows.columns, [AT, *tie], [f.name for f in out]
-        ),
+    one = TrackState(back_n, round(remember_seconds * MICROS), carried, rows.columns, [AT, *tie], [f.name for f in out])
+    found = rows.groupBy(*group).transformWithState(
+        statefulProcessor=Share(one, [key]) if shares else one,
         outputStructType=out,
         outputMode="Append",
         timeMode="EventTime",
@@ -149,16 +163,17 @@ def stream_alerts(messages: DataFrame, rules: Rules, **options) -> DataFrame:
 
 def stream_frame_alerts(
     frames: DataFrame, rules: Rules, lateness: str | None, home: tuple[float, float] = schema.HOME,
-    merge_seconds: float = schema.MERGE_SECONDS, tie: Sequence[str] = ("hex",), keep: Sequence[str] = (), **options,
+    merge_seconds: float = schema.MERGE_SECONDS, tie: Sequence[str] = ("hex",), keep: Sequence[str] = (),
+    shares: int = SHARES, **options,
 ) -> DataFrame:
     """Raw frames to alerts in one query: duplicates merged, decoded, followed, tested against the rules.
 
     The watermark is set once, on the frames. ``keep`` names further columns of the frames that
-    ``tie`` needs.
+    ``tie`` needs. Nearly every frame is a key of its own, so state is kept for ``shares`` of all keys.
     """
-    merged = stream_dedup(frames, "hex", "ts", merge_seconds, ["receiver"], lateness)
+    merged = stream_dedup(frames, "hex", "ts", merge_seconds, ["receiver"], lateness, shares)
     messages = decode_messages(with_fields(merged), *home, keep=["hex", *keep])
-    return stream_alerts(messages, rules, tie=tie, **options)
+    return stream_alerts(messages, rules, tie=tie, shares=shares, **options)
 
 
 def start(

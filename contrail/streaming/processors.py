@@ -81,6 +81,9 @@ class _Keyed(StatefulProcessor):
             return {"state": None, "open": {}, "next": 0, "timer": None}, []
         return json.loads(found[0]), pickle.loads(found[1])
 
+    def _write(self, kept: dict[str, Any], rows: list[tuple]) -> None:
+        self.value.update((json.dumps(kept), pickle.dumps(rows)))
+
     def _rank(self, row: tuple) -> tuple:
         return tuple((row[i] is None, row[i]) for i in self.sorts)
 
@@ -132,8 +135,7 @@ class _Keyed(StatefulProcessor):
         if state is None and not due:
             self.value.clear()
         else:
-            kept |= {"state": state, "timer": timer}
-            self.value.update((json.dumps(kept), pickle.dumps(rows)))
+            self._write(kept | {"state": state, "timer": timer}, rows)
 
     def close(self) -> None:
         pass
@@ -201,6 +203,50 @@ class TrackState(_Keyed):
         return state, found
 
 
+class Share(_Keyed):
+    """Many keys in one value: the rows of a share of all keys are held together, and each key has its state of ``one``.
+
+    A key with a value of its own costs some calls of the state store and two timers, however few its
+    rows are; a share costs as much for all its keys. A key's state is dropped with the first rows
+    later than ``keep_us`` behind it, when it no longer counts. ``one`` puts out nothing when it is forgotten.
+    """
+
+    def __init__(self, one: _Keyed, keys: Sequence[str]) -> None:
+        self.one = one
+        self.keep_us, self.columns, self.order = one.keep_us, one.columns, one.order
+        self.places = [self.columns.index(c) for c in keys]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.one.at, self.one.sorts = self.at, self.sorts
+
+    def _read(self) -> tuple[dict[str, Any], list[tuple]]:
+        kept, held = super()._read()
+        if not held:
+            return kept, []
+        rows, keys = held
+        if kept["state"] is not None:
+            kept["state"]["keys"] = keys
+        return kept, rows
+
+    def _write(self, kept, rows):
+        state = kept["state"]
+        if state is None:
+            super()._write(kept, (rows, {}))
+        else:
+            super()._write(kept | {"state": {"last": state["last"]}}, (rows, state["keys"]))
+
+    def fold(self, state, rows):
+        keys, own, found = state["keys"] if state else {}, {}, []
+        for row in rows:
+            own.setdefault(tuple([row[i] for i in self.places]), []).append(row)
+        for key, those in own.items():
+            keys[key], made = self.one.fold(keys.get(key), those)
+            found += made
+        last = rows[-1][self.at]
+        return {"last": last, "keys": {k: v for k, v in keys.items() if v["last"] + self.keep_us >= last}}, found
+
+
 class LiveStatus(_Keyed):
     """What is known of an aircraft now, sent on whenever it changes; with no packets once it has been silent too long."""
 
