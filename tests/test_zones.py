@@ -163,6 +163,24 @@ def test_rays_over_a_grid_against_every_zone(spark):
         assert sorted((r.id, r.zone, r.inside, round(r.eta, 6)) for r in got.collect()) == want
 
 
+def test_many_pieces_of_zones_are_not_sent_to_the_driver(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(i, rnd.uniform(34.9, 36.5), rnd.uniform(-79.1, -77.5), 400.0, rnd.uniform(0, 360)) for i in range(100)] + [(100, None, -78.0, 5.0, 0.0)]
+    positions = spark.createDataFrame(rows, "id int, latitude double, longitude double, speed double, heading double")
+    corner = lambda i: (35 + i / 60, -79 + i / 70)
+    rings = [(f"z{i}", [(y, x), (y, x + 1), (y + 1, x + 1), (y + 1, x)]) for i, (y, x) in enumerate(map(corner, range(30)))]
+    table = spark.createDataFrame(rings, "zone string, ring array<struct<lat:double,lon:double>>")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few, many = (zones.containing_zones(positions, table, size) for size in (0.25, 0.02))
+    assert "BroadcastHashJoin" in plan(few) and "Broadcast" not in plan(many)
+    found = sorted((r.id, r.zone) for r in many.collect())
+    assert found == sorted((r.id, r.zone) for r in few.collect()) and len(found) > 100
+    want = sorted(map(tuple, zone_eta_by_grid(positions, table, 3000).collect()))
+    monkeypatch.setattr(zones, "BROADCAST_EDGES", 100)
+    got = zone_eta_by_grid(positions, table, 3000)
+    assert "SortMergeJoin" in plan(got) and sorted(map(tuple, got.collect())) == want
+
+
 def test_positions_of_one_file_are_dealt_into_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ray_grid, "PART_ROWS", 10)
     rows = [(i, 35.0 + i / 200, -78.9, 600.0, 90.0) for i in range(100)]
