@@ -5,7 +5,8 @@ time order, so the result does not depend on how they arrive, as long as they ar
 the watermark allows. What is held is bounded by that lateness and by the rate limit of the
 source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``); the rest of the state is a few values
 per key, dropped by a timer once the aircraft has been silent long enough. Spark sends what one
-aircraft puts out in one micro-batch as one Arrow batch, which the same rate limit bounds.
+aircraft (or one ``Share`` of all keys) puts out in one micro-batch as one Arrow batch, which the
+same rate limit bounds.
 """
 
 from __future__ import annotations
